@@ -89,3 +89,22 @@ def components(edges: DataFrame, label: str = "cc") -> tuple[DataFrame, str | No
         if tuple(new_mark) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")), path
         mark = tuple(new_mark)
+
+
+def with_columns(df: DataFrame, make, ddl: str) -> DataFrame:
+    """df with more columns: make(record batch) gives their arrays. Columns of these names are replaced.
+
+    One pass over the rows in Arrow batches; nothing is shuffled.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    fields = T.StructType.fromDDL(ddl).fields
+    df = df.drop(*(f.name for f in fields))
+    schema = T.StructType(df.schema.fields + fields)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from .chat_preference import OP1_SQL, op1_chat_preference
+from .decontamination import OP5_SQL, op5_decontamination
 from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op9_length_packing
+from .pii import op3_pii
+from .quality_fm import op8_quality_fm
 from .url_filter import op7_url_filter
 
 QUERIES = {
     "op1_chat_preference": op1_chat_preference,
+    "op3_pii": op3_pii,
+    "op5_decontamination": op5_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_url_filter": op7_url_filter,
+    "op8_quality_fm": op8_quality_fm,
     "op9_length_packing": op9_length_packing,
 }
 
 SQL = {
     "op1_chat_preference": OP1_SQL,
+    "op5_decontamination": OP5_SQL,
 }
