@@ -10,9 +10,11 @@ lists, and light sets that could link with larger ones join those lists too.
 The boundary is the size with the least cost over the histogram of set sizes.
 
 Equal sets form one class first, and inside a list not all pairs meet: every
-member is verified against a few leaders; what that leaves in different
-components is then compared with all members that could link, so no link
-between components is lost while large groups of near copies stay linear.
+member is verified against a few leaders, then, while much is left apart,
+against other members of the list's largest component. What remains in
+different components is compared with all members that could link, by size and
+by the triangle inequality of Jaccard distances to the common leader, so no
+link between components is lost while large groups of near copies stay linear.
 
 Defined cases: a null text or one without words has an empty set and links with
 nothing; fewer than five words are one shingle; repeated rows and equal texts
@@ -34,6 +36,7 @@ PERCENT = 75
 #: Shingles are counted in so many buckets to order them by rarity: a fixed size at any input.
 RARITY_BITS = 18
 LEADERS = 3
+ROUNDS = 1
 SCAN_WEIGHT = 2.0
 MAX_BOUNDARY = 64
 
@@ -149,8 +152,8 @@ def _close(a: Column, b: Column, percent: int) -> Column:
 class JaccardJoin:
     """The join over one table; members: (doc_id, set_id, n) of its rows, links: (a, b) of set ids."""
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT, leaders: int = LEADERS):
-        self.docs, self.percent, self.leaders = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), percent, leaders
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, leaders: int = LEADERS, rounds: int = ROUNDS):
+        self.docs, self.percent, self.leaders, self.rounds = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), percent, leaders, rounds
         self.spark = docs.sparkSession
         self.temporary: list[str] = []
 
@@ -172,8 +175,7 @@ class JaccardJoin:
     def _lists(self, rarity) -> DataFrame:
         """(key, set_id, n, leader) of lists with two different sets at least."""
         p = self._keep(self.docs.mapInArrow(_posting_rows(rarity, self.boundary, self.percent), "key long, set_id long, n long"), "postings")
-        salts = F.array(*(F.lit((0x5851F42D4C957F2D * i) & 0x7FFFFFFFFFFFFFFF).cast("long") for i in range(self.leaders)))
-        turn = lambda c: F.col(c).bitwiseXOR(F.element_at(salts, (F.pmod("key", F.lit(self.leaders)) + 1).cast("int")))
+        turn = lambda c: self._turn(c, self.leaders)
         heads = p.groupBy("key").agg(F.min(turn("set_id")).alias("low"), F.max(turn("set_id")).alias("high")).where("low <> high").select("key", turn("low").alias("leader"))
         return self._keep(p.join(heads, "key").distinct(), "lists")
 
@@ -186,12 +188,33 @@ class JaccardJoin:
         found = self.docs.mapInArrow(_set_rows(words), "set_id long, shingles array<long>")
         return self._keep(found.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles")), "sets")
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
+    def _tested(self, pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) with their Jaccard distance and whether they link."""
+        pairs = self._keep(pairs, f"{label}-pairs")
+        sets = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
         left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * self.percent).select("a", "b")
+        got = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+        got = got.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"), (F.col("i") * 100 >= (F.col("s") - F.col("i")) * self.percent).alias("near"))
+        return self._keep(got, f"{label}-tested")
+
+    def _turn(self, c: str, salts: int, start: int = 0) -> Column:
+        """A bijection of set ids that depends on the list, so that different lists favour different members; its own inverse."""
+        values = F.array(*(F.lit((0x5851F42D4C957F2D * (i + start)) & 0x7FFFFFFFFFFFFFFF).cast("long") for i in range(salts)))
+        return F.col(c).bitwiseXOR(F.element_at(values, (F.pmod("key", F.lit(salts)) + 1).cast("int")))
+
+    def _placed(self, lists: DataFrame, links: DataFrame):
+        """The lists with the component of each member; and of the lists with several components, (key, main): the largest one."""
+        node, path = components(links.toDF("src", "dst"), "jaccard-cc")
+        placed = self._keep(lists.join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
+        discard(self.spark, path)
+        by = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
+        main = by.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most"))
+        return placed, self._keep(main.where("parts > 1").select("key", "main", "all", "most"), "main")
+
+    def _pairs(self, df: DataFrame, p: str, q: str, tested: DataFrame) -> DataFrame:
+        pairs = df.select(F.greatest(p, q).alias("a"), F.least(p, q).alias("b")).where("a <> b").distinct()
+        return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
@@ -200,22 +223,35 @@ class JaccardJoin:
         size = lists.select("set_id", "n").distinct()
         sizes = lambda d, c: d.join(size.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}")), c)
         first = lists.where("leader <> set_id").select(F.greatest("leader", "set_id").alias("a"), F.least("leader", "set_id").alias("b")).distinct()
-        first = self._keep(sizes(sizes(first, "a"), "b").where(_close(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"), "pairs")
-        sets = self._sets(first.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
-        links = self._keep(self._verified(first, sets), "links")
-        node, path = components(links.toDF("src", "dst"), "jaccard-cc")
-        self.temporary.append(path)
-
-        # what the leaders left apart: members outside the list's largest component against all others of the list
-        placed = self._keep(lists.select("key", "set_id", "n").join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
-        by = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
-        main = by.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-        few = placed.join(main, "key").where("component <> main").select("key", F.col("set_id").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"))
-        more = few.join(placed, "key").where((F.col("component") != F.col("c_p")) & _close(F.col("n"), F.col("n_p"), self.percent))
-        more = more.select(F.greatest("p", "set_id").alias("a"), F.least("p", "set_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        more = self._keep(more, "more")
-        late = self._keep(self._verified(more, self._sets(more.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())), "late")
-        self.links = links.unionByName(late)
+        tested = self._tested(sizes(sizes(first, "a"), "b").where(_close(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"), "first")
+        links = tested.where("near").select("a", "b")
+        apart = tested.select("a", "b", "d")
+        lists = lists.withColumns({"a": F.greatest("leader", "set_id"), "b": F.least("leader", "set_id")}).join(apart, ["a", "b"], "left")
+        lists = self._keep(lists.select("key", "set_id", "n", F.when(F.col("leader") == F.col("set_id"), 0.0).otherwise(F.col("d")).alias("d")), "lists")
+
+        # while much is left apart in some lists, its members meet other members of the list's main component
+        rows, turn = lists.count(), 0
+        while True:
+            placed, main = self._placed(lists, links)
+            work = main.agg(F.sum(F.expr("(all - most) * all"))).first()[0] or 0
+            if work <= 2 * rows or turn == self.rounds:
+                break
+            turn += 1
+            heads = placed.join(main.select("key", F.col("main").alias("component")), ["key", "component"]).groupBy("key").agg(F.min(self._turn("set_id", 8, 8 * turn)).alias("low")).select("key", self._turn("low", 8, 8 * turn).alias("head"))
+            few = placed.join(main, "key").where("component <> main").select("key", "set_id", "n")
+            more = few.join(heads, "key").join(size.select(F.col("set_id").alias("head"), F.col("n").alias("n_head")), "head").where(_close(F.col("n"), F.col("n_head"), self.percent))
+            got = self._tested(self._pairs(more, "set_id", "head", tested), f"turn{turn}")
+            new = got.where("near").select("a", "b")
+            tested, links = tested.unionByName(got), links.unionByName(new)
+            if new.isEmpty():
+                break
+
+        # all that could still link across components; distances to the common leader differ by at most that of a link
+        few = placed.join(main, "key").where("component <> main").select("key", F.col("set_id").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("d").alias("d_p"))
+        reach = F.coalesce(F.abs(F.col("d") - F.col("d_p")) <= 1 - self.percent / 100 + 1e-9, F.lit(True))
+        more = few.join(placed, "key").where((F.col("component") != F.col("c_p")) & _close(F.col("n"), F.col("n_p"), self.percent) & reach)
+        late = self._tested(self._pairs(more, "p", "set_id", tested), "late")
+        self.links = links.unionByName(late.where("near").select("a", "b"))
         node, path = components(self.links.toDF("src", "dst"), "jaccard-cc")
         least = self.members.groupBy("set_id").agg(F.min("doc_id").alias("low"), F.first("n").alias("n")).where("n > 0")
         least = least.join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
