@@ -8,19 +8,24 @@ from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op9_length_packing
 from .pii import op3_pii
 from .quality_fm import op8_quality_fm
+from .token_records import op10_token_records
+from .topk_search import OP4_SQL, op4_topk_search
 from .url_filter import op7_url_filter
 
 QUERIES = {
     "op1_chat_preference": op1_chat_preference,
     "op3_pii": op3_pii,
+    "op4_topk_search": op4_topk_search,
     "op5_decontamination": op5_decontamination,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_url_filter": op7_url_filter,
     "op8_quality_fm": op8_quality_fm,
     "op9_length_packing": op9_length_packing,
+    "op10_token_records": op10_token_records,
 }
 
 SQL = {
     "op1_chat_preference": OP1_SQL,
+    "op4_topk_search": OP4_SQL,
     "op5_decontamination": OP5_SQL,
 }
