@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_preference import OP1_SQL, op1_chat_preference
 from .decontamination import OP5_SQL, op5_decontamination
+from .html_extraction import op2_html_extraction
 from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op9_length_packing
 from .pii import op3_pii
@@ -14,6 +15,7 @@ from .url_filter import op7_url_filter
 
 QUERIES = {
     "op1_chat_preference": op1_chat_preference,
+    "op2_html_extraction": op2_html_extraction,
     "op3_pii": op3_pii,
     "op4_topk_search": op4_topk_search,
     "op5_decontamination": op5_decontamination,
