@@ -15,6 +15,8 @@ against other members of the list's largest component. What remains in
 different components is compared with all members that could link, by size and
 by the triangle inequality of Jaccard distances to the common leader, so no
 link between components is lost while large groups of near copies stay linear.
+Verification first bounds a pair's distance by small parity sketches, which
+never rule out a link; only sets of pairs that pass are moved and intersected.
 
 Defined cases: a null text or one without words has an empty set and links with
 nothing; fewer than five words are one shingle; repeated rows and equal texts
@@ -35,6 +37,7 @@ from .words import mix, shingle_sets
 PERCENT = 75
 #: Shingles are counted in so many buckets to order them by rarity: a fixed size at any input.
 RARITY_BITS = 18
+LIST_BITS = 24
 LEADERS = 3
 ROUNDS = 1
 SCAN_WEIGHT = 2.0
@@ -72,23 +75,36 @@ def _longs(a) -> pa.Array:
     return pa.array(a, pa.int64())
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's counts over a power of two of cells, 2n to 4n of them, as 64-bit words.
+
+    Two sketches of one width differ in no more cells than their sets in
+    shingles; the halves of a sketch, combined by exclusive or, are the
+    sketch of half the width.
+    """
+    words = max(1, 1 << (-(-2 * len(s) // 64) - 1).bit_length())
+    cell = s & np.uint64(64 * words - 1)
+    odd = np.bincount(cell.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _class_rows(batches):
-    """(doc_id, set_id, n, null, null) of each row, then the counts of shingle buckets of the task."""
+    """(doc_id, set_id, n, sketch, null, null) of each row, then the counts of shingle buckets of the task."""
     count = np.zeros(1 << RARITY_BITS, np.int64)
     shift = np.uint64(64 - RARITY_BITS)
-    names = ["doc_id", "set_id", "n", "bucket", "times"]
+    names = ["doc_id", "set_id", "n", "sketch", "bucket", "times"]
     for b in batches:
-        n, key = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+        n, key, sketches = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [None] * b.num_rows
         for i, s in shingle_sets(b.column("text")):
             n[i] = len(s)
             if len(s):
-                key[i] = set_key(s)
+                key[i], sketches[i] = set_key(s), sketch(s)
                 np.add.at(count, (s >> shift).astype(np.int64), 1)
         none = pa.nulls(b.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _longs(key), _longs(n), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _longs(key), _longs(n), pa.array(sketches, pa.list_(pa.int64())), none, none], names=names)
     some = np.flatnonzero(count)
     none = pa.nulls(len(some), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, _longs(some), _longs(count[some])], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.list_(pa.int64())), _longs(some), _longs(count[some])], names=names)
 
 
 def _posting_rows(rarity: Broadcast, boundary: int, percent: int):
@@ -98,7 +114,7 @@ def _posting_rows(rarity: Broadcast, boundary: int, percent: int):
     def run(batches):
         times = rarity.value
         for b in batches:
-            keys, ids, sizes = [], [], []
+            keys, ids = [], []
             for _, s in shingle_sets(b.column("text")):
                 n = len(s)
                 if n < 2:  # links with equal sets only
@@ -114,34 +130,25 @@ def _posting_rows(rarity: Broadcast, boundary: int, percent: int):
                 k = np.concatenate(out)
                 keys.append(k)
                 ids.append(np.full(len(k), set_key(s)))
-                sizes.append(np.full(len(k), n))
             if keys:
-                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(keys).view(np.int64)), _longs(np.concatenate(ids)), _longs(np.concatenate(sizes))], names=["key", "set_id", "n"])
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(keys).view(np.int64)), _longs(np.concatenate(ids))], names=["key", "set_id"])
 
     return run
 
 
-def _set_rows(words: Broadcast):
-    """Sets whose id is in the bitmap, each once per task as far as a bounded memory of ids goes."""
+def _set_rows(batches):
+    """The sets of some rows, each once per batch."""
+    for b in batches:
+        found = {set_key(s): s.view(np.int64) for _, s in shingle_sets(b.column("text")) if len(s) > 1}
+        if found:
+            yield pa.RecordBatch.from_arrays([_longs(list(found)), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
-    def run(batches):
-        bits = words.value
-        seen: set[int] = set()
-        for b in batches:
-            ids, sets = [], []
-            for _, s in shingle_sets(b.column("text")):
-                if len(s) > 1 and (k := set_key(s)) not in seen:
-                    h = (k & 0xFFFFFFFFFFFFFFFF) >> 42
-                    if bits[h >> 6] >> (h & 63) & 1:
-                        seen.add(k)
-                        ids.append(k)
-                        sets.append(s.view(np.int64))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if ids:
-                yield pa.RecordBatch.from_arrays([_longs(ids), pa.array(sets, pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
-    return run
+def _differing(x: Column, y: Column) -> Column:
+    """Cells in which two sketches differ, at the width of the narrower one. Close sizes are at most one doubling apart; others count as equal."""
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")), lambda a, b: a.bitwiseXOR(b))
+    count = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) == 2 * F.size(y), count(half(x), y)).when(2 * F.size(x) == F.size(y), count(x, half(y))).otherwise(0)
 
 
 def _close(a: Column, b: Column, percent: int) -> Column:
@@ -163,40 +170,58 @@ class JaccardJoin:
         return out
 
     def _classes(self):
-        got = self._keep(self.docs.mapInArrow(_class_rows, "doc_id long, set_id long, n long, bucket long, times long"), "classes")
+        got = self._keep(self.docs.mapInArrow(_class_rows, "doc_id long, set_id long, n long, sketch array<long>, bucket long, times long"), "classes")
         self.members = got.where("n is not null").select("doc_id", "set_id", "n")
         times = np.zeros(1 << RARITY_BITS, np.int64)
         for r in got.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("t")).collect():  # at most 2^RARITY_BITS rows
             times[r.bucket] = r.t
         sizes = self.members.where("n > 1").groupBy("n").count().where(f"n <= {2 * MAX_BOUNDARY}").collect()
         self.boundary = choose_boundary([(r.n, r["count"]) for r in sizes], self.percent)
+        first = lambda c: F.first(c).alias(c)
+        self.sets = self._keep(got.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), first("n"), first("sketch")), "distinct")
         return self.spark.sparkContext.broadcast(times)
 
-    def _lists(self, rarity) -> DataFrame:
-        """(key, set_id, n, leader) of lists with two different sets at least."""
-        p = self._keep(self.docs.mapInArrow(_posting_rows(rarity, self.boundary, self.percent), "key long, set_id long, n long"), "postings")
+    def _lists(self, rarity):
+        """(a, b) of lists with two rows, from different sets; and (key, set_id, leader) of the longer lists.
+
+        The least and the greatest member come with the one aggregation that all
+        postings pass. They're all of a list of two; for longer lists, a bitmap of
+        their keys, of a fixed size, holds most other postings back from the join.
+        """
+        p = self._keep(self.docs.mapInArrow(_posting_rows(rarity, self.boundary, self.percent), "key long, set_id long"), "postings")
         turn = lambda c: self._turn(c, self.leaders)
-        heads = p.groupBy("key").agg(F.min(turn("set_id")).alias("low"), F.max(turn("set_id")).alias("high")).where("low <> high").select("key", turn("low").alias("leader"))
-        return self._keep(p.join(heads, "key").distinct(), "lists")
-
-    def _sets(self, ids: DataFrame) -> DataFrame:
-        bits = np.zeros(1 << 16, np.uint64)
-        high = F.shiftrightunsigned("set_id", 42)
-        for r in ids.select(F.shiftright(high, 6).alias("w"), high.bitwiseAND(F.lit(63)).cast("int").alias("_b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("bits")).collect():  # at most 2^16 rows
-            bits[r.w] = np.int64(r.bits).astype(np.uint64)
-        words = self.spark.sparkContext.broadcast([int(x) for x in bits])
-        found = self.docs.mapInArrow(_set_rows(words), "set_id long, shingles array<long>")
-        return self._keep(found.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles")), "sets")
+        heads = p.groupBy("key").agg(F.min(turn("set_id")).alias("low"), F.max(turn("set_id")).alias("high"), F.count("*").alias("k")).where("low <> high")
+        heads = self._keep(heads.select("key", turn("low").alias("leader"), turn("high").alias("other"), "k"), "heads")
+        long = heads.where("k > 2").select("key", "leader")
+        bits = self._keep(bitmap(long, "key", LIST_BITS), "list-bits")
+        lists = maybe_in(bits, p, "key", "_maybe", LIST_BITS).where("_maybe").select("key", "set_id").join(long, "key").distinct()
+        return heads.where("k = 2").select(F.greatest("leader", "other").alias("a"), F.least("leader", "other").alias("b")), self._keep(lists, "lists")
+
+    def _shingles(self, ids: DataFrame) -> DataFrame:
+        """set_id, shingles: only rows that may hold one of the sets are cut again, by a bitmap of their smallest doc_ids."""
+        wanted = self._keep(self.sets.join(ids, "set_id", "left_semi").select("set_id", "low"), "wanted")
+        bits = self._keep(bitmap(wanted, "low"), "wanted-bits")
+        docs = maybe_in(bits, self.docs, "doc_id", "_maybe").where("_maybe or doc_id is null").select("text")
+        found = docs.mapInArrow(_set_rows, "set_id long, shingles array<long>")
+        return self._keep(found.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles")), "shingles")
 
     def _tested(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (a, b) with their Jaccard distance and whether they link."""
-        pairs = self._keep(pairs, f"{label}-pairs")
-        sets = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+        """The pairs (a, b) with bounds of their Jaccard distance (low, high) and whether they link.
+
+        Sizes and sketches bound the distance from below; only pairs that could still link meet with their sets, and their distance is exact.
+        """
+        side = lambda c: self.sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        apart = F.greatest(_differing(F.col("s_a"), F.col("s_b")).cast("long"), F.abs(F.col("n_a") - F.col("n_b")))
+        bound = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("s"), apart.alias("h"))
+        bound = self._keep(bound.select("a", "b", (2 * F.col("h") / (F.col("s") + F.col("h"))).alias("low"), ((F.col("s") - F.col("h")) * 100 >= (F.col("s") + F.col("h")) * self.percent).alias("may")), f"{label}-pairs")
+        sets = self._shingles(bound.where("may").select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
         left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-        got = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-        got = got.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"), (F.col("i") * 100 >= (F.col("s") - F.col("i")) * self.percent).alias("near"))
-        return self._keep(got, f"{label}-tested")
+        got = bound.where("may").select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+        d = 1 - F.col("i") / (F.col("s") - F.col("i"))
+        got = got.select("a", "b", d.alias("low"), d.alias("high"), (F.col("i") * 100 >= (F.col("s") - F.col("i")) * self.percent).alias("near"))
+        return self._keep(bound.where("not may").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("near")).unionByName(got), f"{label}-tested")
 
     def _turn(self, c: str, salts: int, start: int = 0) -> Column:
         """A bijection of set ids that depends on the list, so that different lists favour different members; its own inverse."""
@@ -219,15 +244,15 @@ class JaccardJoin:
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         rarity = self._classes()
-        lists = self._lists(rarity)
-        size = lists.select("set_id", "n").distinct()
-        sizes = lambda d, c: d.join(size.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}")), c)
-        first = lists.where("leader <> set_id").select(F.greatest("leader", "set_id").alias("a"), F.least("leader", "set_id").alias("b")).distinct()
-        tested = self._tested(sizes(sizes(first, "a"), "b").where(_close(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"), "first")
+        twos, lists = self._lists(rarity)
+        ordered = lambda c: (F.greatest("leader", c).alias("a"), F.least("leader", c).alias("b"))
+        first = twos.unionByName(lists.where("leader <> set_id").select(*ordered("set_id")))
+        tested = self._tested(first.distinct(), "first")
         links = tested.where("near").select("a", "b")
-        apart = tested.select("a", "b", "d")
-        lists = lists.withColumns({"a": F.greatest("leader", "set_id"), "b": F.least("leader", "set_id")}).join(apart, ["a", "b"], "left")
-        lists = self._keep(lists.select("key", "set_id", "n", F.when(F.col("leader") == F.col("set_id"), 0.0).otherwise(F.col("d")).alias("d")), "lists")
+        far = tested.select("a", "b", "low", "high")
+        lists = lists.select("*", *ordered("set_id")).join(far, ["a", "b"], "left").join(self.sets.select("set_id", "n"), "set_id")
+        head = F.col("leader") == F.col("set_id")
+        lists = self._keep(lists.select("key", "set_id", "n", F.when(head, 0.0).otherwise(F.col("low")).alias("low"), F.when(head, 0.0).otherwise(F.col("high")).alias("high")), "lists")
 
         # while much is left apart in some lists, its members meet other members of the list's main component
         rows, turn = lists.count(), 0
@@ -239,7 +264,7 @@ class JaccardJoin:
             turn += 1
             heads = placed.join(main.select("key", F.col("main").alias("component")), ["key", "component"]).groupBy("key").agg(F.min(self._turn("set_id", 8, 8 * turn)).alias("low")).select("key", self._turn("low", 8, 8 * turn).alias("head"))
             few = placed.join(main, "key").where("component <> main").select("key", "set_id", "n")
-            more = few.join(heads, "key").join(size.select(F.col("set_id").alias("head"), F.col("n").alias("n_head")), "head").where(_close(F.col("n"), F.col("n_head"), self.percent))
+            more = few.join(heads, "key").join(self.sets.select(F.col("set_id").alias("head"), F.col("n").alias("n_head")), "head").where(_close(F.col("n"), F.col("n_head"), self.percent))
             got = self._tested(self._pairs(more, "set_id", "head", tested), f"turn{turn}")
             new = got.where("near").select("a", "b")
             tested, links = tested.unionByName(got), links.unionByName(new)
@@ -247,14 +272,14 @@ class JaccardJoin:
                 break
 
         # all that could still link across components; distances to the common leader differ by at most that of a link
-        few = placed.join(main, "key").where("component <> main").select("key", F.col("set_id").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("d").alias("d_p"))
-        reach = F.coalesce(F.abs(F.col("d") - F.col("d_p")) <= 1 - self.percent / 100 + 1e-9, F.lit(True))
+        few = placed.join(main, "key").where("component <> main").select("key", F.col("set_id").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("low").alias("low_p"), F.col("high").alias("high_p"))
+        link = 1 - self.percent / 100 + 1e-9
+        reach = (F.col("low") - F.col("high_p") <= link) & (F.col("low_p") - F.col("high") <= link)
         more = few.join(placed, "key").where((F.col("component") != F.col("c_p")) & _close(F.col("n"), F.col("n_p"), self.percent) & reach)
         late = self._tested(self._pairs(more, "p", "set_id", tested), "late")
         self.links = links.unionByName(late.where("near").select("a", "b"))
         node, path = components(self.links.toDF("src", "dst"), "jaccard-cc")
-        least = self.members.groupBy("set_id").agg(F.min("doc_id").alias("low"), F.first("n").alias("n")).where("n > 0")
-        least = least.join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        least = self.sets.select("set_id", "low").join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         top = least.groupBy("component").agg(F.min("low").alias("component_id"))
         known = self._keep(least.join(top, "component").select("set_id", "component_id"), "result")
         out = self.members.join(known, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
