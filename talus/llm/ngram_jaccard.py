@@ -38,6 +38,8 @@ PERCENT = 75
 #: Shingles are counted in so many buckets to order them by rarity: a fixed size at any input.
 RARITY_BITS = 18
 LIST_BITS = 24
+#: Lists of so many rows are compared whole: at most 3.5 pairs a row.
+SHORT = 8
 LEADERS = 3
 ROUNDS = 1
 SCAN_WEIGHT = 2.0
@@ -182,20 +184,28 @@ class JaccardJoin:
         return self.spark.sparkContext.broadcast(times)
 
     def _lists(self, rarity):
-        """(a, b) of lists with two rows, from different sets; and (key, set_id, leader) of the longer lists.
+        """(a, b) of the pairs of lists with SHORT rows at most; and (key, set_id, leader) of the longer lists.
 
         The least and the greatest member come with the one aggregation that all
         postings pass. They're all of a list of two; for longer lists, a bitmap of
         their keys, of a fixed size, holds most other postings back from the join.
         """
-        p = self._keep(self.docs.mapInArrow(_posting_rows(rarity, self.boundary, self.percent), "key long, set_id long"), "postings")
+        # a bitmap of a fixed size holds most of the equal sets' other rows back
+        firsts = self._keep(bitmap(self.sets, "low"), "firsts")
+        docs = maybe_in(firsts, self.docs, "doc_id", "_maybe").where("_maybe or doc_id is null").select("text")
+        p = self._keep(docs.mapInArrow(_posting_rows(rarity, self.boundary, self.percent), "key long, set_id long"), "postings")
         turn = lambda c: self._turn(c, self.leaders)
         heads = p.groupBy("key").agg(F.min(turn("set_id")).alias("low"), F.max(turn("set_id")).alias("high"), F.count("*").alias("k")).where("low <> high")
         heads = self._keep(heads.select("key", turn("low").alias("leader"), turn("high").alias("other"), "k"), "heads")
-        long = heads.where("k > 2").select("key", "leader")
+        long = heads.where("k > 2").select("key", "leader", "k")
         bits = self._keep(bitmap(long, "key", LIST_BITS), "list-bits")
         lists = maybe_in(bits, p, "key", "_maybe", LIST_BITS).where("_maybe").select("key", "set_id").join(long, "key").distinct()
-        return heads.where("k = 2").select(F.greatest("leader", "other").alias("a"), F.least("leader", "other").alias("b")), self._keep(lists, "lists")
+        lists = self._keep(lists, "lists")
+        twos = heads.where("k = 2").select(F.greatest("leader", "other").alias("a"), F.least("leader", "other").alias("b"))
+        m = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list("set_id").alias("m"))
+        pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+        pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SHORT)), lambda y: pair(x, y))))
+        return twos.unionByName(m.select(F.explode(pairs).alias("e")).select("e.*")), lists.where(F.col("k") > SHORT).drop("k")
 
     def _shingles(self, ids: DataFrame) -> DataFrame:
         """set_id, shingles: only rows that may hold one of the sets are cut again, by a bitmap of their smallest doc_ids."""
@@ -272,10 +282,12 @@ class JaccardJoin:
                 break
 
         # all that could still link across components; distances to the common leader differ by at most that of a link
-        few = placed.join(main, "key").where("component <> main").select("key", F.col("set_id").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("low").alias("low_p"), F.col("high").alias("high_p"))
+        placed = placed.join(main.select("key", "main"), "key").join(self.sets.select("set_id", "sketch"), "set_id")
+        few = placed.where("component <> main").select("key", F.col("set_id").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("low").alias("low_p"), F.col("high").alias("high_p"), F.col("sketch").alias("s_p"))
         link = 1 - self.percent / 100 + 1e-9
         reach = (F.col("low") - F.col("high_p") <= link) & (F.col("low_p") - F.col("high") <= link)
-        more = few.join(placed, "key").where((F.col("component") != F.col("c_p")) & _close(F.col("n"), F.col("n_p"), self.percent) & reach)
+        s, h = F.col("n") + F.col("n_p"), _differing(F.col("sketch"), F.col("s_p"))
+        more = few.join(placed, "key").where((F.col("component") != F.col("c_p")) & _close(F.col("n"), F.col("n_p"), self.percent) & reach & ((s - h) * 100 >= (s + h) * self.percent))
         late = self._tested(self._pairs(more, "p", "set_id", tested), "late")
         self.links = links.unionByName(late.where("near").select("a", "b"))
         node, path = components(self.links.toDF("src", "dst"), "jaccard-cc")
