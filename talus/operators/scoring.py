@@ -26,8 +26,8 @@ def points() -> Column:
 def risk_report(files: DataFrame, findings: DataFrame) -> DataFrame:
     """doc_id, n_findings, risk (0 to 100) of every file; files without findings have 0. Findings are summed before the join."""
     per = findings.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(points()).alias("p"))
-    risk = F.least(F.lit(100), F.floor(F.col("p") / 100 * 100).cast("int"))
-    return files.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"), F.coalesce(risk, F.lit(0)).alias("risk"))
+    risk = F.least(F.lit(100), F.floor(F.coalesce("p", F.lit(0.0)) / 100 * 100).cast("int"))  # least() skips nulls
+    return files.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"), risk.alias("risk"))
 
 
 def sensitivity_filter(findings: DataFrame, level: str) -> DataFrame:

@@ -131,7 +131,7 @@ _POINTS = "case severity when 'critical' then 10 when 'high' then 7 when 'medium
 
 
 @query(f"""with {_FINDINGS}, r as (select doc_id, count(*) as n, sum({_POINTS}) as p from f group by 1)
-  select d.doc_id, cast(coalesce(n, 0) as bigint) as n_findings, cast(coalesce(least(100, floor(p / 100 * 100)), 0) as integer) as risk from documents d left join r on d.doc_id = r.doc_id""")
+  select d.doc_id, cast(coalesce(n, 0) as bigint) as n_findings, cast(least(100, floor(coalesce(p, 0) / 100 * 100)) as integer) as risk from documents d left join r on d.doc_id = r.doc_id""")
 def risk_score(spark, sf_dir):
     files = _files(spark, sf_dir)
     return scoring.risk_report(files, findings(files))
