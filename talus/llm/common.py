@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import parts
+
 _own: dict[str, str] = {}
 
 
@@ -104,7 +106,7 @@ def with_columns(df: DataFrame, make, ddl: str) -> DataFrame:
     schema = T.StructType(df.schema.fields + fields)
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, with_columns
-from .words import ALNUM_CUTS, SHINGLE, cut, rolled
+from .words import ALNUM_CUTS, SHINGLE, cut, parts, rolled
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -84,7 +84,7 @@ def _count_rows(known):
     def run(batches):
         keys, widths = known.value
         count = np.zeros(len(keys), np.int64)
-        for b in batches:
+        for b in parts(batches):
             for w in cut(b.column("text"), ALNUM_CUTS):
                 row = w.row_of
                 for k in widths:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bitmap, components, discard, maybe_in, stored
-from .words import mix, shingle_sets
+from .words import mix, parts, shingle_sets
 
 PERCENT = 75
 #: Shingles are counted in so many buckets to order them by rarity: a fixed size at any input.
@@ -95,7 +95,7 @@ def _class_rows(batches):
     count = np.zeros(1 << RARITY_BITS, np.int64)
     shift = np.uint64(64 - RARITY_BITS)
     names = ["doc_id", "set_id", "n", "sketch", "bucket", "times"]
-    for b in batches:
+    for b in parts(batches):
         n, key, sketches = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [None] * b.num_rows
         for i, s in shingle_sets(b.column("text")):
             n[i] = len(s)
@@ -115,7 +115,7 @@ def _posting_rows(rarity: Broadcast, boundary: int, percent: int):
 
     def run(batches):
         times = rarity.value
-        for b in batches:
+        for b in parts(batches):
             keys, ids = [], []
             for _, s in shingle_sets(b.column("text")):
                 n = len(s)
@@ -140,7 +140,7 @@ def _posting_rows(rarity: Broadcast, boundary: int, percent: int):
 
 def _set_rows(batches):
     """The sets of some rows, each once per batch."""
-    for b in batches:
+    for b in parts(batches):
         found = {set_key(s): s.view(np.int64) for _, s in shingle_sets(b.column("text")) if len(s) > 1}
         if found:
             yield pa.RecordBatch.from_arrays([_longs(list(found)), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["set_id", "shingles"])

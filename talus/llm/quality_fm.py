@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import with_columns
-from .words import SPACE_CUTS, cut
+from .words import SPACE_CUTS, cut, parts
 
 WORD_BITS = 14
 FACTORS = 8
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(picked), "doc_id")  # at most sample_rows ids
 
     def make(batches):
-        for b in batches:
+        for b in parts(batches):
             index, value = features(b.column("text"), b.column("n_chars").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("_y").cast(pa.int32()), b.column("doc_id"), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["y", "doc_id", "i", "x"])
 

@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+PART_ROWS = 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ROW = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
@@ -65,6 +66,13 @@ class _Powers:
 _powers = _Powers()
 
 
+def parts(batches, rows: int = PART_ROWS):
+    """Record batches in parts of some rows, so that what is made of each stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def cut(texts: pa.Array | pa.ChunkedArray, cuts: np.ndarray) -> Iterator[Words]:
     """Words of the rows, some MB of text at a time; a null has none."""
     if isinstance(texts, pa.ChunkedArray):
