@@ -175,8 +175,8 @@ class JaccardJoin:
         got = self._keep(self.docs.mapInArrow(_class_rows, "doc_id long, set_id long, n long, sketch array<long>, bucket long, times long"), "classes")
         self.members = got.where("n is not null").select("doc_id", "set_id", "n")
         times = np.zeros(1 << RARITY_BITS, np.int64)
-        for r in got.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("t")).collect():  # at most 2^RARITY_BITS rows
-            times[r.bucket] = r.t
+        by = got.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("t")).toArrow()  # at most 2^RARITY_BITS rows, kept out of Python objects
+        times[np.asarray(by.column("bucket"), np.int64)] = np.asarray(by.column("t"), np.int64)
         sizes = self.members.where("n > 1").groupBy("n").count().where(f"n <= {2 * MAX_BOUNDARY}").collect()
         self.boundary = choose_boundary([(r.n, r["count"]) for r in sizes], self.percent)
         first = lambda c: F.first(c).alias(c)
