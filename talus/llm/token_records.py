@@ -3,7 +3,8 @@
 One record per document: an 8-byte length of the payload, the masked checksum
 of these 8 bytes, the payload, its masked checksum, and a line feed that ends
 the record. The payload holds the document's id (8 bytes, the least value of a
-long for a null) and its token ids, 4 bytes each; all numbers are little-endian.
+long for a null), the width of an id (one byte: 2 if every id of the tokenizer
+fits two bytes, else 4) and the token ids; all numbers are little-endian.
 A masked checksum is the CRC-32 rotated right by 15 bits plus a constant, so
 that checksums of data that holds checksums stay useful.
 
@@ -22,6 +23,8 @@ import json
 import re
 import struct
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,18 +73,40 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Texts whose only white space are blanks and line feeds can be cut before it.
-_PIECES, _OTHER_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
-CACHE_PIECES = 400_000
+#: Texts whose only white space are blanks and line feeds can be cut before runs of it, and between a letter and one of these signs.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PIECES = re.compile(rf"[ \n]*[{_LETTERS}]+(?=[,.;:!?)\"])|[ \n]*[^ \n]+|[ \n]+")
+#: Such a piece is one part for the model, whatever the split pattern.
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+CACHE_PIECES = 500_000
+
+
+class _Pieces(dict):
+    """The ids of pieces as bytes, made on first use; emptied by its owner when full."""
+
+    def __init__(self, tokenizer, kind: str):
+        self.split, self.ids, self.kind = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize, kind
+        self.bytes_of = {k: "".join(p for p, _ in self.split(chr(k))) for k in range(256) if k == 32 or re.match(f"[{_LETTERS}]", chr(k))}
+
+    def __missing__(self, piece: str) -> bytes:
+        if _WORD.fullmatch(piece):
+            ids = [t.id for t in self.ids(piece.translate(self.bytes_of))]
+        else:
+            ids = [t.id for part, _ in self.split(piece) for t in self.ids(part)]
+        out = self[piece] = array(self.kind, ids).tobytes()
+        return out
 
 
 class Encoder:
     """Token ids of texts as bytes, from the tokenizers library, with a bounded cache of pieces.
 
     A byte-level tokenizer with its usual split pattern and no normaliser never
-    joins white space to what stands before it, so a text may be cut before each
-    run of it and the ids of the pieces are those of the whole. Other
-    tokenizers, and texts with other white space, are encoded whole.
+    joins white space to what stands before it, nor a letter to the sign after
+    it, so a text may be cut there and the ids of the pieces are those of the
+    whole. Other tokenizers, texts with other white space, and texts that hold
+    an added token's string are encoded whole. Ids take two bytes each if all
+    of the vocabulary's fit, otherwise four.
     """
 
     def __init__(self, path: str):
@@ -92,33 +117,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
-        split = made.get("pre_tokenizer") or {}
-        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and made.get("normalizer") is None and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] or "\n" in t["content"] for t in made.get("added_tokens", []))
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        split, model = made.get("pre_tokenizer") or {}, made["model"]
+        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and made.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+        self.added = [t["content"] for t in made.get("added_tokens", [])]
+        self.kind = "H" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "I"
+        self.known = _Pieces(self.tokenizer, self.kind) if self.cuts else {}
 
     def __call__(self, text: str) -> bytes:
-        if not self.cuts or _OTHER_SPACE.search(text):
-            return self._whole([text])[0]
-        pieces = _PIECES.findall(text)
-        new = list(set(pieces).difference(self.known))
-        if new:
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
-                new = list(set(pieces))
-            self.known.update(zip(new, self._whole(new), strict=True))
-        return b"".join(map(self.known.__getitem__, pieces))
+        if not self.cuts or _OTHER_SPACE.search(text) or any(a in text for a in self.added):
+            return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, _PIECES.findall(text)))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, so that its tasks share the cache."""
+    return Encoder(path)
 
 
 def _records(path: str, end_id: int):
     def run(batches):
-        encode, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encode = encoder(path)
+        end, width = array(encode.kind, [end_id]).tobytes(), array(encode.kind).itemsize
         for b in batches:
             out, size = [], 0
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                out.append(frame(struct.pack("<q", _NULL_ID if doc is None else doc) + encode(text.as_py() or "") + end))
+                out.append(frame(struct.pack("<qB", _NULL_ID if doc is None else doc, width) + encode(text.as_py() or "") + end))
                 size += len(out[-1])
                 if size > OUT_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
@@ -140,13 +166,19 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     body.write.option("lineSep", "\n").text(path)
 
 
+def ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """The doc_id and the token ids of a payload, as little-endian unsigned 32-bit numbers."""
+    doc, width = struct.unpack("<qB", payload[:9])
+    return None if doc == _NULL_ID else doc, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
+
+
 def _scan(frames_):
     for f in frames_:
         out = []
         for name, data in zip(f.column("path").to_pylist(), f.column("content").to_pylist(), strict=True):
             for k, (at, payload) in enumerate(frames(data)):
-                doc = struct.unpack("<q", payload[:8])[0]
-                out.append((name, k, at, len(payload), None if doc == _NULL_ID else doc, (len(payload) - 8) // 4, zlib.crc32(payload[8:])))
+                doc, ids = ids_of(payload)
+                out.append((name, k, at, len(payload), doc, len(ids), zlib.crc32(ids.tobytes())))
         columns = list(zip(*out, strict=True)) or [[]] * 7
         types = [pa.string(), *[pa.int64()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "ordinal", "offset", "n_bytes", "doc_id", "n_tokens", "ids_crc32"])
