@@ -41,7 +41,7 @@ LIST_BITS = 24
 #: Lists of so many rows are compared whole: at most 3.5 pairs a row.
 SHORT = 8
 LEADERS = 3
-ROUNDS = 1
+ROUNDS = 3
 SCAN_WEIGHT = 2.0
 MAX_BOUNDARY = 64
 
@@ -78,13 +78,13 @@ def _longs(a) -> pa.Array:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the set's counts over a power of two of cells, 2n to 4n of them, as 64-bit words.
+    """Parities of the set's counts over a power of two of cells, 4n to 8n of them, as 64-bit words.
 
     Two sketches of one width differ in no more cells than their sets in
     shingles; the halves of a sketch, combined by exclusive or, are the
     sketch of half the width.
     """
-    words = max(1, 1 << (-(-2 * len(s) // 64) - 1).bit_length())
+    words = max(1, 1 << (-(-4 * len(s) // 64) - 1).bit_length())
     cell = s & np.uint64(64 * words - 1)
     odd = np.bincount(cell.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
