@@ -66,3 +66,12 @@ def test_url_rules_and_aliases(spark):
     assert got[1] == ("a.com", "com/en/", "block")
     assert got[3] == ("b.net", "net/de/", "allow")
     assert got[4] == ("", None, "allow") and got[5][2] == "allow"
+
+
+def test_encoder_equals_the_library_on_whole_texts():
+    public = pytest.importorskip("public_tokenizers")
+    e = token_records.Encoder(public.path(token_records.TOKENIZER))
+    texts = ["", " ", "\n\n", "a", "don't stop, he said: \"foo.bar\"!!  x", "  two\n\n three \n", "tab\there", "naïve café, Ärger; ß.", "a<|endoftext|> b", "x y", "日本 語。", "1,234.5 (a) [b]", "é, ½. ²)"]
+    for t in texts:
+        got = token_records.np.frombuffer(e(t), e.kind).tolist()
+        assert got == e.tokenizer.encode(t, add_special_tokens=False).ids, t
