@@ -5,10 +5,11 @@ tags, with class and id. At each place, pages choose a presentation (the
 sequence of child elements) and leaves hold contents. The entropy of these
 choices over the host's distinct pages says how important a place is: what is
 alike on all pages of a host is noise. A branch is removed from each page if
-its combined importance, presentation and content, is low; so are branches
-that their tag, role, class or id names as navigation, head, foot, aside,
-notice, advert, form or reader comments. If a page has article or main
-elements, only these are read.
+its combined importance, presentation and content, is low and no content in it
+is important by itself; so are branches that their tag, role, class or id names
+as navigation, head, foot, aside, notice, advert, form or reader comments. On
+hosts without a tree (too few pages), article or else main elements are read
+alone if they hold at least half of the text that is left.
 
 Counts per host, place and choice are aggregated before they move, so a host
 with a third of all pages is no hot task; pages get the removed places of their
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -180,35 +182,40 @@ def choices(root: Node):
             texts[id(owner[-1])].append(x)
 
 
-def main_text(root: Node, removed: frozenset[str] = frozenset()) -> str:
-    """Blocks of the page without noise and without branches at removed places."""
-    roots = [x for node, x in ((n, n) for n, t in walk(root) if n is not None and t is None) if x.tag == "article" and not x.noise and x.place not in removed]
-    wanted = {id(x) for x in roots} or {id(x) for n, x in ((n, n) for n, t in walk(root) if n is not None and t is None) if x.tag == "main" and not x.noise}
+def main_text(root: Node, removed: frozenset[str] | None = None) -> str:
+    """Blocks of the page without noise and without branches at removed places; None: the host has no style tree."""
+    gone = removed or frozenset()
     blocks, now = [], []
-    skip, inside = 0, 0
+    skip, inside = 0, {"article": 0, "main": 0}
 
     def end_block():
         text = " ".join(entities.unescape("".join(now)).split())
         if text:
-            blocks.append(text)
+            blocks.append((text, {tag for tag, k in inside.items() if k}))
         now.clear()
 
     for node, x in walk(root):
         if node is not None and x is None:
-            bad = node.noise or node.place in removed
-            skip += bad
-            inside += id(node) in wanted
             if node.tag not in INLINE:
                 end_block()
+            skip += node.noise or node.place in gone
+            if node.tag in inside:
+                inside[node.tag] += 1
         elif node is None:
             if x.tag not in INLINE:
                 end_block()
-            skip -= x.noise or x.place in removed
-            inside -= id(x) in wanted
-        elif not skip and (inside or not wanted):
+            skip -= x.noise or x.place in gone
+            if x.tag in inside:
+                inside[x.tag] -= 1
+        elif not skip:
             now.append(x)
     end_block()
-    return " ".join(blocks)
+    if removed is None:
+        for tag in inside:
+            part = [text for text, within in blocks if tag in within]
+            if part and 2 * sum(map(len, part)) >= sum(len(text) for text, _ in blocks):
+                return " ".join(part)
+    return " ".join(text for text, _ in blocks)
 
 
 def host(url: Column) -> Column:
@@ -224,39 +231,44 @@ def _choice_rows(batches):
         for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             if page:
                 of = digest(page)
-                out += {(h, place, kind, digest(c), of) for place, kind, c in choices(parse(page))}
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "place", "kind", "choice", "page"])
+                found = {(place, kind, digest(c)) for place, kind, c in choices(parse(page))}
+                times = Counter(x[:2] for x in found)
+                out += [(h, *x, of, 1 / times[x[:2]]) for x in found]
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["host", "place", "kind", "choice", "page", "share"])
 
 
 def style_tree(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, place, pages, importance: 0 if all pages of the host agree there, towards 1 if all differ.
+    """host, place, pages, importance: 0 if all pages of the host agree there, towards 1 if all differ; peak, that of the most important content in the branch.
 
     A place's importance is that of its own presentation, with weight OWN, and
-    of the contents at it and below, weighted by how often they occur.
+    of the contents at it and below, weighted by how often they occur. A page
+    may make many choices at one place, as in a list of links; so a choice is
+    measured by the pages that share it against the pages that have the place,
+    which for one choice a page is the entropy.
     """
-    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_choice_rows, "host string, place string, kind string, choice long, page long").distinct()
-    per = rows.groupBy("host", "place", "kind", "choice").agg(F.count("*").alias("n"))
-    entropy = F.log(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / F.sum("n")
-    per = per.groupBy("host", "place", "kind").agg(F.sum("n").alias("m"), entropy.alias("h")).where(F.col("m") >= min_pages)
-    per = per.withColumn("i", F.least(F.greatest(F.col("h") / F.log(F.col("m").cast("double")), F.lit(0.0)), F.lit(1.0)))
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_choice_rows, "host string, place string, kind string, choice long, page long, share double").distinct()
+    per = rows.groupBy("host", "place", "kind", "choice").agg(F.count("*").alias("n"), F.sum("share").alias("share"))
+    alike = F.sum(F.col("n") * F.log(F.col("n").cast("double"))) / F.sum("n")
+    per = per.groupBy("host", "place", "kind").agg(F.sum("n").alias("m"), F.round(F.sum("share")).alias("pages"), alike.alias("alike")).where(F.col("pages") >= min_pages)
+    per = per.withColumn("i", F.least(F.greatest(1 - F.col("alike") / F.log("pages"), F.lit(0.0)), F.lit(1.0)))
     steps = F.split(F.substring("place", 2, 1 << 20), ">")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.concat(F.lit(">"), F.array_join(F.slice(steps, F.lit(1), k), ">")))
-    below = per.where("kind = 'c' and place <> ''").select("host", F.explode(above).alias("place"), "m", "i").groupBy("host", "place").agg(F.max("m").alias("pages"), (F.sum(F.col("i") * F.col("m")) / F.sum("m")).alias("content"))
+    below = per.where("kind = 'c' and place <> ''").select("host", F.explode(above).alias("place"), "m", "pages", "i").groupBy("host", "place").agg(F.max("pages").cast("long").alias("pages"), (F.sum(F.col("i") * F.col("m")) / F.sum("m")).alias("content"), F.max("i").alias("peak"))
     own = per.where("kind = 'p'").select("host", "place", F.col("i").alias("own"))
-    return below.join(own, ["host", "place"], "left").select("host", "place", "pages", F.coalesce(OWN * F.col("own") + (1 - OWN) * F.col("content"), F.col("content")).alias("importance"))
+    return below.join(own, ["host", "place"], "left").select("host", "place", "pages", F.coalesce(OWN * F.col("own") + (1 - OWN) * F.col("content"), F.col("content")).alias("importance"), "peak")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    # the page as a whole and its article are never noise, however alike a host's pages are
-    low = style_tree(pages, min_pages).where((F.col("importance") < least) & ~F.col("place").rlike(r"^>html(>body[^>]*)?$|>(article|main)[^>]*$"))
-    removed, _ = stored(low.groupBy("host").agg(F.collect_set("place").alias("removed")), "style-tree")
+    # the page as a whole is never noise, however alike a host's pages are
+    low = (F.col("importance") < least) & (F.col("peak") < least) & ~F.col("place").rlike(r"^(>html[^>]*)?(>body[^>]*)?$")
+    removed, _ = stored(style_tree(pages, min_pages).groupBy("host").agg(F.collect_set(F.when(low, F.col("place"))).alias("removed")), "style-tree")
     d = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(removed, "host", "left").select("page_id", "url", "html", "removed")
 
     def run(batches):
         for b in batches:
-            texts = [main_text(parse(page), frozenset(gone or ())) if page else "" for page, gone in zip(b.column("html").to_pylist(), b.column("removed").to_pylist(), strict=True)]
+            texts = [main_text(parse(page), None if gone is None else frozenset(gone)) if page else "" for page, gone in zip(b.column("html").to_pylist(), b.column("removed").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return d.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
