@@ -33,8 +33,7 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The batch and slot of every document."""
-    d = docs.select("doc_id", packing.word_count().alias("w"))
-    return packing.pack(d, F.col("w"), ["doc_id", "w"]).drop("w")
+    return packing.pack_documents(docs)
 
 
 STAGES = [

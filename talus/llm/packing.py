@@ -1,22 +1,29 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths goes through a dynamic program that chooses the
+A document's length is the number of its token ids, from op10's tokenizer and
+with the end id. The global histogram of lengths goes through a dynamic program that chooses the
 bucket boundaries with the least padding; inside a bucket, rows form batches
 that fill a token budget once padded to the boundary.
 
-Defined cases: a null or empty text has length 0 and sits in the first bucket,
-counted as 1 when batches are sized; a row longer than the budget is a batch of
+Defined cases: a null or empty text has only the end id; a null length counts
+as 0 and sits in the first bucket; a row longer than the budget is a batch of
 its own; repeated rows are packed each; an empty table gives no rows. Input
 columns pass through; clashing ones are replaced.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stored
+from .token_records import encoder, tokenizer_path
+
 PAD_TO = 8
 BUCKETS = 12
 TOKEN_BUDGET = 65_536
@@ -24,15 +31,12 @@ GROUP_ROWS = 4_096
 
 
 def length_class(n: Column, pad_to: int = PAD_TO) -> Column:
-    """The padded lengths that may be boundaries: multiples of pad_to, beyond 1,024 of them in steps of 1/128 to 1/64 at most.
+    """The padded lengths that may be boundaries: all multiples of pad_to.
 
-    So their number grows with the logarithm of the longest row, and the
-    histogram that reaches the driver is bounded.
+    Those that occur are d at most if all rows hold pad_to * d * d / 2 tokens,
+    so the histogram that reaches the driver grows with the root of the corpus.
     """
-    units = F.greatest(F.ceil(n / pad_to), F.lit(1)).cast("long")
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(units.cast("double"))) - 7, F.lit(0))).cast("long")
-    fine = F.when(units <= 1024, 1).otherwise(step)
-    return F.ceil(units / fine).cast("long") * fine * pad_to
+    return F.greatest(F.ceil(n / pad_to), F.lit(1)).cast("long") * pad_to
 
 
 def best_boundaries(lengths: list[int], counts: list[int], totals: list[int], buckets: int) -> list[int]:
@@ -84,12 +88,13 @@ def pack(df: DataFrame, length: Column, order: list[str], buckets: int = BUCKETS
     last one is not full. The histogram is aggregated before it moves.
     """
     df = df.withColumn("n_tokens", F.coalesce(length, F.lit(0)).cast("long"))
-    hist = df.groupBy(length_class(F.col("n_tokens"), pad_to).alias("c")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("c").collect()
-    if not hist:
+    hist = df.groupBy(length_class(F.col("n_tokens"), pad_to).alias("c")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).toArrow().sort_by("c")  # kept out of Python objects
+    if not hist.num_rows:
         edges, counts = [pad_to], [0]
     else:
-        edges = best_boundaries([r.c for r in hist], [r.n for r in hist], [r.t for r in hist], buckets)
-        counts = [sum(r.n for r in hist if (e == 0 or edges[e - 1] < r.c) and r.c <= edges[e]) for e in range(len(edges))]
+        c, n, t = (hist.column(k).to_numpy() for k in ("c", "n", "t"))
+        edges = best_boundaries(c, n, t, buckets)
+        counts = np.bincount(np.searchsorted(edges, c), weights=n, minlength=len(edges)).astype(int).tolist()
     pick = lambda values: F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("bucket") + 1)
     bucket = F.size(F.filter(F.array(*(F.lit(int(e)).cast("long") for e in edges)), lambda e: e < F.col("n_tokens")))
     out = df.withColumn("bucket", bucket)
@@ -103,12 +108,26 @@ def pack(df: DataFrame, length: Column, order: list[str], buckets: int = BUCKETS
     return out.withColumn("slot", (F.col("_place") - F.col("batch") * fits).cast("long")).drop("_place")
 
 
-def word_count(text: str = "text") -> Column:
-    """White-space words, counted without splitting off arrays: a null has none."""
-    t = F.regexp_replace(F.col(text), r"[^\x20\x09-\x0D]+", "x")
-    return F.coalesce(F.char_length(F.translate(t, " \t\n\u000b\f\r", "")), F.lit(0))
+def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id and w, the token ids of each text with its end id, as op10 writes them."""
+    path = tokenizer or tokenizer_path()
 
+    def run(batches):
+        encode = encoder(path)
+        width = array(encode.kind).itemsize
+        for b in batches:
+            n = [len(encode(t.as_py() or "")) // width + 1 for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "w"])
 
-def op9_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", word_count().alias("w"))
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, w long")
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """The batch and slot of every document, by its token ids."""
+    d, _ = stored(token_lengths(docs), "lengths")  # the histogram and the batches read them, the tokenizer runs once
     return pack(d, F.col("w"), ["doc_id", "w"]).drop("w")
+
+
+def op9_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
