@@ -42,13 +42,15 @@ def closure(edges: DataFrame) -> DataFrame:
         n = m
 
 
-def nation_edges(spark: SparkSession, sf_dir: str, keep: int = 2) -> DataFrame:
-    """For each supplier nation the keep customer nations with most of its line items, itself aside."""
+def nation_edges(spark: SparkSession, sf_dir: str, keep: int | None = 2) -> DataFrame:
+    """For each supplier nation the keep customer nations with most of its line items, itself aside; None: all of them."""
     from pyspark.sql import Window as W
 
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     li = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     n = li.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).count()
+    if keep is None:
+        return n.select("src", "dst")
     place = F.row_number().over(W.partitionBy("src").orderBy(F.col("count").desc(), "dst"))  # of at most as many rows as there are nations
     return n.withColumn("p", place).where(F.col("p") <= keep).select("src", "dst")

@@ -77,3 +77,9 @@ def test_language_and_globs(spark):
     t = spark.createDataFrame([("a/b.PY",), ("c.rs",), ("x",), (None,)], "p string")
     assert [r[0] for r in t.select(corpus.language(t.p)).collect()] == ["python", "rust", "unknown", "unknown"]
     assert [r[0] for r in t.where("p is not null").select(corpus.excluded(t.p, ("a/*", "?"))).collect()] == [True, False, True]
+
+
+def test_all_nation_edges(spark, duck):
+    sql = "select distinct s_nationkey, c_nationkey from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where s_nationkey <> c_nationkey"
+    got = {tuple(r) for r in graph.nation_edges(spark, SMALL, keep=None).collect()}
+    assert got == set(duck.execute(sql).fetchall())
