@@ -90,23 +90,28 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
-def _class_rows(batches):
-    """(doc_id, set_id, n, sketch, null, null) of each row, then the counts of shingle buckets of the task."""
-    count = np.zeros(1 << RARITY_BITS, np.int64)
+def _class_rows(by_row: bool):
+    names = ["doc_id", "set_id", "n", "sketch", "bucket", "times", *(["text_key"] if by_row else [])]
     shift = np.uint64(64 - RARITY_BITS)
-    names = ["doc_id", "set_id", "n", "sketch", "bucket", "times"]
-    for b in parts(batches):
-        n, key, sketches = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [None] * b.num_rows
-        for i, s in shingle_sets(b.column("text")):
-            n[i] = len(s)
-            if len(s):
-                key[i], sketches[i] = set_key(s), sketch(s)
-                np.add.at(count, (s >> shift).astype(np.int64), 1)
-        none = pa.nulls(b.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _longs(key), _longs(n), pa.array(sketches, pa.list_(pa.int64())), none, none], names=names)
-    some = np.flatnonzero(count)
-    none = pa.nulls(len(some), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.list_(pa.int64())), _longs(some), _longs(count[some])], names=names)
+
+    def run(batches):
+        """(doc_id, set_id, n, sketch, null, null) of each row, and its text_key if by_row; then the counts of shingle buckets of the task."""
+        count = np.zeros(1 << RARITY_BITS, np.int64)
+        for b in parts(batches):
+            n, key, sketches = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [None] * b.num_rows
+            for i, s in shingle_sets(b.column("text")):
+                n[i] = len(s)
+                if len(s):
+                    key[i], sketches[i] = set_key(s), sketch(s)
+                    np.add.at(count, (s >> shift).astype(np.int64), 1)
+            none = pa.nulls(b.num_rows, pa.int64())
+            out = [b.column("doc_id"), _longs(key), _longs(n), pa.array(sketches, pa.list_(pa.int64())), none, none]
+            yield pa.RecordBatch.from_arrays([*out, *([b.column("text_key")] if by_row else [])], names=names)
+        some = np.flatnonzero(count)
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.list_(pa.int64())), _longs(some), _longs(count[some]), *([none] if by_row else [])], names=names)
+
+    return run
 
 
 def _posting_rows(rarity: Broadcast, boundary: int, percent: int):
@@ -158,11 +163,19 @@ def _close(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 class JaccardJoin:
-    """The join over one table; members: (doc_id, set_id, n) of its rows, links: (a, b) of set ids."""
+    """The join over one table; members: (doc_id, set_id, n) of its rows, links: (a, b) of set ids.
+
+    by_row: members have text_key too, and known has the winner of each set's component and the rows of the set.
+    """
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT, leaders: int = LEADERS, rounds: int = ROUNDS):
-        self.docs, self.percent, self.leaders, self.rounds = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), percent, leaders, rounds
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, leaders: int = LEADERS, rounds: int = ROUNDS, by_row: bool = False):
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([_text_key().alias("text_key")] if by_row else []))
+        self.percent, self.leaders, self.rounds, self.by_row = percent, leaders, rounds, by_row
         self.spark = docs.sparkSession
         self.temporary: list[str] = []
 
@@ -172,15 +185,16 @@ class JaccardJoin:
         return out
 
     def _classes(self):
-        got = self._keep(self.docs.mapInArrow(_class_rows, "doc_id long, set_id long, n long, sketch array<long>, bucket long, times long"), "classes")
-        self.members = got.where("n is not null").select("doc_id", "set_id", "n")
+        got = self._keep(self.docs.mapInArrow(_class_rows(self.by_row), f"doc_id long, set_id long, n long, sketch array<long>, bucket long, times long{', text_key long' if self.by_row else ''}"), "classes")
+        self.members = got.where("n is not null").select("doc_id", *(["text_key"] if self.by_row else []), "set_id", "n")
         times = np.zeros(1 << RARITY_BITS, np.int64)
         by = got.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("t")).toArrow()  # at most 2^RARITY_BITS rows, kept out of Python objects
         times[np.asarray(by.column("bucket"), np.int64)] = np.asarray(by.column("t"), np.int64)
         sizes = self.members.where("n > 1").groupBy("n").count().where(f"n <= {2 * MAX_BOUNDARY}").collect()
         self.boundary = choose_boundary([(r.n, r["count"]) for r in sizes], self.percent)
         first = lambda c: F.first(c).alias(c)
-        self.sets = self._keep(got.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), first("n"), first("sketch")), "distinct")
+        best = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"), F.count("*").alias("rows")] if self.by_row else []
+        self.sets = self._keep(got.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), first("n"), first("sketch"), *best), "distinct")
         return self.spark.sparkContext.broadcast(times)
 
     def _lists(self, rarity):
@@ -291,10 +305,10 @@ class JaccardJoin:
         late = self._tested(self._pairs(more, "p", "set_id", tested), "late")
         self.links = links.unionByName(late.where("near").select("a", "b"))
         node, path = components(self.links.toDF("src", "dst"), "jaccard-cc")
-        least = self.sets.select("set_id", "low").join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        top = least.groupBy("component").agg(F.min("low").alias("component_id"))
-        known = self._keep(least.join(top, "component").select("set_id", "component_id"), "result")
-        out = self.members.join(known, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        least = self.sets.drop("n", "sketch").join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        top = least.groupBy("component").agg(F.min("low").alias("component_id"), *([F.min("best").alias("winner")] if self.by_row else []))
+        self.known = self._keep(least.join(top, "component").select("set_id", "component_id", *(["winner", "rows"] if self.by_row else [])), "result")
+        out = self.members.join(self.known, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
         keep = {self.temporary[0], self.temporary[-1]}
         discard(self.spark, path, *(x for x in self.temporary if x not in keep))
         return out
@@ -305,15 +319,37 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id. A null doc_id stays.
+    """docs with one row of each group: that with the smallest doc_id, a null being the greatest, and of these with the least hash of the text.
+
+    Rows that repeat id and text are one group, also without words; other rows
+    without words all stay. A doc_id with two texts is judged for each text.
 
-    Most rows are settled by a bitmap of the dropped ids, of a fixed size; only rows that hit it are shuffled.
+    Most rows are settled by a bitmap of the dropped rows, of a fixed size; only rows that hit it are shuffled.
     """
-    drop, _ = stored(near_duplicates(docs, percent).where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-drop")
-    bits, _ = stored(bitmap(drop, "doc_id"), "jaccard-bits")
-    seen = maybe_in(bits, docs, "doc_id", "_maybe")
-    doubtful = seen.where("_maybe").join(drop, "doc_id", "left_anti")
-    return seen.where("not _maybe").unionByName(doubtful).select(*docs.columns)
+    join = JaccardJoin(docs, percent, by_row=True)
+    join.run()
+    row = ["doc_id", "text_key"]
+    placed = join.members.where("n > 0").join(join.known, "set_id")
+    wins = F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("text_key") == F.col("winner.text_key"))
+    # a row that stays can be repeated only where several rows have its set
+    some, _ = stored(placed.select(*row, wins.alias("wins"), "rows").where("not wins or rows > 1").drop("rows").unionByName(join.members.where("n = 0").select(*row, F.lit(True).alias("wins"))), "jaccard-some")
+    drop = some.where("not wins").select(*row).distinct()
+    again, _ = stored(some.where("wins").groupBy(*row).count().where("count > 1").select(*row), "jaccard-again")
+    drop, _ = stored(drop.unionByName(again), "jaccard-drop")
+    own = {"_id": F.col("doc_id").cast("long"), "_key": _text_key()}
+    both = lambda: F.xxhash64("_id", "_key")
+    known = lambda df: df.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))
+    marked = docs.withColumns(own).withColumn("_row", both())
+    bits = lambda df, label: stored(bitmap(df.select(F.xxhash64(*row).alias("_row")), "_row"), label)[0]
+    seen = maybe_in(bits(drop, "jaccard-bits"), marked, "_row", "_maybe")
+    out = seen.where("not _maybe").unionByName(seen.where("_maybe").join(known(drop), same, "left_anti")).select(*docs.columns)
+    if again.isEmpty():
+        return out
+    # rows with one id and text come together by a partial aggregation, so many copies are no hot task
+    rows = maybe_in(bits(again, "jaccard-again-bits"), marked, "_row", "_maybe").where("_maybe")
+    one = rows.groupBy("_id", "_key").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("one"))
+    return out.unionByName(one.join(known(again), same, "left_semi").select("one.*"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
