@@ -37,11 +37,16 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    jvm = spark.sparkContext._jvm
+def discard(*paths: str) -> None:
+    """Remove scratch tables. Where pyarrow knows no client for the file system they stay, to be cleared with the folder."""
+    from pyarrow import ArrowException, fs
+
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        try:
+            files, at = fs.FileSystem.from_uri(p if "://" in p else f"file://{p}")
+            files.delete_dir(at)
+        except (ArrowException, OSError):
+            continue
 
 
 def bitmap(df: DataFrame, key: str, log2_bits: int = 22) -> DataFrame:
@@ -86,7 +91,7 @@ def components(edges: DataFrame, label: str = "cc") -> tuple[DataFrame, str | No
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new, new_path_ = stored(small, label)
         new_mark = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        discard(spark, path)
+        discard(path)
         now, path = new, new_path_
         if tuple(new_mark) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")), path

@@ -25,9 +25,11 @@ are one component; a null doc_id has a component only through others' ids.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,18 @@ from .common import bitmap, components, discard, maybe_in, stored
 from .words import mix, parts, shingle_sets
 
 PERCENT = 75
-#: Shingles are counted in so many buckets to order them by rarity: a fixed size at any input.
-RARITY_BITS = 18
+#: Shingles are counted in 2^RARITY_BITS cells to order them by rarity, 4 bytes each at any input: a shingle
+#: stands out once it is more frequent than the spread of its cell, the root of all shingles by cells.
+RARITY_BITS = 22
+SLICE_CELLS = 1 << 16
+#: So many tasks' counts are added at a time.
+FAN = 64
+#: Rows of a list in one cell of the last join.
+CELL_ROWS = 512
 LIST_BITS = 24
 #: Lists of so many rows are compared whole: at most 3.5 pairs a row.
 SHORT = 8
+#: Heads of a list, by its key; rounds in which rows left apart meet other heads.
 LEADERS = 3
 ROUNDS = 3
 SCAN_WEIGHT = 2.0
@@ -90,13 +99,22 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+def pack_counts(c: np.ndarray) -> bytes:
+    """Counts byte plane by byte plane: the upper ones are mostly zero."""
+    return zlib.compress(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def _class_rows(by_row: bool):
-    names = ["doc_id", "set_id", "n", "sketch", "bucket", "times", *(["text_key"] if by_row else [])]
+    names = ["doc_id", "set_id", "n", "sketch", "task", "slice", "counts", *(["text_key"] if by_row else [])]
     shift = np.uint64(64 - RARITY_BITS)
 
     def run(batches):
-        """(doc_id, set_id, n, sketch, null, null) of each row, and its text_key if by_row; then the counts of shingle buckets of the task."""
-        count = np.zeros(1 << RARITY_BITS, np.int64)
+        """(doc_id, set_id, n, sketch) of each row, and its text_key if by_row; then the task's counts of shingle cells, in slices."""
+        count = np.zeros(1 << RARITY_BITS, np.uint32)
         for b in parts(batches):
             n, key, sketches = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [None] * b.num_rows
             for i, s in shingle_sets(b.column("text")):
@@ -105,15 +123,40 @@ def _class_rows(by_row: bool):
                     key[i], sketches[i] = set_key(s), sketch(s)
                     np.add.at(count, (s >> shift).astype(np.int64), 1)
             none = pa.nulls(b.num_rows, pa.int64())
-            out = [b.column("doc_id"), _longs(key), _longs(n), pa.array(sketches, pa.list_(pa.int64())), none, none]
+            out = [b.column("doc_id"), _longs(key), _longs(n), pa.array(sketches, pa.list_(pa.int64())), none, none, pa.nulls(b.num_rows, pa.binary())]
             yield pa.RecordBatch.from_arrays([*out, *([b.column("text_key")] if by_row else [])], names=names)
-        some = np.flatnonzero(count)
+        cells = count.reshape(-1, SLICE_CELLS)
+        some = np.flatnonzero(cells.any(1))
         none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.list_(pa.int64())), _longs(some), _longs(count[some]), *([none] if by_row else [])], names=names)
+        out = [none, none, none, pa.nulls(len(some), pa.list_(pa.int64())), _longs(np.full(len(some), TaskContext.get().partitionId())), _longs(some), pa.array([pack_counts(cells[k]) for k in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*out, *([none] if by_row else [])], names=names)
 
     return run
 
 
+def _add_counts(t: pa.Table) -> pa.Table:
+    """One row: the sum of the packed counts of a slice (at most FAN of them), which stay below 2^32."""
+    total = np.zeros(SLICE_CELLS, np.uint64)
+    for c in t.column("counts"):
+        total += unpack_counts(c.as_py())
+    return pa.table({"task": _longs([t.column("task")[0].as_py() // FAN]), "slice": t.column("slice")[:1], "counts": pa.array([pack_counts(np.minimum(total, 2**32 - 1))], pa.binary())})
+
+
+def count_cells(slices: DataFrame) -> np.ndarray:
+    """The counts of all tasks' slices (task, slice, counts), added FAN tasks at a time; the driver gets 4 bytes a cell."""
+    last = slices.agg(F.max("task")).first()[0]
+    out = np.zeros((1 << RARITY_BITS) // SLICE_CELLS * SLICE_CELLS, np.uint32).reshape(-1, SLICE_CELLS)
+    while last is not None:
+        slices = slices.groupBy(F.floor(F.col("task") / FAN).alias("_part"), F.col("slice").alias("_slice")).applyInArrow(_add_counts, "task long, slice long, counts binary")
+        last //= FAN
+        if last == 0:
+            t = slices.toArrow()
+            for k, c in zip(t.column("slice").to_pylist(), t.column("counts"), strict=True):
+                out[k] = unpack_counts(c.as_py())
+            break
+    return out.reshape(-1)
+
+
 def _posting_rows(rarity: Broadcast, boundary: int, percent: int):
     shift = np.uint64(64 - RARITY_BITS)
     both_from = needed(boundary + 1, percent)
@@ -177,24 +220,26 @@ class JaccardJoin:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([_text_key().alias("text_key")] if by_row else []))
         self.percent, self.leaders, self.rounds, self.by_row = percent, leaders, rounds, by_row
         self.spark = docs.sparkSession
-        self.temporary: list[str] = []
+        self.temporary: dict[str, list[str]] = {}
 
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         out, path = stored(df, f"jaccard-{label}")
-        self.temporary.append(path)
+        self.temporary.setdefault(label, []).append(path)
         return out
 
+    def _drop(self, *labels: str) -> None:
+        """Remove tables that nothing reads any more, so that disk holds those of the present step."""
+        discard(*(path for x in labels for path in self.temporary.pop(x, ())))
+
     def _classes(self):
-        got = self._keep(self.docs.mapInArrow(_class_rows(self.by_row), f"doc_id long, set_id long, n long, sketch array<long>, bucket long, times long{', text_key long' if self.by_row else ''}"), "classes")
+        got = self._keep(self.docs.mapInArrow(_class_rows(self.by_row), f"doc_id long, set_id long, n long, sketch array<long>, task long, slice long, counts binary{', text_key long' if self.by_row else ''}"), "classes")
         self.members = got.where("n is not null").select("doc_id", *(["text_key"] if self.by_row else []), "set_id", "n")
-        times = np.zeros(1 << RARITY_BITS, np.int64)
-        by = got.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("t")).toArrow()  # at most 2^RARITY_BITS rows, kept out of Python objects
-        times[np.asarray(by.column("bucket"), np.int64)] = np.asarray(by.column("t"), np.int64)
+        times = count_cells(got.where("slice is not null").select("task", "slice", "counts"))
         sizes = self.members.where("n > 1").groupBy("n").count().where(f"n <= {2 * MAX_BOUNDARY}").collect()
         self.boundary = choose_boundary([(r.n, r["count"]) for r in sizes], self.percent)
         first = lambda c: F.first(c).alias(c)
         best = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"), F.count("*").alias("rows")] if self.by_row else []
-        self.sets = self._keep(got.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), first("n"), first("sketch"), *best), "distinct")
+        self.sets = self._keep(got.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), first("n"), first("sketch"), *best), "sets")
         return self.spark.sparkContext.broadcast(times)
 
     def _lists(self, rarity):
@@ -214,23 +259,27 @@ class JaccardJoin:
         long = heads.where("k > 2").select("key", "leader", "k")
         bits = self._keep(bitmap(long, "key", LIST_BITS), "list-bits")
         lists = maybe_in(bits, p, "key", "_maybe", LIST_BITS).where("_maybe").select("key", "set_id").join(long, "key").distinct()
-        lists = self._keep(lists, "lists")
+        lists = self._keep(lists, "members")
         twos = heads.where("k = 2").select(F.greatest("leader", "other").alias("a"), F.least("leader", "other").alias("b"))
         m = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list("set_id").alias("m"))
         pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
         pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SHORT)), lambda y: pair(x, y))))
-        return twos.unionByName(m.select(F.explode(pairs).alias("e")).select("e.*")), lists.where(F.col("k") > SHORT).drop("k")
+        lists_ = lists.where(F.col("k") > SHORT).drop("k")
+        first = twos.unionByName(m.select(F.explode(pairs).alias("e")).select("e.*")).unionByName(lists_.where("leader <> set_id").select(*_ordered("leader", "set_id")))
+        first = self._keep(first.distinct(), "pairs")
+        self._drop("firsts", "postings", "heads", "list-bits")
+        return first, lists_
 
     def _shingles(self, ids: DataFrame) -> DataFrame:
         """set_id, shingles: only rows that may hold one of the sets are cut again, by a bitmap of their smallest doc_ids."""
         wanted = self._keep(self.sets.join(ids, "set_id", "left_semi").select("set_id", "low"), "wanted")
-        bits = self._keep(bitmap(wanted, "low"), "wanted-bits")
+        bits = self._keep(bitmap(wanted, "low"), "wanted")
         docs = maybe_in(bits, self.docs, "doc_id", "_maybe").where("_maybe or doc_id is null").select("text")
         found = docs.mapInArrow(_set_rows, "set_id long, shingles array<long>")
         return self._keep(found.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles")), "shingles")
 
-    def _tested(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (a, b) with bounds of their Jaccard distance (low, high) and whether they link.
+    def _tested(self, pairs: DataFrame) -> DataFrame:
+        """The stored pairs (a, b) with bounds of their Jaccard distance (low, high) and whether they link.
 
         Sizes and sketches bound the distance from below; only pairs that could still link meet with their sets, and their distance is exact.
         """
@@ -238,14 +287,16 @@ class JaccardJoin:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         apart = F.greatest(_differing(F.col("s_a"), F.col("s_b")).cast("long"), F.abs(F.col("n_a") - F.col("n_b")))
         bound = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("s"), apart.alias("h"))
-        bound = self._keep(bound.select("a", "b", (2 * F.col("h") / (F.col("s") + F.col("h"))).alias("low"), ((F.col("s") - F.col("h")) * 100 >= (F.col("s") + F.col("h")) * self.percent).alias("may")), f"{label}-pairs")
+        bound = self._keep(bound.select("a", "b", (2 * F.col("h") / (F.col("s") + F.col("h"))).alias("low"), ((F.col("s") - F.col("h")) * 100 >= (F.col("s") + F.col("h")) * self.percent).alias("may")), "bound")
         sets = self._shingles(bound.where("may").select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
         left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
         got = bound.where("may").select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
         d = 1 - F.col("i") / (F.col("s") - F.col("i"))
         got = got.select("a", "b", d.alias("low"), d.alias("high"), (F.col("i") * 100 >= (F.col("s") - F.col("i")) * self.percent).alias("near"))
-        return self._keep(bound.where("not may").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("near")).unionByName(got), f"{label}-tested")
+        out = self._keep(bound.where("not may").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("near")).unionByName(got), "tested")
+        self._drop("bound", "wanted", "shingles")
+        return out
 
     def _turn(self, c: str, salts: int, start: int = 0) -> Column:
         """A bijection of set ids that depends on the list, so that different lists favour different members; its own inverse."""
@@ -255,64 +306,81 @@ class JaccardJoin:
     def _placed(self, lists: DataFrame, links: DataFrame):
         """The lists with the component of each member; and of the lists with several components, (key, main): the largest one."""
         node, path = components(links.toDF("src", "dst"), "jaccard-cc")
+        self._drop("placed")
         placed = self._keep(lists.join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
-        discard(self.spark, path)
+        discard(path)
         by = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
         main = by.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most"))
         return placed, self._keep(main.where("parts > 1").select("key", "main", "all", "most"), "main")
 
     def _pairs(self, df: DataFrame, p: str, q: str, tested: DataFrame) -> DataFrame:
-        pairs = df.select(F.greatest(p, q).alias("a"), F.least(p, q).alias("b")).where("a <> b").distinct()
-        return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = df.select(*_ordered(p, q)).where("a <> b").distinct()
+        return self._keep(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         rarity = self._classes()
-        twos, lists = self._lists(rarity)
-        ordered = lambda c: (F.greatest("leader", c).alias("a"), F.least("leader", c).alias("b"))
-        first = twos.unionByName(lists.where("leader <> set_id").select(*ordered("set_id")))
-        tested = self._tested(first.distinct(), "first")
+        first, lists = self._lists(rarity)
+        rarity.unpersist()
+        tested = self._tested(first)
+        self._drop("pairs")
         links = tested.where("near").select("a", "b")
         far = tested.select("a", "b", "low", "high")
-        lists = lists.select("*", *ordered("set_id")).join(far, ["a", "b"], "left").join(self.sets.select("set_id", "n"), "set_id")
+        lists = lists.select("*", *_ordered("leader", "set_id")).join(far, ["a", "b"], "left").join(self.sets.select("set_id", "n"), "set_id")
         head = F.col("leader") == F.col("set_id")
         lists = self._keep(lists.select("key", "set_id", "n", F.when(head, 0.0).otherwise(F.col("low")).alias("low"), F.when(head, 0.0).otherwise(F.col("high")).alias("high")), "lists")
+        self._drop("members")
 
-        # while much is left apart in some lists, its members meet other members of the list's main component
+        # while much is left apart from a large component of the same list, it meets other members of that component
         rows, turn = lists.count(), 0
         while True:
             placed, main = self._placed(lists, links)
-            work = main.agg(F.sum(F.expr("(all - most) * all"))).first()[0] or 0
+            work = main.agg(F.sum(F.expr("(all - most) * (most - 1)"))).first()[0] or 0
             if work <= 2 * rows or turn == self.rounds:
                 break
             turn += 1
             heads = placed.join(main.select("key", F.col("main").alias("component")), ["key", "component"]).groupBy("key").agg(F.min(self._turn("set_id", 8, 8 * turn)).alias("low")).select("key", self._turn("low", 8, 8 * turn).alias("head"))
             few = placed.join(main, "key").where("component <> main").select("key", "set_id", "n")
             more = few.join(heads, "key").join(self.sets.select(F.col("set_id").alias("head"), F.col("n").alias("n_head")), "head").where(_close(F.col("n"), F.col("n_head"), self.percent))
-            got = self._tested(self._pairs(more, "set_id", "head", tested), f"turn{turn}")
+            got = self._tested(self._pairs(more, "set_id", "head", tested))
+            self._drop("pairs")
             new = got.where("near").select("a", "b")
             tested, links = tested.unionByName(got), links.unionByName(new)
             if new.isEmpty():
                 break
 
         # all that could still link across components; distances to the common leader differ by at most that of a link
-        placed = placed.join(main.select("key", "main"), "key").join(self.sets.select("set_id", "sketch"), "set_id")
-        few = placed.where("component <> main").select("key", F.col("set_id").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("low").alias("low_p"), F.col("high").alias("high_p"), F.col("sketch").alias("s_p"))
-        link = 1 - self.percent / 100 + 1e-9
-        reach = (F.col("low") - F.col("high_p") <= link) & (F.col("low_p") - F.col("high") <= link)
-        s, h = F.col("n") + F.col("n_p"), _differing(F.col("sketch"), F.col("s_p"))
-        more = few.join(placed, "key").where((F.col("component") != F.col("c_p")) & _close(F.col("n"), F.col("n_p"), self.percent) & reach & ((s - h) * 100 >= (s + h) * self.percent))
-        late = self._tested(self._pairs(more, "p", "set_id", tested), "late")
+        late = self._tested(self._late_pairs(placed, main, tested))
         self.links = links.unionByName(late.where("near").select("a", "b"))
         node, path = components(self.links.toDF("src", "dst"), "jaccard-cc")
         least = self.sets.drop("n", "sketch").join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         top = least.groupBy("component").agg(F.min("low").alias("component_id"), *([F.min("best").alias("winner")] if self.by_row else []))
         self.known = self._keep(least.join(top, "component").select("set_id", "component_id", *(["winner", "rows"] if self.by_row else [])), "result")
         out = self.members.join(self.known, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-        keep = {self.temporary[0], self.temporary[-1]}
-        discard(self.spark, path, *(x for x in self.temporary if x not in keep))
+        discard(path)
+        self._drop(*(x for x in list(self.temporary) if x not in ("classes", "result")))
         return out
 
+    def _late_pairs(self, placed: DataFrame, main: DataFrame, tested: DataFrame) -> DataFrame:
+        """Pairs of a list outside its main component, with all members of other components that sizes and bounds allow.
+
+        A list's rows are dealt to a grid of cells of about CELL_ROWS rows a side, so that a long list is many tasks' work.
+        """
+        side = F.ceil(F.sqrt(F.col("all") / CELL_ROWS)).cast("int")
+        own = F.pmod(F.xxhash64("set_id"), F.col("side")).cast("int")
+        placed = placed.join(main.select("key", "main", side.alias("side")), "key").withColumn("own", own)
+        every = F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other")
+        few = placed.where("component <> main").select("*", every).select("key", (F.col("own") * F.col("side") + F.col("other")).alias("cell"), *(F.col(c).alias(f"{c}_p") for c in ("set_id", "n", "component", "low", "high")))
+        all_ = placed.select("*", every).select("key", (F.col("other") * F.col("side") + F.col("own")).alias("cell"), "set_id", "n", "component", "low", "high")
+        link = 1 - self.percent / 100 + 1e-9
+        reach = (F.col("low") - F.col("high_p") <= link) & (F.col("low_p") - F.col("high") <= link)
+        apart = F.col("component") != F.col("component_p")
+        return self._pairs(few.join(all_, ["key", "cell"]).where(apart & _close(F.col("n"), F.col("n_p"), self.percent) & reach), "set_id_p", "set_id", tested)
+
+
+def _ordered(p: str, q: str) -> tuple[Column, Column]:
+    return F.greatest(p, q).alias("a"), F.least(p, q).alias("b")
+
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return JaccardJoin(docs, percent).run()
