@@ -10,9 +10,10 @@ lists, and light sets that could link with larger ones join those lists too.
 The boundary is the size with the least cost over the histogram of set sizes.
 
 Equal sets form one class first, and inside a list not all pairs meet: every
-member is verified against a few leaders, then, while much is left apart,
-against other members of the list's largest component. What remains in
-different components is compared with all members that could link, by size and
+member is verified against a few leaders. Lists of one leader with nearly the
+same members then become one group, so that a pair doesn't meet once a list.
+While much is left apart, it meets other members of the group's largest
+component. What remains in different components is compared with all members that could link, by size and
 by the triangle inequality of Jaccard distances to the common leader, so no
 link between components is lost while large groups of near copies stay linear.
 Verification first bounds a pair's distance by small parity sketches, which
@@ -39,11 +40,13 @@ from .words import mix, parts, shingle_sets
 PERCENT = 75
 #: Shingles are counted in 2^RARITY_BITS cells to order them by rarity, 4 bytes each at any input: a shingle
 #: stands out once it is more frequent than the spread of its cell, the root of all shingles by cells.
-RARITY_BITS = 22
+RARITY_BITS = 20
 SLICE_CELLS = 1 << 16
 #: So many tasks' counts are added at a time.
 FAN = 64
-#: Rows of a list in one cell of the last join.
+#: A round moves every row through some tables and its joins, which costs about so many comparisons of two rows in a task.
+ROUND_COST = 64
+#: Rows of a group in one cell of the last join.
 CELL_ROWS = 512
 LIST_BITS = 24
 #: Lists of so many rows are compared whole: at most 3.5 pairs a row.
@@ -328,15 +331,16 @@ class JaccardJoin:
         far = tested.select("a", "b", "low", "high")
         lists = lists.select("*", *_ordered("leader", "set_id")).join(far, ["a", "b"], "left").join(self.sets.select("set_id", "n"), "set_id")
         head = F.col("leader") == F.col("set_id")
-        lists = self._keep(lists.select("key", "set_id", "n", F.when(head, 0.0).otherwise(F.col("low")).alias("low"), F.when(head, 0.0).otherwise(F.col("high")).alias("high")), "lists")
-        self._drop("members")
+        lists = lists.select("key", "leader", "set_id", "n", F.when(head, 0.0).otherwise(F.col("low")).alias("low"), F.when(head, 0.0).otherwise(F.col("high")).alias("high"))
+        lists = self._keep(self._grouped(self._keep(lists, "lists")), "groups")
+        self._drop("members", "lists")
 
-        # while much is left apart from a large component of the same list, it meets other members of that component
+        # while much is left apart from a large component of the same group, it meets other members of that component
         rows, turn = lists.count(), 0
         while True:
             placed, main = self._placed(lists, links)
             work = main.agg(F.sum(F.expr("(all - most) * (most - 1)"))).first()[0] or 0
-            if work <= 2 * rows or turn == self.rounds:
+            if work <= ROUND_COST * rows or turn == self.rounds:
                 break
             turn += 1
             heads = placed.join(main.select("key", F.col("main").alias("component")), ["key", "component"]).groupBy("key").agg(F.min(self._turn("set_id", 8, 8 * turn)).alias("low")).select("key", self._turn("low", 8, 8 * turn).alias("head"))
@@ -361,21 +365,38 @@ class JaccardJoin:
         self._drop(*(x for x in list(self.temporary) if x not in ("classes", "result")))
         return out
 
+    def _grouped(self, lists: DataFrame) -> DataFrame:
+        """The lists (key, leader, set_id, n, low, high) as groups whose members meet: (key, set_id, n, low, high).
+
+        Lists of one leader that hold nearly the same members would let a pair
+        meet once a list, so they become one group where the leader's distinct
+        members squared are no more than the sum of its lists' lengths squared;
+        elsewhere each list is a group. Groups that a hash joins only meet more.
+        """
+        size = lists.groupBy("key").agg(F.count("*").alias("k"))
+        rows = lists.join(size, "key")
+        members = rows.groupBy("leader", "set_id").agg(F.sum("k").alias("met")).groupBy("leader").agg(F.count("*").alias("d"), F.sum("met").alias("met"))
+        whole = members.where("d * d <= met").select("leader", F.lit(True).alias("whole"))
+        group = F.when(F.col("whole"), F.xxhash64(F.lit(True), "leader")).otherwise(F.xxhash64(F.lit(False), "key"))
+        return lists.join(whole, "leader", "left").select(group.alias("key"), "set_id", "n", "low", "high").distinct()
+
     def _late_pairs(self, placed: DataFrame, main: DataFrame, tested: DataFrame) -> DataFrame:
-        """Pairs of a list outside its main component, with all members of other components that sizes and bounds allow.
+        """Pairs of a group outside its main component, with all members of other components that sizes, sketches and bounds allow.
 
-        A list's rows are dealt to a grid of cells of about CELL_ROWS rows a side, so that a long list is many tasks' work.
+        A group's rows are dealt to a grid of cells of about CELL_ROWS rows a side, so that a long list is many tasks' work.
         """
         side = F.ceil(F.sqrt(F.col("all") / CELL_ROWS)).cast("int")
-        own = F.pmod(F.xxhash64("set_id"), F.col("side")).cast("int")
-        placed = placed.join(main.select("key", "main", side.alias("side")), "key").withColumn("own", own)
+        rows = placed.join(main.select("key", "main", side.alias("side")), "key").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("side")).cast("int"))
+        rows = rows.join(self.sets.select("set_id", "sketch"), "set_id")
         every = F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other")
-        few = placed.where("component <> main").select("*", every).select("key", (F.col("own") * F.col("side") + F.col("other")).alias("cell"), *(F.col(c).alias(f"{c}_p") for c in ("set_id", "n", "component", "low", "high")))
-        all_ = placed.select("*", every).select("key", (F.col("other") * F.col("side") + F.col("own")).alias("cell"), "set_id", "n", "component", "low", "high")
+        few = rows.where("component <> main").select("*", every).select("key", (F.col("own") * F.col("side") + F.col("other")).alias("cell"), *(F.col(c).alias(f"{c}_p") for c in ("set_id", "n", "component", "low", "high", "sketch")))
+        all_ = rows.select("*", every).select("key", (F.col("other") * F.col("side") + F.col("own")).alias("cell"), "set_id", "n", "component", "low", "high", "sketch")
         link = 1 - self.percent / 100 + 1e-9
         reach = (F.col("low") - F.col("high_p") <= link) & (F.col("low_p") - F.col("high") <= link)
         apart = F.col("component") != F.col("component_p")
-        return self._pairs(few.join(all_, ["key", "cell"]).where(apart & _close(F.col("n"), F.col("n_p"), self.percent) & reach), "set_id_p", "set_id", tested)
+        s, h = F.col("n") + F.col("n_p"), _differing(F.col("sketch"), F.col("sketch_p"))
+        may = apart & _close(F.col("n"), F.col("n_p"), self.percent) & reach & ((s - h) * 100 >= (s + h) * self.percent)
+        return self._pairs(few.join(all_, ["key", "cell"]).where(may), "set_id_p", "set_id", tested)
 
 
 def _ordered(p: str, q: str) -> tuple[Column, Column]:
