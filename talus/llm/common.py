@@ -14,10 +14,12 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only if the session names none."""
+    """The folder of spark.checkpoint.dir; a temporary one only in local mode, if the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="talus-")
@@ -115,3 +117,10 @@ def with_columns(df: DataFrame, make, ddl: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def apart(docs: DataFrame, needs: list[str], run) -> DataFrame:
+    """run over the columns in needs alone, all others kept aside in a struct, so that no helper column can clash with them; the columns of docs come back."""
+    rest = [c for c in docs.columns if c not in needs]
+    some = docs.select(*needs, *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")] if rest else []))
+    return run(some).select(*(F.col(c) if c in needs else F.col("_rest").getField(c).alias(c) for c in docs.columns))

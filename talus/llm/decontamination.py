@@ -13,12 +13,13 @@ benchmark makes more blocks, and the documents are passed once per block.
 Defined cases: a null or wordless document has no words and is clean; a null or
 wordless item has no window; repeated items count by their distinct item_id, a
 null item_id by none (its windows still hit); repeated documents are judged
-each; an empty benchmark leaves all clean.
+each; an empty benchmark leaves all clean; an empty table gives no rows. Input
+columns pass through, those named n_words, n_hit, n_items, items or contaminated
+are replaced. A very long text takes some ten bytes a word.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass, field
 from hashlib import sha256
 
@@ -31,51 +32,78 @@ from .common import stored, with_columns
 from .words import ALNUM_CUTS, SHINGLE, cut, parts, rolled
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+_ORDER_WINDOWS = 1 << 16
 _CHECK_ROWS = 200_000
 
 
 @dataclass
 class Windows:
-    """The distinct windows of a block of items; entries: by prefix key, the windows and the place of the shingle in them."""
+    """The distinct windows of a block of items, as places in the block's words.
+
+    The items of window w are names[item[first[w]:first[w + 1]]]. By prefix
+    key: the windows, and the place of the shingle in them.
+    """
 
     words: np.ndarray
+    start: np.ndarray
     length: np.ndarray
-    items: list[list[str]]
+    first: np.ndarray
+    item: np.ndarray
+    names: list[str]
+    #: Distinct shingles of the windows, sorted.
+    shingles: np.ndarray
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     window: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offset: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     width: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def shingles(self, w: int) -> np.ndarray:
-        n = int(self.length[w])
-        return rolled(self.words[w, :n], min(SHINGLE, n))
-
-    def order_by(self, times: dict[int, int]) -> None:
-        """Keep the rarest shingle of each window."""
-        keys, offsets = [], []
-        for w in range(len(self.length)):
-            s = self.shingles(w)
-            best = min(range(len(s)), key=lambda i: (times.get(int(s[i]), 0), int(s[i])))
-            keys.append(s[best])
-            offsets.append(best)
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        self.keys, self.window, self.offset = np.array(keys, np.uint64)[order], order, np.array(offsets, np.int64)[order]
-        self.width = np.minimum(self.length, SHINGLE)[order]
+    def order_by(self, times: np.ndarray) -> None:
+        """Keep the rarest shingle of each window; times goes with shingles."""
+        keys, offsets = np.zeros(len(self.start), np.uint64), np.zeros(len(self.start), np.int64)
+        for at in range(0, len(self.start), _ORDER_WINDOWS):
+            start, length = self.start[at : at + _ORDER_WINDOWS], self.length[at : at + _ORDER_WINDOWS]
+            win, place = _spread(np.maximum(length - SHINGLE + 1, 1))
+            width, h = np.minimum(length, SHINGLE)[win], np.zeros(len(win), np.uint64)
+            for k in np.unique(width):
+                of = width == k
+                h[of] = rolled(self.words, int(k))[start[win[of]] + place[of]]
+            order = np.lexsort((h, times[np.searchsorted(self.shingles, h)], win))
+            best = order[np.searchsorted(win[order], np.arange(len(start)))]
+            keys[at : at + len(start)], offsets[at : at + len(start)] = h[best], place[best]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.window, self.offset, self.width = keys[order], order, offsets[order], np.minimum(self.length, SHINGLE)[order]
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts of members: the owner of each member and its place with the owner."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def windows_of(items: list[tuple[str | None, str | None]]) -> Windows:
-    found: dict[tuple, set] = defaultdict(set)
-    for w in cut(pa.array([t for _, t in items], pa.string()), ALNUM_CUTS):
-        for i in range(len(w.first) - 1):
-            h = w.hashes[w.first[i] : w.first[i + 1]]
-            name = items[w.rows.start + i][0]
-            for a in range(max(1, len(h) - WINDOW + 1) if len(h) else 0):
-                found[tuple(h[a : a + WINDOW].tolist())] |= {name} - {None}
-    words = np.zeros((len(found), WINDOW), np.uint64)
-    for k, h in enumerate(found):
-        words[k, : len(h)] = h
-    return Windows(words, np.array([len(h) for h in found], np.int64), [sorted(x) for x in found.values()])
+    """All in arrays: a block of some MB of text takes some ten times its size while this runs."""
+    none = np.zeros(0, np.uint64)
+    parts_ = [(w.hashes, np.diff(w.first)) for w in cut(pa.array([t for _, t in items], pa.string()), ALNUM_CUTS)]
+    words = np.concatenate([none, *(h for h, _ in parts_)])
+    n = np.concatenate([np.zeros(0, np.int64), *(k for _, k in parts_)])
+    begin = np.cumsum(n) - n
+    of, place = _spread(np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0))
+    start, length = begin[of] + place, np.minimum(n, WINDOW)[of]
+    digest = np.zeros(len(start), np.uint64)
+    for k in np.unique(length):
+        digest[length == k] = rolled(words, int(k))[start[length == k]]
+    _, one, window = np.unique(digest, return_index=True, return_inverse=True)
+    names = sorted({name for name, _ in items if name is not None})
+    number = {name: i for i, name in enumerate(names)}
+    item = np.array([number.get(name, -1) for name, _ in items], np.int64)[of] if len(of) else np.zeros(0, np.int64)
+    pair = np.unique(window[item >= 0] * max(len(names), 1) + item[item >= 0])
+    first = np.searchsorted(pair // max(len(names), 1), np.arange(len(one) + 1))
+    long = np.repeat(np.arange(len(n)), n)
+    inside = np.flatnonzero(long[: len(long) - SHINGLE + 1] == long[SHINGLE - 1 :]) if len(long) >= SHINGLE else np.zeros(0, np.int64)
+    short = [rolled(words, k)[begin[n == k]] for k in range(1, SHINGLE) if (n == k).any()]
+    shingles = np.unique(np.concatenate([none, rolled(words, SHINGLE)[inside], *short]))
+    return Windows(words, start[one], length[one], first, pair % max(len(names), 1), names, shingles)
 
 
 def _count_rows(known):
@@ -123,7 +151,7 @@ def _hits(w, block: Windows):
             win, start, n, r = win[fits], start[fits], n[fits], r[fits]
             place = np.arange(WINDOW)
             got = w.hashes[np.minimum(start[:, None] + place, len(w.hashes) - 1)]
-            same = ((got == block.words[win]) | (place >= n[:, None])).all(1)
+            same = ((got == block.words[np.minimum(block.start[win][:, None] + place, len(block.words) - 1)]) | (place >= n[:, None])).all(1)
             np.add.at(covered, start[same], 1)
             np.add.at(covered, (start + n)[same], -1)
             rows.append(r[same])
@@ -148,7 +176,7 @@ def _judge(shared, first: bool):
                 a, z = np.searchsorted(at, w.first[i : i + 2])
                 hits[w.rows.start + i] = at[a:z] - w.first[i]
             for i, k in np.unique(np.stack([rows, wins], 1), axis=0):
-                items[w.rows.start + i].update(block.items[k])
+                items[w.rows.start + i].update(block.names[x] for x in block.item[block.first[k] : block.first[k + 1]])
         if not first:
             hits = [np.union1d(x, y).astype(np.int64) for x, y in zip(hits, before, strict=True)]
         return [pa.array(words), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
@@ -162,7 +190,8 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
-        yield [(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+        t = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toArrow()
+        yield list(zip(t.column("i").to_pylist(), t.column("t").to_pylist(), strict=True))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -171,11 +200,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     out, first = docs.drop("_hit_words", "_items"), True
     for items in _blocks(benchmark, block_bytes):
         block = windows_of(items)
-        each = [block.shingles(w) for w in range(len(block.length))]
-        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]))
-        widths = sorted({min(SHINGLE, int(n)) for n in block.length})
-        known = spark.sparkContext.broadcast((keys, widths))
-        times = {int(keys[r.k]): r.n for r in docs.select("text").mapInArrow(_count_rows(known), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()} if len(keys) else {}
+        widths = sorted({min(SHINGLE, int(n)) for n in np.unique(block.length)})
+        known = spark.sparkContext.broadcast((block.shingles, widths))
+        times = np.zeros(len(block.shingles), np.int64)
+        if len(times):
+            found = docs.select("text").mapInArrow(_count_rows(known), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each shingle of the block
+            times[found.column("k").to_numpy()] = found.column("n").to_numpy()
         block.order_by(times)
         if not first:
             out, _ = stored(out, "decontamination")

@@ -5,10 +5,14 @@ with the end id. The global histogram of lengths goes through a dynamic program
 bucket boundaries with the least padding; inside a bucket, rows form batches
 that fill a token budget once padded to the boundary.
 
+Each group of rows leaves one batch that may not be full, so a bucket of n rows
+has n / group_rows short batches at most.
+
 Defined cases: a null or empty text has only the end id; a null length counts
 as 0 and sits in the first bucket; a row longer than the budget is a batch of
-its own; repeated rows are packed each; an empty table gives no rows. Input
-columns pass through; clashing ones are replaced.
+its own; repeated rows are packed each, and spread over groups by their copy
+number; null doc_ids are spread likewise; an empty table gives no rows. Input
+columns of pack_texts pass through; clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_columns
 from .token_records import encoder, tokenizer_path
 
 PAD_TO = 8
@@ -108,25 +112,30 @@ def pack(df: DataFrame, length: Column, order: list[str], buckets: int = BUCKETS
     return out.withColumn("slot", (F.col("_place") - F.col("batch") * fits).cast("long")).drop("_place")
 
 
-def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id and w, the token ids of each text with its end id, as op10 writes them."""
+def with_token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """docs with n_tokens, the token ids of each text with its end id, as op10 writes them."""
     path = tokenizer or tokenizer_path()
 
-    def run(batches):
+    def make(b):
         encode = encoder(path)
         width = array(encode.kind).itemsize
-        for b in batches:
-            n = [len(encode(t.as_py() or "")) // width + 1 for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "w"])
+        return [pa.array([len(encode(t.as_py() or "")) // width + 1 for t in b.column("text").cast(pa.string())], pa.int64())]
 
-    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, w long")
+    return with_columns(docs, make, "n_tokens long")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """The batch and slot of every document, by its token ids."""
-    d, _ = stored(token_lengths(docs), "lengths")  # the histogram and the batches read them, the tokenizer runs once
-    return pack(d, F.col("w"), ["doc_id", "w"]).drop("w")
+    """doc_id with its batch and slot, by its token ids; repeated rows are counted before they move."""
+    d = with_token_lengths(docs.select("doc_id", "text")).groupBy("doc_id", "n_tokens").agg(F.count("*").alias("_rows"))
+    d, _ = stored(d, "lengths")  # the histogram and the batches read them, the tokenizer runs once
+    d = d.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_copy"))
+    return pack(d, F.col("n_tokens"), ["doc_id", "n_tokens", "_copy"]).drop("_copy")
+
+
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """docs, all columns and whole texts, with n_tokens, bucket, padded_to, pack_group, batch and slot; for rows that differ in doc_id or text."""
+    d, _ = stored(with_token_lengths(docs), "lengths")
+    return pack(d.withColumn("_text_hash", F.xxhash64("text")), F.col("n_tokens"), ["doc_id", "n_tokens", "_text_hash"]).drop("_text_hash")
 
 
 def op9_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

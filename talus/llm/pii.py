@@ -14,9 +14,14 @@ Positions are code points, the end exclusive. Patterns are possessive and
 guarded by a look-behind, so they run in linear time and without recursion over
 very long texts, with the matches that the plain patterns give.
 
+Candidates of the second sort are the quoted values that follow a word of the
+gazetteer and an assignment, whatever their characters.
+
 Defined cases: a null text counts as empty and has no spans; repeated rows are
-judged each; without candidates nothing is added. Input columns pass through;
-those that clash with output columns are replaced.
+judged each; without candidates, or in an empty table, nothing is added; a text
+of any length is searched whole, its spans in one array. Input columns pass
+through; base_spans and all_spans are replaced, and columns named _text, _c or
+_m must be kept aside by the caller.
 """
 
 from __future__ import annotations
@@ -109,15 +114,21 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Spans with what stands before and after them."""
-    found = F.filter(matches(text, "secret", CANDIDATE), lambda s: s["value"].rlike("[A-Za-z]") | s["value"].rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"))
-    around = F.transform(
+    """Spans with what stands before and after them: tokens, then assigned values that overlap none of them."""
+    none = F.array().cast(f"array<{SPAN}>")
+    tokens = F.filter(matches(text, "secret", CANDIDATE), lambda s: s["value"].rlike("[A-Za-z]") | s["value"].rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"))
+    tokens = F.when(text.rlike("[0-9]"), tokens).otherwise(none)
+    value = lambda s: F.regexp_extract(s["value"], ASSIGNED, 1)
+    assigned = F.transform(matches(text, "secret", ASSIGNED), lambda s: F.struct((s["end"] - F.char_length(value(s))).alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), value(s).alias("value")))
+    assigned = F.when(text.rlike(ASSIGNED), assigned).otherwise(none)
+    found = F.concat(tokens, F.filter(assigned, lambda a: ~F.exists(tokens, lambda t: (t["start"] < a["end"]) & (a["start"] < t["end"]))))
+    return F.transform(
         found,
         lambda s: s.withField("before", F.substring(text, F.greatest(s["start"] - AROUND, F.lit(0)) + 1, F.least(s["start"], F.lit(AROUND)))).withField("after", F.substring(text, s["end"] + 1, F.lit(1))),
     )
-    return F.when(text.rlike("[0-9]"), around).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,value:string,before:string,after:string>>"))
 
 
+ASSIGNED = r"(?i)(?<![A-Za-z])(?:" + "|".join(GAZETTEER) + r")[\"']?[\x20\t]{0,2}[:=][\x20\t]{0,2}[\"'`]([^\s\"'`]{4,}+)"
 _KEYWORD = r"(?i)(?<![A-Za-z])(?:" + "|".join(GAZETTEER) + r")\b[^\n]{0,16}$"
 _OPENED = r"[\"'`]$"
 
@@ -207,7 +218,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
     """Counts of vote patterns and feature values over all documents; what reaches the driver has a fixed bound."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    c = docs.select(text.alias("t")).where(F.col("t").rlike("[0-9]")).select(F.explode(_candidates(F.col("t"))).alias("c"))
+    c = docs.select(text.alias("t")).where(F.col("t").rlike("[0-9]") | F.col("t").rlike(ASSIGNED)).select(F.explode(_candidates(F.col("t"))).alias("c"))
     named, features = votes(F.col("c")), span_features(F.col("c"))
     names = list(named)
     by = c.select(F.struct(*(named[n].alias(n) for n in names)).alias("p"), F.struct(*(x.alias(n) for n, x in features.items())).alias("f"))
@@ -237,7 +248,7 @@ def find_spans(docs: DataFrame, model: SpanModel, text_col: str = "text") -> Dat
     """docs with base_spans and all_spans, arrays of (start, end, kind, value) by start, then kind as listed."""
     rank = F.array(*(F.lit(k) for k in KINDS))
     order = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s.alias("s")))), lambda x: x["s"])
-    docs = docs.drop("_text", "_c", "base_spans", "all_spans")
+    docs = docs.drop("base_spans", "all_spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumn("_text", text)
     out = out.withColumn("base_spans", order(F.concat(*(base_spans(F.col("_text"), k) for k in BASE)))).withColumn("_c", _candidates(F.col("_text")))

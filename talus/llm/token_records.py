@@ -14,7 +14,9 @@ in ascending doc_id order. The index, one row per record with its file, offset
 and lengths, is a table of its own: a shuffled reader needs no scan.
 
 Defined cases: a null or empty text has only the end id; a null doc_id comes
-first; repeated doc_ids are ordered by text; an empty table writes no record.
+first; repeated doc_ids are ordered by text, equal rows follow one another; an
+empty table writes no record; a text of any length is one record below 2 GB.
+Only doc_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ TOKENIZER = "byte_bpe_50k.json"
 _NULL_ID = -(1 << 63)
 _HEAD, _TAIL = 12, 5
 OUT_BYTES = 8 << 20
+#: Records of a file: readers take a file whole, so it has to stay below 2 GB.
+FILE_RECORDS = 16_384
 
 
 def masked(data: bytes) -> int:
@@ -160,10 +164,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     keys = ["doc_id", "text"]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions or max(d.sparkSession.sparkContext.defaultParallelism, d.rdd.getNumPartitions())
-    ordered = d.repartitionByRange(n, "doc_id").sortWithinPartitions(*keys)
+    # the head of the text deals the rows of one id to several partitions, in the order of the texts
+    ordered = d.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions(*keys)
     # the text writer puts the bytes down as they are, and the line feed ends the record
     body = ordered.mapInArrow(_records(tokenizer, end_id), "value binary").select(F.expr("substring(value, 1, length(value) - 1)").cast("string").alias("value"))
-    body.write.option("lineSep", "\n").text(path)
+    body.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -190,13 +195,19 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_scan, "file string, ordinal long, offset long, n_bytes long, doc_id long, n_tokens long, ids_crc32 long")
 
 
+def file_order(path: Column) -> Column:
+    """The place of a file among the others: its partition's number, then its own in the partition; as numbers, for names are padded to five digits only."""
+    part = lambda pattern: F.coalesce(F.regexp_extract(path, pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.struct(part(r"part-(\d+)[^/]*$").alias("part"), part(r"-c(\d+)[^/]*$").alias("file"))
+
+
 def with_starts(index: DataFrame) -> DataFrame:
     """index with start, the ids of all records before: running sums inside a file, and over one row per file."""
-    name = F.element_at(F.split("file", "/"), -1)  # part numbers ascend with doc_id
-    files = index.groupBy(name.alias("_f")).agg(F.sum("n_tokens").alias("_n"))
+    at = file_order(F.col("file"))
+    files = index.groupBy(at.alias("_f")).agg(F.sum("n_tokens").alias("_n"))
     files = files.select("_f", (F.sum("_n").over(W.orderBy("_f").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     inside = F.sum("n_tokens").over(W.partitionBy("_f").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
-    return index.withColumn("_f", name).withColumn("_inside", inside).join(files, "_f").withColumn("start", F.col("_before") + F.col("_inside")).drop("_f", "_inside", "_before")
+    return index.withColumn("_f", at).withColumn("_inside", inside).join(files, "_f").withColumn("start", F.col("_before") + F.col("_inside")).drop("_f", "_inside", "_before")
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

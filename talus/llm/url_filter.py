@@ -7,8 +7,11 @@ rule judges. A URL's own rule, allow above all, always stands.
 
 Defined cases: a null URL, or one without '://', has empty host and path, fits
 no rule and is allowed; a null html has no links; of several links in a page
-all count; repeated URLs share one node; links to the page itself, to
-fragments, scripts or mail addresses are no edges. Extra columns are ignored.
+all count, those in comments and scripts don't; repeated URLs share one node,
+as do those that differ in the case of scheme and host, in character references
+of a link, in . and .. steps, or in the fragment; links to the page itself, to
+fragments, scripts or mail addresses are no edges. Extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, discard, stored
 
 
 @dataclass(frozen=True)
@@ -74,18 +77,46 @@ def _absolute(url: Column, link: Column) -> Column:
     )
 
 
+def _unescaped(c: Column) -> Column:
+    """c with its character references decoded, numbers and the named ones that URLs hold; & last."""
+    for name, sign in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("sol", "/"), ("colon", ":"), ("quest", "?"), ("equals", "="), ("period", "."), ("num", "#")):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(sign))
+    # each piece after '&#' starts with a number and a semicolon, or stays as it is
+    pieces = F.split(c, "&#", -1)
+    code = lambda p: F.when(p.rlike("^[xX][0-9a-fA-F]{1,6};"), F.conv(F.regexp_extract(p, "^[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("int")).when(p.rlike("^[0-9]{1,7};"), F.regexp_extract(p, "^([0-9]+)", 1).cast("int"))
+    # beyond ASCII a reference stays: the same sign in a page's own URL is written as it is or in percents
+    one = lambda p: F.when(code(p).between(1, 126), F.concat(F.char(code(p)), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
+    c = F.when(F.size(pieces) > 1, F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), ""))).otherwise(c)
+    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+
+
+def node_of(url: Column) -> Column:
+    """url as a node: scheme and host in lower case (A-Z), . and .. steps of the path resolved, no fragment."""
+    bare = F.regexp_replace(url, "#(?s:.*)$", "")
+    start, rest = F.regexp_extract(bare, r"^((?s:.*?)://[^/?]*)", 1), F.regexp_replace(bare, r"^(?s:.*?)://[^/?]*", "")
+    path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_replace(rest, r"^[^?]*", "")
+    steps = F.split(path, "/", -1)
+    last = F.element_at(steps, -1)
+    fold = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.array_append(acc, x))
+    # the first step is the empty text before the first slash; a path that ends in a step of dots ends with a slash
+    done = F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array(F.element_at(steps, 1)), fold)
+    done = F.when(last.isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done)
+    path = F.when(path.rlike(r"/\.\.?(/|$)"), F.array_join(done, "/")).otherwise(path)
+    return F.when(bare.contains("://"), F.concat(F.translate(start, _LOW.upper(), _LOW), path, query)).otherwise(bare)
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of redirects and canonical links, between URLs without their fragments."""
-    tag = r"(?is)<(?:link|meta)\b[^>]*>"
-    value = lambda t, name: F.trim(F.regexp_replace(F.regexp_extract(t, rf"(?is)\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1), "^[\"']|[\"']$", ""))
-    tags = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(tag), 0)).alias("t"))
+    """(src, dst) of redirects and canonical links, as nodes."""
+    tag = r"(?is)<(?:link|meta)\b(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
+    hidden = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|noscript)\b.*?(?:</\1\b[^>]*>|\z)"
+    value = lambda t, name: F.trim(F.regexp_replace(F.regexp_extract(t, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1), "^[\"']|[\"']$", ""))
+    some = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    tags = some.select("url", F.explode(F.regexp_extract_all(F.regexp_replace("html", hidden, " "), F.lit(tag), 0)).alias("t"))
     rel, equiv = F.lower(value(F.col("t"), "rel")), F.lower(value(F.col("t"), "http-equiv"))
     to = F.when(rel.rlike(r"(^|\s)canonical(\s|$)"), value(F.col("t"), "href")).when(
         equiv == "refresh", F.trim(F.regexp_replace(F.regexp_extract(value(F.col("t"), "content"), r"(?is)url\s*=\s*(.*)$", 1), "^[\"']|[\"']$", ""))
     )
-    bare = lambda c: F.regexp_replace(c, "#.*$", "")
-    to = F.regexp_replace(to, "&amp;", "&")
-    return tags.select(bare(F.col("url")).alias("src"), bare(_absolute(F.col("url"), to)).alias("dst")).where("dst is not null and src <> dst").distinct()
+    return tags.select(node_of(F.col("url")).alias("src"), node_of(_absolute(F.col("url"), _unescaped(to))).alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
 def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -96,14 +127,20 @@ def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -
     """
     found = link_edges(pages)
     if edges is not None:
-        found = found.unionByName(edges.select("src", "dst"))
-    node, _ = components(found, "url-cc")
+        found = found.unionByName(edges.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")))
+    found, path = stored(found, "url-edges")
+    out = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    out = judged(out, rules)
+    if found.isEmpty():  # no alias: the rules alone decide
+        discard(path)
+        return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
+    node, component_path = components(found, "url-cc")
     every = node.unionByName(node.select(F.col("component").alias("node"), "component")).distinct()
     by = judged(every.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
     bad = by.where("rule_verdict = 'block'").select("component").distinct()
     blocked, _ = stored(every.join(bad, "component", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_alias_blocked")), "url-blocked")
-    out = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    out = judged(out, rules).withColumn("_node", F.regexp_replace("url", "#.*$", "")).join(blocked, "_node", "left")
+    discard(path, component_path)
+    out = out.withColumn("_node", node_of(F.col("url"))).join(blocked, "_node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("_alias_blocked"), "block"), F.lit("allow")).alias("verdict"))
 
 
