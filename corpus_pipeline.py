@@ -11,29 +11,30 @@ from talus.llm import common, decontamination, ngram_jaccard, packing, pii, qual
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject (score of at least 0.5)."""
     machine = quality_fm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_fm.score_quality(docs, machine, "_score").where("_score >= 0.5").select(*docs.columns)
+    return common.apart(docs, ["doc_id", "text", "n_chars"], lambda d: quality_fm.score_quality(d, machine, "_score").where("_score >= 0.5"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the smallest doc_id."""
-    return ngram_jaccard.drop_near_duplicates(docs)
+    return common.apart(docs, ["doc_id", "text"], ngram_jaccard.drop_near_duplicates)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    got = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return got.where(~F.col("contaminated")).select(*docs.columns)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return common.apart(docs, ["doc_id", "text"], lambda d: decontamination.contamination(d, bench).where(~F.col("contaminated")))
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced; n_chars is that of the new text."""
-    out = pii.redact(docs, pii.train(docs))
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    model = pii.train(docs)
+    n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
+    return common.apart(docs, ["text", "n_chars"], lambda d: pii.redact(d, model).withColumn("n_chars", n_chars))
 
 
-def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batch and slot of every document."""
-    return packing.pack_documents(docs)
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its length in tokens, bucket, batch and slot."""
+    return packing.pack_texts(docs)
 
 
 STAGES = [
@@ -41,10 +42,10 @@ STAGES = [
     ("near_duplicates", keep_distinct),
     ("decontamination", keep_clean),
     ("pii", hide_personal),
-    ("packing", pack_lengths),
+    ("packing", pack_tokens),
 ]
 
-#: The classifier, the reliabilities and the dynamic program are no SQL; tests compare the stages with brute force.
+#: The classifier, the reliabilities and the dynamic program are no SQL.
 ORACLE_SQL = None
 
 
