@@ -13,6 +13,12 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def split_lines(text: Column) -> Column:
+    """The lines as Python's splitlines cuts them: at every line boundary of Unicode, without a trailing empty line; a null has none."""
+    x = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\u000b\f\u001c-\u001e\u0085\u2028\u2029]", -1)
+    return F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x)
+
+
 def token_estimate(text: Column) -> Column:
     return F.floor(F.coalesce(F.char_length(text), F.lit(0)) / CHARS_PER_TOKEN).cast("long")
 

@@ -81,7 +81,7 @@ def credential_findings(files: DataFrame) -> DataFrame:
     strong = _contains(F.col("m"), STRONG)
     severity = F.when(weak, "low").when(strong, "high").otherwise("medium")
     confidence = F.when(weak, "medium").when(strong, "high").otherwise("medium")
-    return got.select("doc_id", "line_no", F.lit("Hardcoded Credentials").alias("type"), severity.alias("severity"), confidence.alias("confidence"), F.concat(F.lit("Possible hardcoded credential: "), "m").alias("message"))
+    return got.select("doc_id", "line_no", F.lit("Hardcoded Credentials").alias("type"), severity.alias("severity"), confidence.alias("confidence"), F.concat(F.lit("Possible hardcoded credential found: "), "m").alias("message"))
 
 
 def comment_of(line: Column) -> Column:

@@ -46,7 +46,7 @@ c as (select *, {_first("line", rules.CREDENTIALS)} as m from l where trim(line,
 cred as (select doc_id, line_no, 'Hardcoded Credentials' as type,
   case when {_WEAK} then 'low' when {_STRONG} then 'high' else 'medium' end as severity,
   case when {_WEAK} then 'medium' when {_STRONG} then 'high' else 'medium' end as confidence,
-  'Possible hardcoded credential: ' || m as message from c where m is not null)"""
+  'Possible hardcoded credential found: ' || m as message from c where m is not null)"""
 _COMMENTS = f"""{_LINES.replace("l as", "l2 as", 1)},
 k as (select *, case when regexp_matches(line, {_sq(rules.COMMENT_MARKS)}) then line when contains(line, '#') then regexp_extract(line, '#(.*)$', 0)
   when contains(line, '//') then regexp_extract(line, '//(.*)$', 0) end as t from l2),
@@ -238,13 +238,13 @@ def most_depended(spark, sf_dir):
 
 
 _NATIONS = """n as (select s_nationkey as src, c_nationkey as dst, count(*) as k from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-  where s_nationkey <> c_nationkey group by 1, 2), e as (select src, dst from n qualify row_number() over (partition by src order by k desc, dst) <= 2),
+  where s_nationkey <> c_nationkey group by 1, 2), e as (select src, dst from n),
   r as (select src, dst from e union select r.src, e.dst from r join e on r.dst = e.src)"""
 
 
 @query(f"with recursive {_NATIONS} select src, dst from r")
 def dep_closure(spark, sf_dir):
-    return graph.closure(graph.nation_edges(spark, sf_dir))
+    return graph.closure(graph.nation_edges(spark, sf_dir, keep=None))
 
 
 @query(f"with recursive {_NATIONS} select dst as node, count(distinct src) as n_dependents, round(100.0 * count(distinct src) / (select count(*) from nation), 2) as impact from r where src <> dst group by 1")
@@ -274,15 +274,6 @@ def metrics_stream(spark, sf_dir):
     return streamed.run_available(spark, f"{sf_dir}/events.parquet")
 
 
-_JS = {"console_calls": r"console\.(log|debug|info|warn|error)\(", "eval_calls": r"\beval\s*\(", "loose_null": r"[^=!]==\s*null|!=\s*null\b", "jquery": r"\$\("}
-
-
-@query("select page_id, " + ", ".join(f"cast(len(regexp_extract_all(coalesce(html, ''), {_sq(p)}, 0)) as bigint) as {n}" for n, p in _JS.items()) + " from pages")
-def js_checks(spark, sf_dir):
-    count = lambda p: F.size(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(p), F.lit(0))).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", *(count(p).alias(n) for n, p in _JS.items()))
-
-
 @query("""select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem group by 1, 2""")
 def pricing_summary(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
