@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.functions.security_patterns import BY_LANGUAGE
-from talus.operators import code_checks, language_rules
+from talus.operators import code_checks, language_rules, syntax_tree
 
 from .catalogue import _LINES, QUERIES, SQL, _files, _sq, query, table
 
@@ -76,3 +76,37 @@ def rails_validation(spark, sf_dir):
 @query()
 def connection_strings(spark, sf_dir):
     return language_rules.connection_strings(_files(spark, sf_dir))
+
+
+def _tree(spark, sf_dir):
+    return syntax_tree.nodes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def python_syntax_errors(spark, sf_dir):
+    return syntax_tree.syntax_errors(_tree(spark, sf_dir))
+
+
+@query()
+def python_sizes(spark, sf_dir):
+    return syntax_tree.sizes(_tree(spark, sf_dir))
+
+
+@query()
+def python_complexity(spark, sf_dir):
+    return syntax_tree.complex_functions(_tree(spark, sf_dir))
+
+
+@query()
+def python_unused(spark, sf_dir):
+    return syntax_tree.unused(_tree(spark, sf_dir))
+
+
+@query()
+def python_calls(spark, sf_dir):
+    return syntax_tree.dangerous_calls(_tree(spark, sf_dir))
+
+
+@query()
+def python_imports(spark, sf_dir):
+    return syntax_tree.imports(_tree(spark, sf_dir))
