@@ -84,6 +84,8 @@ def components(edges: DataFrame, label: str = "cc") -> tuple[DataFrame, str | No
     spark = edges.sparkSession
     now = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now, path = stored(now, label)
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component")), path
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

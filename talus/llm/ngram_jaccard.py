@@ -214,7 +214,7 @@ def _text_key() -> Column:
 
 
 class JaccardJoin:
-    """The join over one table; members: (doc_id, set_id, n) of its rows, links: (a, b) of set ids.
+    """The join over one table; members: (doc_id, set_id, n) of its rows.
 
     by_row: members have text_key too, and known has the winner of each set's component and the rows of the set.
     """
@@ -306,16 +306,21 @@ class JaccardJoin:
         values = F.array(*(F.lit((0x5851F42D4C957F2D * (i + start)) & 0x7FFFFFFFFFFFFFFF).cast("long") for i in range(salts)))
         return F.col(c).bitwiseXOR(F.element_at(values, (F.pmod("key", F.lit(salts)) + 1).cast("int")))
 
-    def _placed(self, lists: DataFrame, links: DataFrame):
+    def _placed(self, lists: DataFrame, node: DataFrame):
         """The lists with the component of each member; and of the lists with several components, (key, main): the largest one."""
-        node, path = components(links.toDF("src", "dst"), "jaccard-cc")
-        self._drop("placed")
+        self._drop("placed", "main")
         placed = self._keep(lists.join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
-        discard(path)
         by = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
         main = by.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most"))
         return placed, self._keep(main.where("parts > 1").select("key", "main", "all", "most"), "main")
 
+    def _joined(self, node: DataFrame, links: DataFrame) -> DataFrame:
+        """The components once more links hold: those found so far are stars, so few rounds remain."""
+        out, path = components(node.toDF("src", "dst").unionByName(links.toDF("src", "dst")), "jaccard-cc")
+        self._drop("cc")
+        self.temporary["cc"] = [path]
+        return out
+
     def _pairs(self, df: DataFrame, p: str, q: str, tested: DataFrame) -> DataFrame:
         pairs = df.select(*_ordered(p, q)).where("a <> b").distinct()
         return self._keep(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
@@ -327,7 +332,8 @@ class JaccardJoin:
         rarity.unpersist()
         tested = self._tested(first)
         self._drop("pairs")
-        links = tested.where("near").select("a", "b")
+        none = self.spark.createDataFrame([], "node long, component long")
+        node = self._joined(none, tested.where("near").select("a", "b"))
         far = tested.select("a", "b", "low", "high")
         lists = lists.select("*", *_ordered("leader", "set_id")).join(far, ["a", "b"], "left").join(self.sets.select("set_id", "n"), "set_id")
         head = F.col("leader") == F.col("set_id")
@@ -337,10 +343,10 @@ class JaccardJoin:
 
         # while much is left apart from a large component of the same group, it meets other members of that component
         rows, turn = lists.count(), 0
-        while True:
-            placed, main = self._placed(lists, links)
-            work = main.agg(F.sum(F.expr("(all - most) * (most - 1)"))).first()[0] or 0
-            if work <= ROUND_COST * rows or turn == self.rounds:
+        while rows:
+            placed, main = self._placed(lists, node)
+            several, work = main.agg(F.count("*"), F.sum(F.expr("(all - most) * (most - 1)"))).first()
+            if not several or work <= ROUND_COST * rows or turn == self.rounds:
                 break
             turn += 1
             heads = placed.join(main.select("key", F.col("main").alias("component")), ["key", "component"]).groupBy("key").agg(F.min(self._turn("set_id", 8, 8 * turn)).alias("low")).select("key", self._turn("low", 8, 8 * turn).alias("head"))
@@ -348,20 +354,22 @@ class JaccardJoin:
             more = few.join(heads, "key").join(self.sets.select(F.col("set_id").alias("head"), F.col("n").alias("n_head")), "head").where(_close(F.col("n"), F.col("n_head"), self.percent))
             got = self._tested(self._pairs(more, "set_id", "head", tested))
             self._drop("pairs")
-            new = got.where("near").select("a", "b")
-            tested, links = tested.unionByName(got), links.unionByName(new)
+            tested, new = tested.unionByName(got), got.where("near").select("a", "b")
             if new.isEmpty():
                 break
+            node = self._joined(node, new)
 
         # all that could still link across components; distances to the common leader differ by at most that of a link
-        late = self._tested(self._late_pairs(placed, main, tested))
-        self.links = links.unionByName(late.where("near").select("a", "b"))
-        node, path = components(self.links.toDF("src", "dst"), "jaccard-cc")
+        if rows and several:
+            pairs = self._late_pairs(placed, main, tested)
+            if not pairs.isEmpty():
+                new = self._tested(pairs).where("near").select("a", "b")
+                if not new.isEmpty():
+                    node = self._joined(node, new)
         least = self.sets.drop("n", "sketch").join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         top = least.groupBy("component").agg(F.min("low").alias("component_id"), *([F.min("best").alias("winner")] if self.by_row else []))
         self.known = self._keep(least.join(top, "component").select("set_id", "component_id", *(["winner", "rows"] if self.by_row else [])), "result")
         out = self.members.join(self.known, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-        discard(path)
         self._drop(*(x for x in list(self.temporary) if x not in ("classes", "result")))
         return out
 
