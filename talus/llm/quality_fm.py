@@ -136,8 +136,16 @@ def fit(index: list[np.ndarray], value: list[np.ndarray], label: np.ndarray, fac
     return m
 
 
+def _fit_table(t: pa.Table) -> pa.Table:
+    """The machine of the rows (y, doc_id, i, x), in one row."""
+    t = t.sort_by("doc_id")
+    arrays = lambda c: [np.asarray(x.values) for x in t.column(c)]
+    m = fit(arrays("i"), arrays("x"), np.asarray(t.column("y"), np.float32))
+    return pa.table({"bias": pa.array([m.bias], pa.float64()), "w": pa.array([m.w], pa.list_(pa.float32())), "v": pa.array([m.v.ravel()], pa.list_(pa.float32()))})
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Features are made on the executors; the driver gets those of sample_rows rows at most."""
+    """Features are made on the executors, and one task fits those of sample_rows rows at most; the driver gets the parameters."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_y"), F.max("quality").alias("_z")).where("_y = _z")
     # the ids are picked before texts are read: no text is sorted or shuffled for the sample
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "_y")
@@ -149,14 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([b.column("_y").cast(pa.int32()), b.column("doc_id"), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["y", "doc_id", "i", "x"])
 
     made = rows.mapInArrow(make, f"y int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, i array<int>, x array<float>")
-    got = made.groupBy("doc_id").agg(F.min_by(F.struct("y", "i", "x"), F.xxhash64("i", "x")).alias("r")).select("doc_id", "r.*").toArrow()  # at most sample_rows rows
-    got = got.sort_by("doc_id")
-    arrays = lambda c: [np.asarray(x.values) for x in got.column(c)]
-    index, value, label = arrays("i"), arrays("x"), np.asarray(got.column("y"), np.float32)
-    machine = fit(index, value, label)
-    del got, index, value
-    pa.default_memory_pool().release_unused()  # the driver goes on with other work
-    return machine
+    one = made.groupBy("doc_id").agg(F.min_by(F.struct("y", "i", "x"), F.xxhash64("i", "x")).alias("r")).select("doc_id", "r.*")
+    got = one.groupBy().applyInArrow(_fit_table, "bias double, w array<float>, v array<float>").first()  # one task fits sample_rows rows at most
+    if got is None:
+        return fit([], [], np.zeros(0, np.float32))
+    return Machine(got.bias, np.array(got.w, np.float32), np.array(got.v, np.float32).reshape(N_FEATURES, -1))
 
 
 def score_quality(docs: DataFrame, machine: Machine, into: str = "score") -> DataFrame:
