@@ -45,6 +45,22 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 21)}, **{100 + i: 100 for i in range(1, 30)}}
 
 
+def test_components_of_text_nodes_and_of_nothing(spark):
+    node, _ = common.components(spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x"), (None, "a")], "src string, dst string"))
+    assert {r.node: r.component for r in node.collect()} == {"b": "a", "c": "a", "y": "x"}
+    node, _ = common.components(spark.createDataFrame([], "src string, dst string"))
+    assert node.count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    at = SMALL.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    got = [(r.score, labels[r.doc_id]) for r in queries.QUERIES["op8_quality_fm"](spark, at).collect() if r.held_out and r.doc_id in labels]
+    good, bad = [x for x, y in got if y == 1], [x for x, y in got if y == 0]
+    won = sum((g > b) + (g == b) / 2 for g in good for b in bad)
+    assert won / (len(good) * len(bad)) > 0.85
+
+
 def test_decontamination_in_blocks(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
