@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_preference import OP1_SQL, op1_chat_preference
 from .decontamination import OP5_SQL, op5_decontamination
+from .dual_tree_lloyd import OP13_SQL, op13_dual_tree_lloyd
 from .html_extraction import op2_html_extraction
 from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op9_length_packing
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_quality_fm": op8_quality_fm,
     "op9_length_packing": op9_length_packing,
     "op10_token_records": op10_token_records,
+    "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
 
 SQL = {
     "op1_chat_preference": OP1_SQL,
     "op4_topk_search": OP4_SQL,
     "op5_decontamination": OP5_SQL,
+    "op13_dual_tree_lloyd": OP13_SQL,
 }
