@@ -10,6 +10,7 @@ from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op9_length_packing
 from .pii import op3_pii
 from .quality_fm import op8_quality_fm
+from .token_alignment import op12_token_alignment
 from .token_records import op10_token_records
 from .topk_search import OP4_SQL, op4_topk_search
 from .url_filter import op7_url_filter
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_fm": op8_quality_fm,
     "op9_length_packing": op9_length_packing,
     "op10_token_records": op10_token_records,
+    "op12_token_alignment": op12_token_alignment,
     "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
 
