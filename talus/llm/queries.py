@@ -6,6 +6,7 @@ from .chat_preference import OP1_SQL, op1_chat_preference
 from .decontamination import OP5_SQL, op5_decontamination
 from .dual_tree_lloyd import OP13_SQL, op13_dual_tree_lloyd
 from .html_extraction import op2_html_extraction
+from .language_crf import op11_language_crf
 from .ngram_jaccard import op6_ngram_jaccard
 from .packing import op9_length_packing
 from .pii import op3_pii
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_fm": op8_quality_fm,
     "op9_length_packing": op9_length_packing,
     "op10_token_records": op10_token_records,
+    "op11_language_crf": op11_language_crf,
     "op12_token_alignment": op12_token_alignment,
     "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
