@@ -1,13 +1,16 @@
-"""Dependency graphs as edge tables (src, dst)."""
+"""Dependency graphs as edge tables (src, dst): degrees, reachability, components and cycles.
 
-from __future__ import annotations
+Searches run in rounds, each round's rows written to the shared folder and
+joined with the edges; the driver sees counts only.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.sources.scratch import discard, stored
+
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """Distinct links from a page's URL to its href targets."""
@@ -22,35 +25,204 @@ def degrees(edges: DataFrame) -> DataFrame:
     return got.withColumn("complexity", F.col("n_out") * F.col("n_in"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="talus-")
-    path = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) with a path from src to dst. Path lengths double every round, so rounds grow with the logarithm of the longest."""
-    now = _stored(edges.select("src", "dst").distinct())
+    """All (src, dst) with a path from src to dst. Path lengths double every round, so rounds grow with the logarithm of the longest.
+
+    The result has a row for every pair, which may be the square of the nodes: ask reach() from the roots that matter instead.
+    """
+    now, path = stored(edges.select("src", "dst").distinct(), "closure")
     n = now.count()
     while True:
         step = now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        now = _stored(now.unionByName(step).distinct())
+        new, new_path = stored(now.unionByName(step).distinct(), "closure")
+        discard(edges.sparkSession, path)
+        now, path = new, new_path
         if (m := now.count()) == n:
             return now
         n = m
 
 
-def nation_edges(spark: SparkSession, sf_dir: str, keep: int | None = 2) -> DataFrame:
-    """For each supplier nation the keep customer nations with most of its line items, itself aside; None: all of them."""
-    from pyspark.sql import Window as W
+def _clean(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+
+
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def reach(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """root, node, depth: what each root reaches, itself at depth 0, by the fewest edges.
+
+    roots has a column root. A round joins the newest pairs alone with the
+    edges and keeps those not seen before, so rows made are bounded by the
+    edges that leave reached nodes. Rounds are as many as the greatest depth.
+    Null roots and edges with a null end are left out; repeated ones add nothing.
+    """
+    spark, edges = edges.sparkSession, _clean(edges)
+    edges, edges_path = stored(edges, "reach-edges")
+    first = roots.select("root").where("root is not null").distinct()
+    new, path = stored(first.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "reach")
+    paths, depth = [path], 0
+    seen = new
+    while most_depth is None or depth < most_depth:
+        depth += 1
+        step = new.join(edges, new.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
+        new, path = stored(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        if new.isEmpty():
+            discard(spark, path)
+            break
+        paths.append(path)
+        seen = spark.read.schema(seen.schema).parquet(*paths)
+    discard(spark, edges_path)
+    return seen
+
+
+def dependents(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """root, node, depth: the nodes from which each root is reached."""
+    return reach(reversed_edges(edges), roots, most_depth)
+
+
+def trees(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node, deps: each node that a root reaches with its sorted direct dependencies, none for a leaf."""
+    seen = reach(edges, roots).select("root", "node")
+    out = seen.join(_clean(edges), F.col("node") == F.col("src"), "left")
+    return out.groupBy("root", "node").agg(F.sort_array(F.collect_list("dst")).alias("deps"))
+
+
+def impact(edges: DataFrame, changed: DataFrame, n_nodes: int) -> DataFrame:
+    """node, n_direct, n_transitive, impact: for each changed node (column root) the nodes that depend on it, itself aside, and their share of all nodes in per cent, half to even."""
+    hit = dependents(edges, changed).where("node <> root")
+    got = changed.select("root").where("root is not null").distinct().join(hit, "root", "left").groupBy(F.col("root").alias("node"))
+    got = got.agg(F.count(F.when(F.col("depth") == 1, 1)).alias("n_direct"), F.count("depth").alias("n_transitive"))
+    return got.withColumn("impact", F.bround(100 * F.col("n_transitive") / F.lit(max(n_nodes, 1)), 2))
+
+
+def _trimmed(edges: DataFrame, label: str) -> tuple[DataFrame, str, int]:
+    """edges without those at nodes that none or no other edge leaves or enters, while a round removes a twentieth of them or more."""
+    now, path = stored(edges, label)
+    n = now.count()
+    while n:
+        into, out = now.select(F.col("dst").alias("_n")).distinct(), now.select(F.col("src").alias("_n")).distinct()
+        kept = now.join(into, F.col("src") == F.col("_n"), "left_semi").join(out, F.col("dst") == F.col("_n"), "left_semi")
+        new, new_path = stored(kept, label)
+        discard(edges.sparkSession, path)
+        now, path, m = new, new_path, new.count()
+        if n - m < max(n // 20, 1):
+            return now, path, m
+        n = m
+    return now, path, n
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component: the nodes that reach themselves, with the smallest node of their strongly connected component.
+
+    A round trims nodes that can lie on no cycle; gives every node the smallest
+    node that reaches it, as its colour; and walks back from each colour's own
+    node inside the colour: what it meets is that node's component. Edges inside
+    one colour that touch no settled node go to the next round; edges between
+    colours lie on no cycle. Only labels move, so a component of any size stays
+    a distributed table.
+    """
+    spark = edges.sparkSession
+    whole = _clean(edges)
+    loops = whole.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    found_paths = []
+    empty = whole.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    now, path, n = _trimmed(whole.where("src <> dst"), "scc-edges")
+    while n:
+        colour, colour_path = _least_before(now)
+        ends = now.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").where("c = d").select("src", "dst", "c")
+        ends, ends_path = stored(ends, "scc-inside")
+        met, met_path = _walk_back(ends)
+        found_paths.append(met_path)
+        rest = ends.join(met.select(F.col("node").alias("src")), "src", "left_anti").join(met.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+        new, new_path, m = _trimmed(rest, "scc-edges")
+        discard(spark, path, colour_path, ends_path)
+        now, path, n = new, new_path, m
+    discard(spark, path)
+    out = spark.read.schema(empty.schema).parquet(*found_paths) if found_paths else empty
+    return out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
+
+
+def _least_before(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, colour): the least node from which a node is reached. Each round also asks the colour's own node for its colour, so that paths shorten."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    now, path = stored(ends.withColumn("colour", F.col("node")), "scc-colour")
+    while True:
+        over = edges.join(now, edges.src == now.node).select(F.col("dst").alias("node"), "colour")
+        least = over.groupBy("node").agg(F.min("colour").alias("new"))
+        step = now.join(least, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("new", "colour")).alias("colour"))
+        # what reaches the node of my colour reaches me
+        jump = step.select(F.col("node").alias("_c"), F.col("colour").alias("further"))
+        moved = step.join(jump, F.col("colour") == F.col("_c"), "left").select("node", "old", F.least("colour", F.coalesce("further", "colour")).alias("colour"))
+        new, new_path = stored(moved, "scc-colour")
+        changed = not new.where("colour <> old").isEmpty()
+        discard(edges.sparkSession, path)
+        now, path = new.select("node", "colour"), new_path
+        if not changed:
+            return now, path
+
+
+def _walk_back(inside: DataFrame) -> tuple[DataFrame, str]:
+    """(node, component) of the nodes that lead to their colour's own node along edges of the colour (src, dst, c), where that node lies on a cycle."""
+    spark = inside.sparkSession
+    back = inside.select(F.col("dst").alias("at"), F.col("src").alias("node"), "c")
+    new, path = stored(back.where("at = c").select("node", F.col("c").alias("component")).distinct(), "scc-met")
+    paths, seen = [path], new
+    while True:
+        step = new.join(back, (new.node == back["at"]) & (new.component == back.c)).select(back.node, F.col("c").alias("component")).distinct()
+        new, path = stored(step.join(seen.select("node"), "node", "left_anti"), "scc-met")
+        paths.append(path)
+        if new.isEmpty():
+            break
+        seen = spark.read.schema(seen.schema).parquet(*paths)
+    out, out_path = stored(seen, "scc-found")
+    discard(spark, *paths)
+    return out, out_path
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """component, position, node: of each strongly connected component the shortest cycle through its smallest node.
+
+    The cycle starts at that node with position 0. Of equally short cycles it
+    is the one whose last node is the smallest, then the one before, and so on.
+    """
+    spark = edges.sparkSession
+    part, part_path = stored(strong_components(edges), "cycle-parts")
+    both = _clean(edges).join(part.toDF("src", "component"), "src").join(part.toDF("dst", "_d"), "dst").where("component = _d").select("component", "src", "dst")
+    inside, inside_path = stored(both, "cycle-edges")
+    # forward from the smallest nodes, each in its own component, until each is met again
+    new, path = stored(inside.where("src = component").select("component", F.col("dst").alias("node"), F.lit(1).alias("depth")), "cycle-depths")
+    paths, depth = [path], 1
+    while True:
+        seen = spark.read.schema(new.schema).parquet(*paths)
+        closed = seen.where("node = component").select("component")
+        depth += 1
+        ahead = new.join(closed, "component", "left_anti").join(inside.withColumnRenamed("src", "node"), ["component", "node"]).select("component", F.col("dst").alias("node")).distinct()
+        new, path = stored(ahead.join(seen, ["component", "node"], "left_anti").withColumn("depth", F.lit(depth)), "cycle-depths")
+        paths.append(path)
+        if new.isEmpty():
+            break
+    # backward, one node a round: the smallest one before that is a step nearer to the start
+    at, path = stored(seen.where("node = component").select("component", "node", F.col("depth").alias("position")), "cycle-back")
+    back = [path]
+    rows = at
+    while True:
+        before = inside.join(at.withColumnRenamed("node", "dst"), ["component", "dst"]).join(seen.withColumnRenamed("node", "src"), ["component", "src"]).where("depth = position - 1")
+        at, path = stored(before.groupBy("component", F.col("depth").alias("position")).agg(F.min("src").alias("node")).select("component", "node", "position"), "cycle-back")
+        back.append(path)
+        if at.isEmpty():
+            break
+        rows = spark.read.schema(rows.schema).parquet(*back)
+    first = F.col("node") == F.col("component")  # met again at the end: that row stands for the start
+    out, _ = stored(rows.select("component", F.when(first, 0).otherwise(F.col("position")).cast("int").alias("position"), "node"), "cycles")
+    discard(spark, part_path, inside_path, *paths, *back)
+    return out
+
 
+def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each supplier nation to every other nation whose customers have line items of it."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     li = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    n = li.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).count()
-    if keep is None:
-        return n.select("src", "dst")
-    place = F.row_number().over(W.partitionBy("src").orderBy(F.col("count").desc(), "dst"))  # of at most as many rows as there are nations
-    return n.withColumn("p", place).where(F.col("p") <= keep).select("src", "dst")
+    return li.where("s_nationkey <> c_nationkey").select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()

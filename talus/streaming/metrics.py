@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.sources.scratch import new_path
+
 
 def hourly_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Counts per hour and event type of a stream or a table of events."""
+    """Counts per hour and event type of a stream or a table of events.
+
+    A stream's watermark lets it drop an hour's state once it is `late` behind, in the modes append and update; complete mode keeps all of them.
+    """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         timed = timed.withWatermark("ts", late)
@@ -20,8 +22,7 @@ def hourly_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 def run_available(spark: SparkSession, path: str) -> DataFrame:
     """hourly_counts of the Parquet files at path, streamed; the state after the last batch, from a written table."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="talus-")).rstrip("/")
-    out, own = f"{base}/metrics-{uuid.uuid4().hex}", f"{base}/metrics-state-{uuid.uuid4().hex}"
+    out, own = new_path(spark, "metrics"), new_path(spark, "metrics-state")
     table = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
     source = spark.readStream.schema(table.schema)

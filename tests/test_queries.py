@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from talus.operators import cache, chunking, corpus, graph, rules, scoring
-from talus.plans import catalogue
+from talus.plans import catalogue, code_checks, projects  # noqa: F401
 
 from .conftest import SMALL, rows_of
 
@@ -81,5 +81,5 @@ def test_language_and_globs(spark):
 
 def test_all_nation_edges(spark, duck):
     sql = "select distinct s_nationkey, c_nationkey from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where s_nationkey <> c_nationkey"
-    got = {tuple(r) for r in graph.nation_edges(spark, SMALL, keep=None).collect()}
+    got = {tuple(r) for r in graph.nation_edges(spark, SMALL).collect()}
     assert got == set(duck.execute(sql).fetchall())
