@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import parts
+from .words import PART_ROWS, parts
 
 _own: dict[str, str] = {}
 
@@ -72,18 +72,27 @@ def _bit_of(key, log2_bits: int):
     return F.xxhash64(key).bitwiseAND(F.lit((1 << log2_bits) - 1))
 
 
-def components(edges: DataFrame, label: str = "cc") -> tuple[DataFrame, str | None]:
+def components(edges: DataFrame, label: str = "cc", task_edges: int = 1 << 20, tasks: int | None = None) -> tuple[DataFrame, str]:
     """Connected components of undirected edges (src, dst), as (node, component).
 
     component is the smallest node of the component. Nodes without an edge to
-    another node don't appear. Alternates large-star and small-star steps, each
-    a partial aggregation and a join whose large side Spark may split, so a hub
-    is no hot task. Every round is written to the shared folder; the older
-    round is removed. Also returns the path of the result, to be discarded.
+    another node don't appear. First every task joins about task_edges edges
+    into stars by itself, as many tasks as that takes; where one task is enough,
+    nothing remains to be done. Elsewhere large-star and small-star steps
+    alternate, each a partial aggregation and a join whose large side Spark may
+    split, so a hub is no hot task. Every round is written to the shared folder;
+    the older round is removed. Also returns the path of the result, to be
+    discarded. tasks: those that write the edges first, where their number is
+    known to be small.
     """
     now = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    now, path = stored(now, label)
-    while not _stars(now):
+    now, path = stored(now.coalesce(tasks) if tasks else now, label)
+    tasks = -(-now.count() // task_edges)
+    if tasks:
+        new, new_path_ = stored(now.coalesce(tasks).mapInArrow(_joined_up, now.schema), label)
+        discard(path)
+        now, path = new, new_path_
+    while tasks > 1 and not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -95,12 +104,55 @@ def components(edges: DataFrame, label: str = "cc") -> tuple[DataFrame, str | No
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")), path
 
 
+def _joined_up(batches):
+    """The edges (u, v) of a task as stars: every node with the smallest one of its component there."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    both = pa.chunked_array([*t.column("u").chunks, *t.column("v").chunks]).combine_chunks()
+    kind = both.type
+    # numbers of the nodes in their order
+    nodes = both.unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    number = np.asarray(pc.index_in(both, nodes))
+    a, b = number[: t.num_rows].astype(np.int64), number[t.num_rows :].astype(np.int64)
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        apart = low < high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while True:  # roots of roots
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+    some = np.flatnonzero(root != np.arange(len(nodes)))
+    for at in range(0, len(some), 1 << 16):
+        k = some[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(k)).cast(kind), nodes.take(pa.array(root[k])).cast(kind)], names=["u", "v"])
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every u of the edges (u, v), u > v, has one v, which is no u itself."""
     ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast(edges.schema["v"].dataType).alias("v")))
     return ends.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("k"), F.count("v").alias("out")).where("out > 0 and (a <> b or k > out)").isEmpty()
 
 
+def small_batches(spark: SparkSession, rows: int = PART_ROWS) -> None:
+    """Arrow batches of some rows, where the session keeps Spark's default of 10,000: so many long texts fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def with_columns(df: DataFrame, make, ddl: str) -> DataFrame:
     """df with more columns: make(record batch) gives their arrays. Columns of these names are replaced.
 
@@ -109,6 +161,7 @@ def with_columns(df: DataFrame, make, ddl: str) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    small_batches(df.sparkSession)
     fields = T.StructType.fromDDL(ddl).fields
     df = df.drop(*(f.name for f in fields))
     schema = T.StructType(df.schema.fields + fields)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, with_columns
+from .common import small_batches, stored, with_columns
 from .words import ALNUM_CUTS, SHINGLE, cut, parts, rolled
 
 WINDOW = 13
@@ -197,6 +197,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted as strings) and contaminated."""
     spark = docs.sparkSession
+    small_batches(spark)
     out, first = docs.drop("_hit_words", "_items"), True
     for items in _blocks(benchmark, block_bytes):
         block = windows_of(items)
@@ -221,7 +222,7 @@ def _again(out: DataFrame, shared) -> DataFrame:
     at = [names.index(c) for c in ("n_words", "_hit_words", "_items")]
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             columns = list(b.columns)
             for i, a in zip(at, judge(b), strict=True):
                 columns[i] = a

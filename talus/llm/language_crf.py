@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .quality_fm import held_out
 from .words import LOWER, mix, parts
 
@@ -436,6 +437,7 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
     """docs with lang_pred, score (its mean probability over the words), n_words and n_switches (neighbours with different labels)."""
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     named = T.StructType.fromDDL("lang_pred string, score double, n_words long, n_switches long")
     d = docs.drop(*named.fieldNames())

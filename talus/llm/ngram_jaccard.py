@@ -34,7 +34,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, discard, maybe_in, stored
+from .common import bitmap, components, discard, maybe_in, small_batches, stored
 from .words import mix, parts, shingle_sets
 
 PERCENT = 75
@@ -44,17 +44,19 @@ RARITY_BITS = 20
 SLICE_CELLS = 1 << 16
 #: So many tasks' counts are added at a time.
 FAN = 64
-#: A round moves every row through some tables and its joins, which costs about so many comparisons of two rows in a task.
+#: To meet other heads moves every row through some tables and joins, which costs about so many comparisons of two rows in a task.
 ROUND_COST = 64
 #: Rows of a group in one cell of the last join.
 CELL_ROWS = 512
 LIST_BITS = 24
 #: Lists of so many rows are compared whole: at most 3.5 pairs a row.
 SHORT = 8
-#: Heads of a list, by its key; rounds in which rows left apart meet other heads.
+#: Heads of a list, by its key; members of a group's main component that rows left apart from it meet.
 LEADERS = 3
-ROUNDS = 3
+HEADS = 3
 SCAN_WEIGHT = 2.0
+#: Input rows whose share of the intermediate tables goes to one task: with shingles, some 100 MB for long texts.
+TASK_ROWS = 1 << 14
 MAX_BOUNDARY = 64
 
 
@@ -219,12 +221,17 @@ class JaccardJoin:
     by_row: members have text_key too, and known has the winner of each set's component and the rows of the set.
     """
 
-    def __init__(self, docs: DataFrame, percent: int = PERCENT, leaders: int = LEADERS, rounds: int = ROUNDS, by_row: bool = False):
+    def __init__(self, docs: DataFrame, percent: int = PERCENT, leaders: int = LEADERS, heads: int = HEADS, by_row: bool = False):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([_text_key().alias("text_key")] if by_row else []))
-        self.percent, self.leaders, self.rounds, self.by_row = percent, leaders, rounds, by_row
-        self.spark = docs.sparkSession
+        self.percent, self.leaders, self.heads, self.by_row = percent, leaders, heads, by_row
+        self.spark, self.tasks = docs.sparkSession, 0
+        small_batches(self.spark)
         self.temporary: dict[str, list[str]] = {}
 
+    def _few(self, df: DataFrame) -> DataFrame:
+        """df in as many tasks as the input's rows ask for, where a session deals more shuffle partitions than that."""
+        return df.coalesce(self.tasks) if self.tasks else df
+
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         out, path = stored(df, f"jaccard-{label}")
         self.temporary.setdefault(label, []).append(path)
@@ -237,12 +244,13 @@ class JaccardJoin:
     def _classes(self):
         got = self._keep(self.docs.mapInArrow(_class_rows(self.by_row), f"doc_id long, set_id long, n long, sketch array<long>, task long, slice long, counts binary{', text_key long' if self.by_row else ''}"), "classes")
         self.members = got.where("n is not null").select("doc_id", *(["text_key"] if self.by_row else []), "set_id", "n")
+        self.tasks = -(-self.members.count() // TASK_ROWS)
         times = count_cells(got.where("slice is not null").select("task", "slice", "counts"))
         sizes = self.members.where("n > 1").groupBy("n").count().where(f"n <= {2 * MAX_BOUNDARY}").collect()
         self.boundary = choose_boundary([(r.n, r["count"]) for r in sizes], self.percent)
         first = lambda c: F.first(c).alias(c)
         best = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"), F.count("*").alias("rows")] if self.by_row else []
-        self.sets = self._keep(got.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), first("n"), first("sketch"), *best), "sets")
+        self.sets = self._keep(self._few(got.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), first("n"), first("sketch"), *best)), "sets")
         return self.spark.sparkContext.broadcast(times)
 
     def _lists(self, rarity):
@@ -253,48 +261,46 @@ class JaccardJoin:
         their keys, of a fixed size, holds most other postings back from the join.
         """
         # a bitmap of a fixed size holds most of the equal sets' other rows back
-        firsts = self._keep(bitmap(self.sets, "low"), "firsts")
+        firsts = self._keep(self._few(bitmap(self.sets, "low")), "firsts")
         docs = maybe_in(firsts, self.docs, "doc_id", "_maybe").where("_maybe or doc_id is null").select("text")
         p = self._keep(docs.mapInArrow(_posting_rows(rarity, self.boundary, self.percent), "key long, set_id long"), "postings")
         turn = lambda c: self._turn(c, self.leaders)
         heads = p.groupBy("key").agg(F.min(turn("set_id")).alias("low"), F.max(turn("set_id")).alias("high"), F.count("*").alias("k")).where("low <> high")
-        heads = self._keep(heads.select("key", turn("low").alias("leader"), turn("high").alias("other"), "k"), "heads")
+        heads = self._keep(self._few(heads.select("key", turn("low").alias("leader"), turn("high").alias("other"), "k")), "heads")
         long = heads.where("k > 2").select("key", "leader", "k")
-        bits = self._keep(bitmap(long, "key", LIST_BITS), "list-bits")
-        lists = maybe_in(bits, p, "key", "_maybe", LIST_BITS).where("_maybe").select("key", "set_id").join(long, "key").distinct()
-        lists = self._keep(lists, "members")
+        bits = self._keep(self._few(bitmap(long, "key", LIST_BITS)), "list-bits")
+        lists = maybe_in(bits, p, "key", "_maybe", LIST_BITS).where("_maybe").select("key", "set_id").join(long, "key")
+        lists = self._keep(self._few(self._few(lists).distinct()), "members")
         twos = heads.where("k = 2").select(F.greatest("leader", "other").alias("a"), F.least("leader", "other").alias("b"))
-        m = lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list("set_id").alias("m"))
+        m = self._few(lists.where(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list("set_id").alias("m")))
         pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
         pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SHORT)), lambda y: pair(x, y))))
         lists_ = lists.where(F.col("k") > SHORT).drop("k")
         first = twos.unionByName(m.select(F.explode(pairs).alias("e")).select("e.*")).unionByName(lists_.where("leader <> set_id").select(*_ordered("leader", "set_id")))
-        first = self._keep(first.distinct(), "pairs")
+        first = self._keep(self._few(first.distinct()), "pairs")
         self._drop("firsts", "postings", "heads", "list-bits")
         return first, lists_
 
     def _shingles(self, ids: DataFrame) -> DataFrame:
-        """set_id, shingles: only rows that may hold one of the sets are cut again, by a bitmap of their smallest doc_ids."""
-        wanted = self._keep(self.sets.join(ids, "set_id", "left_semi").select("set_id", "low"), "wanted")
-        bits = self._keep(bitmap(wanted, "low"), "wanted")
+        """set_id, shingles of these sets, and of a few others: only rows that may hold one of the sets are cut again, by a bitmap of their smallest doc_ids."""
+        bits = self._keep(self._few(bitmap(self._few(self.sets.join(ids, "set_id", "left_semi")), "low")), "wanted")
         docs = maybe_in(bits, self.docs, "doc_id", "_maybe").where("_maybe or doc_id is null").select("text")
-        found = docs.mapInArrow(_set_rows, "set_id long, shingles array<long>")
-        return self._keep(found.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles")), "shingles")
+        return self._keep(self._few(docs.mapInArrow(_set_rows, "set_id long, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles"))), "shingles")
 
     def _tested(self, pairs: DataFrame) -> DataFrame:
-        """The stored pairs (a, b) with bounds of their Jaccard distance (low, high) and whether they link.
+        """The pairs (a, b) with bounds of their Jaccard distance (low, high) and whether they link.
 
         Sizes and sketches bound the distance from below; only pairs that could still link meet with their sets, and their distance is exact.
         """
         side = lambda c: self.sets.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = self._few(self._few(pairs.join(side("a"), "a")).join(side("b"), "b"))
         apart = F.greatest(_differing(F.col("s_a"), F.col("s_b")).cast("long"), F.abs(F.col("n_a") - F.col("n_b")))
         bound = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("s"), apart.alias("h"))
         bound = self._keep(bound.select("a", "b", (2 * F.col("h") / (F.col("s") + F.col("h"))).alias("low"), ((F.col("s") - F.col("h")) * 100 >= (F.col("s") + F.col("h")) * self.percent).alias("may")), "bound")
-        sets = self._shingles(bound.where("may").select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+        sets = self._shingles(self._few(bound.where("may").select(F.explode(F.array("a", "b")).alias("set_id")).distinct()))
         left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-        got = bound.where("may").select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+        got = self._few(self._few(bound.where("may").select("a", "b").join(left, "a")).join(right, "b")).select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
         d = 1 - F.col("i") / (F.col("s") - F.col("i"))
         got = got.select("a", "b", d.alias("low"), d.alias("high"), (F.col("i") * 100 >= (F.col("s") - F.col("i")) * self.percent).alias("near"))
         out = self._keep(bound.where("not may").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("near")).unionByName(got), "tested")
@@ -307,24 +313,30 @@ class JaccardJoin:
         return F.col(c).bitwiseXOR(F.element_at(values, (F.pmod("key", F.lit(salts)) + 1).cast("int")))
 
     def _placed(self, lists: DataFrame, node: DataFrame):
-        """The lists with the component of each member; and of the lists with several components, (key, main): the largest one."""
+        """The lists with the component of each member; of those with several components (key, main, all, most): the largest one; how many these are; and the pairs of its members with others."""
         self._drop("placed", "main")
-        placed = self._keep(lists.join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "placed")
-        by = placed.groupBy("key", "component").agg(F.count("*").alias("k"))
+        placed = self._keep(self._few(lists.join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))), "placed")
+        by = self._few(placed.groupBy("key", "component").agg(F.count("*").alias("k")))
         main = by.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("all"), F.max("k").alias("most"))
-        return placed, self._keep(main.where("parts > 1").select("key", "main", "all", "most"), "main")
+        main = self._keep(self._few(main.where("parts > 1").select("key", "main", "all", "most")), "main")
+        return placed, main, *main.agg(F.count("*"), F.coalesce(F.sum(F.expr("(all - most) * (most - 1)")), F.lit(0))).first()
+
+    def _with_heads(self, placed: DataFrame, main: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of what a group's main component leaves apart with some of its members, chosen by the list."""
+        of_main = self._few(placed.join(main.select("key", F.col("main").alias("component")), ["key", "component"]))
+        starts = [8 * k for k in range(1, self.heads + 1)]
+        heads = of_main.groupBy("key").agg(*(F.min(self._turn("set_id", 8, k)).alias(f"h{k}") for k in starts)).select("key", F.explode(F.array_distinct(F.array(*(self._turn(f"h{k}", 8, k) for k in starts)))).alias("head"))
+        few = self._few(placed.join(main, "key").where("component <> main").select("key", "set_id", "n"))
+        more = self._few(few.join(heads, "key")).join(self.sets.select(F.col("set_id").alias("head"), F.col("n").alias("n_head")), "head").where(_close(F.col("n"), F.col("n_head"), self.percent))
+        return self._few(self._few(more.select(*_ordered("set_id", "head")).where("a <> b")).distinct())
 
     def _joined(self, node: DataFrame, links: DataFrame) -> DataFrame:
         """The components once more links hold: those found so far are stars, so few rounds remain."""
-        out, path = components(node.toDF("src", "dst").unionByName(links.toDF("src", "dst")), "jaccard-cc")
+        out, path = components(node.toDF("src", "dst").unionByName(links.toDF("src", "dst")), "jaccard-cc", tasks=self.tasks or None)
         self._drop("cc")
         self.temporary["cc"] = [path]
         return out
 
-    def _pairs(self, df: DataFrame, p: str, q: str, tested: DataFrame) -> DataFrame:
-        pairs = df.select(*_ordered(p, q)).where("a <> b").distinct()
-        return self._keep(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         rarity = self._classes()
@@ -335,40 +347,29 @@ class JaccardJoin:
         none = self.spark.createDataFrame([], "node long, component long")
         node = self._joined(none, tested.where("near").select("a", "b"))
         far = tested.select("a", "b", "low", "high")
-        lists = lists.select("*", *_ordered("leader", "set_id")).join(far, ["a", "b"], "left").join(self.sets.select("set_id", "n"), "set_id")
+        lists = self._few(self._few(lists.select("*", *_ordered("leader", "set_id")).join(far, ["a", "b"], "left")).join(self.sets.select("set_id", "n"), "set_id"))
         head = F.col("leader") == F.col("set_id")
         lists = lists.select("key", "leader", "set_id", "n", F.when(head, 0.0).otherwise(F.col("low")).alias("low"), F.when(head, 0.0).otherwise(F.col("high")).alias("high"))
-        lists = self._keep(self._grouped(self._keep(lists, "lists")), "groups")
+        lists = self._keep(self._few(self._grouped(self._keep(lists, "lists"))), "groups")
         self._drop("members", "lists")
 
-        # while much is left apart from a large component of the same group, it meets other members of that component
-        rows, turn = lists.count(), 0
-        while rows:
-            placed, main = self._placed(lists, node)
-            several, work = main.agg(F.count("*"), F.sum(F.expr("(all - most) * (most - 1)"))).first()
-            if not several or work <= ROUND_COST * rows or turn == self.rounds:
-                break
-            turn += 1
-            heads = placed.join(main.select("key", F.col("main").alias("component")), ["key", "component"]).groupBy("key").agg(F.min(self._turn("set_id", 8, 8 * turn)).alias("low")).select("key", self._turn("low", 8, 8 * turn).alias("head"))
-            few = placed.join(main, "key").where("component <> main").select("key", "set_id", "n")
-            more = few.join(heads, "key").join(self.sets.select(F.col("set_id").alias("head"), F.col("n").alias("n_head")), "head").where(_close(F.col("n"), F.col("n_head"), self.percent))
-            got = self._tested(self._pairs(more, "set_id", "head", tested))
-            self._drop("pairs")
-            tested, new = tested.unionByName(got), got.where("near").select("a", "b")
-            if new.isEmpty():
-                break
-            node = self._joined(node, new)
-
-        # all that could still link across components; distances to the common leader differ by at most that of a link
-        if rows and several:
-            pairs = self._late_pairs(placed, main, tested)
-            if not pairs.isEmpty():
-                new = self._tested(pairs).where("near").select("a", "b")
-                if not new.isEmpty():
-                    node = self._joined(node, new)
-        least = self.sets.drop("n", "sketch").join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        rows = lists.count()
+        placed, main, several, work = self._placed(lists, node)
+        if several and work > ROUND_COST * rows:
+            # much is left apart from a large component of its group: it meets other members of that component
+            new = self._tested(self._with_heads(placed, main)).where("near").select("a", "b")
+            if not new.isEmpty():
+                node = self._joined(node, new)
+                placed, main, several, _ = self._placed(lists, node)
+        if several:
+            # all that could still link across components
+            pairs = self._keep(self._late_pairs(placed, main), "pairs")
+            new = None if pairs.isEmpty() else self._tested(pairs).where("near").select("a", "b")
+            if new is not None and not new.isEmpty():
+                node = self._joined(node, new)
+        least = self._few(self.sets.drop("n", "sketch").join(node.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
         top = least.groupBy("component").agg(F.min("low").alias("component_id"), *([F.min("best").alias("winner")] if self.by_row else []))
-        self.known = self._keep(least.join(top, "component").select("set_id", "component_id", *(["winner", "rows"] if self.by_row else [])), "result")
+        self.known = self._keep(self._few(least.join(top, "component")).select("set_id", "component_id", *(["winner", "rows"] if self.by_row else [])), "result")
         out = self.members.join(self.known, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
         self._drop(*(x for x in list(self.temporary) if x not in ("classes", "result")))
         return out
@@ -388,14 +389,14 @@ class JaccardJoin:
         group = F.when(F.col("whole"), F.xxhash64(F.lit(True), "leader")).otherwise(F.xxhash64(F.lit(False), "key"))
         return lists.join(whole, "leader", "left").select(group.alias("key"), "set_id", "n", "low", "high").distinct()
 
-    def _late_pairs(self, placed: DataFrame, main: DataFrame, tested: DataFrame) -> DataFrame:
+    def _late_pairs(self, placed: DataFrame, main: DataFrame) -> DataFrame:
         """Pairs of a group outside its main component, with all members of other components that sizes, sketches and bounds allow.
 
         A group's rows are dealt to a grid of cells of about CELL_ROWS rows a side, so that a long list is many tasks' work.
         """
         side = F.ceil(F.sqrt(F.col("all") / CELL_ROWS)).cast("int")
         rows = placed.join(main.select("key", "main", side.alias("side")), "key").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("side")).cast("int"))
-        rows = rows.join(self.sets.select("set_id", "sketch"), "set_id")
+        rows = self._few(self._few(rows).join(self.sets.select("set_id", "sketch"), "set_id"))
         every = F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other")
         few = rows.where("component <> main").select("*", every).select("key", (F.col("own") * F.col("side") + F.col("other")).alias("cell"), *(F.col(c).alias(f"{c}_p") for c in ("set_id", "n", "component", "low", "high", "sketch")))
         all_ = rows.select("*", every).select("key", (F.col("other") * F.col("side") + F.col("own")).alias("cell"), "set_id", "n", "component", "low", "high", "sketch")
@@ -404,7 +405,7 @@ class JaccardJoin:
         apart = F.col("component") != F.col("component_p")
         s, h = F.col("n") + F.col("n_p"), _differing(F.col("sketch"), F.col("sketch_p"))
         may = apart & _close(F.col("n"), F.col("n_p"), self.percent) & reach & ((s - h) * 100 >= (s + h) * self.percent)
-        return self._pairs(few.join(all_, ["key", "cell"]).where(may), "set_id_p", "set_id", tested)
+        return self._few(self._few(few.join(all_, ["key", "cell"]).where(may).select(*_ordered("set_id_p", "set_id"))).distinct())
 
 
 def _ordered(p: str, q: str) -> tuple[Column, Column]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import small_batches, with_columns
 from .words import SPACE_CUTS, cut, parts
 
 WORD_BITS = 14
@@ -146,6 +146,7 @@ def _fit_table(t: pa.Table) -> pa.Table:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Features are made on the executors, and one task fits those of sample_rows rows at most; the driver gets the parameters."""
+    small_batches(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_y"), F.max("quality").alias("_z")).where("_y = _z")
     # the ids are picked before texts are read: no text is sorted or shuffled for the sample
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "_y")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, small_batches, stored
 from .token_records import Encoder, tokenizer_path
 
 A_TOKENIZER, B_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -297,6 +297,7 @@ def _streams(held_rows: int):
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, batch_bytes: int = BATCH_BYTES, stream_entries: int = STREAM_ENTRIES, held_rows: int = HELD_ROWS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document."""
     a_path, b_path = a_path or tokenizer_path(A_TOKENIZER), b_path or tokenizer_path(B_TOKENIZER)
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got, path = stored(d.mapInArrow(_aligned(a_path, b_path, batch_bytes), _DDL), "alignment")
     rows = got.where("ordinal is not null").select("batch", "ordinal", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")

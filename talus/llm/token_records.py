@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, small_batches
 
 END_ID = 0
 MASK_DELTA = 0xA282EAD8
@@ -161,6 +161,7 @@ def _records(path: str, end_id: int):
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Write the records of docs (doc_id, text) below path, the file names in ascending doc_id order."""
+    small_batches(docs.sparkSession)
     keys = ["doc_id", "text"]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions or max(d.sparkSession.sparkContext.defaultParallelism, d.rdd.getNumPartitions())

@@ -38,9 +38,11 @@ def test_jaccard_join_equals_brute_force(spark):
     assert ngram_jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("task_edges", [1 << 20, 5])
+def test_components_of_a_path_and_a_star(spark, task_edges):
+    """In one task, and in several whose stars are then joined in rounds."""
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
-    node, _ = common.components(spark.createDataFrame(edges, "src long, dst long"))
+    node, _ = common.components(spark.createDataFrame(edges, "src long, dst long"), task_edges=task_edges)
     got = {r.node: r.component for r in node.collect() if r.node != r.component}
     assert got == {**{i: 0 for i in range(1, 21)}, **{100 + i: 100 for i in range(1, 30)}}
 
