@@ -16,7 +16,9 @@ Defined cases: null vectors and those with null or non-finite components take
 no part; a null vec_id takes no part; vectors of other dimension count as
 padded with zeros; fewer than k candidates give fewer rows; scores beyond a
 long are clamped to it; a repeated vec_id is a candidate as often as it occurs,
-but never for its own id.
+but never for its own id, and as a query has the best of all its vectors'
+partners; an empty table gives no rows; a vector may have any length, which its
+task holds. Only the id and the vector are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import discard, stored
+
 K = 5
 QUERY_BLOCK = 8_192
 BUCKET_ROWS = 2_048
@@ -113,10 +117,12 @@ class Best:
         if not len(rows):
             return
         score = _products(self.q[some], v[rows])
-        good = can[:, rows] & (score >= least[:, None])
-        if len(rows) > 4 * self.k:  # of many, none below the (k + 1)-th best vector of this bucket: one may be the query's own
+        # vectors that only the query's own id has give it no partner
+        low, high = vec_ids[first[rows]], vec_ids[until[rows] - 1]
+        good = can[:, rows] & (score >= least[:, None]) & ((low != high) | (low != self.ids[some][:, None]))
+        if len(rows) > 4 * self.k:  # of many, none below the k-th best vector of this bucket
             s = np.where(good, score.astype(float), -np.inf)
-            good &= score >= np.partition(s, -(self.k + 1), axis=1)[:, [-(self.k + 1)]]
+            good &= score.astype(float) >= np.partition(s, -self.k, axis=1)[:, [-self.k]]
         for i in np.flatnonzero(good.any(1)):
             at, own = some[i], self.ids[some[i]]
             more = [(int(score[i, j]), int(d)) for j in np.flatnonzero(good[i]) for d in _others(vec_ids, first[rows[j]], until[rows[j]], own, self.k)]
@@ -158,10 +164,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int =
     spark = vectors.sparkSession
     total = queries.count()
     blocks = max(1, -(-total // query_block))
-    ordered = vectors.repartitionByRange(F.col("len2").desc(), F.col("vec_id")).sortWithinPartitions(F.col("len2").desc(), "vec_id")
-    head = vectors.orderBy(F.col("len2").desc(), "vec_id").limit(2 * BUCKET_ROWS).collect()  # a bounded start for the thresholds
+    # written once in order; each block of queries reads it, and its result is written before the next one is made
+    ordered, path = stored(vectors.repartitionByRange(F.col("len2").desc(), F.col("vec_id")).sortWithinPartitions(F.col("len2").desc(), "vec_id"), "vectors-by-length")
+    head = ordered.orderBy(F.col("len2").desc(), "vec_id").limit(2 * BUCKET_ROWS).collect()  # a bounded start for the thresholds
     head_ids, head_v = np.array([r.vec_id for r in head], np.int64), matrix([r.v for r in head])
-    out = None
+    results = []
     for i in range(blocks):
         some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").toArrow()  # about query_block rows
         ids, q = np.asarray(some.column("vec_id"), np.int64), matrix(some.column("v").to_pylist())
@@ -169,8 +176,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int =
         for a in range(0, len(head_ids), BUCKET_ROWS):
             best.add(head_ids[a : a + BUCKET_ROWS], head_v[a : a + BUCKET_ROWS])
         shared = spark.sparkContext.broadcast((ids, q, best.least))
-        got = ordered.mapInPandas(_search(shared, k), "query_id long, vec_id long, score long")
-        out = got if out is None else out.unionByName(got)
+        got, got_path = stored(ordered.mapInPandas(_search(shared, k), "query_id long, vec_id long, score long"), "top-k")
+        shared.destroy()
+        results.append(got_path)
+    discard(path)
+    out = spark.read.schema(got.schema).parquet(*results)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
