@@ -164,6 +164,38 @@ def chunk_fixed(spark, sf_dir):
     return chunking.fixed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "total_chunks", "content")
 
 
+def _line_chunk_sql(size: str, whole: str) -> str:
+    """Chunks of lines by recursion over (a, b]: c[k + 1] is where line k begins."""
+    return f"""x as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as l from documents),
+u as (select doc_id, unnest(range(1, len(l) + 1)) as k, unnest(l) as v from x), w as (select doc_id, list(s order by k) as c from (select doc_id, k, sum(length(v) + 1) over (partition by doc_id order by k) as s from u) group by 1),
+y as (select x.doc_id, l, list_prepend(0, c) as c, len(l) as n, length(coalesce(text, '')) as size from x join w using (doc_id)),
+r as (select doc_id, l, c, n, 0 as k, 0 as a, least(n, greatest(1, len(list_filter(c, lambda z: z <= {size})) - 1)) as b from y where {whole}
+  union all select doc_id, l, c, n, k + 1, b - least(50, b - a), least(n, greatest(b + 1, len(list_filter(c, lambda z: z <= c[b - least(50, b - a) + 1] + {size})) - 1)) from r where b < n)"""
+
+
+_CHUNK_OUT = "doc_id, k::int as chunk_index, (count(*) over (partition by doc_id))::int as total_chunks, (a + 1)::int as start_line, b::int as end_line, array_to_string(l[a + 1:b], chr(10)) as content"
+
+
+@query(f"with recursive {_line_chunk_sql('4000', 'true')} select {_CHUNK_OUT} from r")
+def chunk_lines(spark, sf_dir):
+    return chunking.line_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"with recursive {_line_chunk_sql('4000', 'size > 8000')} select {_CHUNK_OUT} from r union all select doc_id, 0, 1, 1, n::int, array_to_string(l, chr(10)) from y where size <= 8000")
+def chunk_review(spark, sf_dir):
+    return chunking.review_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_BREAK = "case when a + 1000 < n and strpos(reverse(substring(text, a + 1, 1000)), chr(10)) > 0 and 1000 - strpos(reverse(substring(text, a + 1, 1000)), chr(10)) > 500 then a + 1000 - strpos(reverse(substring(text, a + 1, 1000)), chr(10)) + 1 else least(n, a + 1000) end"
+
+
+@query(f"""with recursive x as (select doc_id, text, length(text) as n, 0 as k, 0 as a from documents where text <> ''),
+  r as (select *, {_BREAK} as b from x union all select doc_id, text, n, k, a, {_BREAK} as b from (select doc_id, text, n, k + 1 as k, greatest(b - 200, a + 1) as a from r where b < n))
+  select doc_id, k::int as chunk_index, (count(*) over (partition by doc_id))::int as total_chunks, a::bigint as start, substring(text, a + 1, b - a) as content from r""")
+def chunk_newline(spark, sf_dir):
+    return chunking.newline_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("select doc_id, cast(length(coalesce(text, '')) // 4 as bigint) as tokens, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) as bigint) as words from documents")
 def token_estimate_by_document(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"), word_tokens(F.col("text")).alias("words"))
