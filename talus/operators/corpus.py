@@ -12,9 +12,32 @@ from talus.functions.text import lines
 
 #: Languages by file extension.
 LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "c": "c", "cpp": "cpp", "h": "c", "hpp": "cpp", "cs": "csharp", "go": "go", "rb": "ruby",
-    "php": "php", "swift": "swift", "kt": "kotlin", "rs": "rust", "html": "html", "css": "css", "scss": "scss", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "xml": "xml",
-}
+    "py": "python",
+    "js": "javascript",
+    "ts": "typescript",
+    "jsx": "javascript",
+    "tsx": "typescript",
+    "java": "java",
+    "c": "c",
+    "cpp": "cpp",
+    "h": "c",
+    "hpp": "cpp",
+    "cs": "csharp",
+    "go": "go",
+    "rb": "ruby",
+    "php": "php",
+    "swift": "swift",
+    "kt": "kotlin",
+    "rs": "rust",
+    "md": "markdown",
+    "html": "html",
+    "css": "css",
+    "scss": "scss",
+    "json": "json",
+    "yml": "yaml",
+    "yaml": "yaml",
+    "xml": "xml",
+}
 
 
 def files(documents: DataFrame) -> DataFrame:
@@ -22,9 +45,9 @@ def files(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("language"), "text")
 
 
-def explode_lines(table: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line with line_no from 1 and line; the text is left out."""
-    return table.select("*", F.posexplode(lines(F.col(text))).alias("_at", "line")).withColumn("line_no", F.col("_at") + 1).drop("_at", text)
+def explode_lines(table: DataFrame, text: str = "text", cut=lines) -> DataFrame:
+    """One row per line with line_no from 1 and line; the text is left out. cut: lines or split_lines of talus.functions.text."""
+    return table.select("*", F.posexplode(cut(F.col(text))).alias("_at", "line")).withColumn("line_no", F.col("_at") + 1).drop("_at", text)
 
 
 def extension(path: Column) -> Column:

@@ -143,7 +143,7 @@ def _of(tree: DataFrame, *kinds: str) -> DataFrame:
 
 
 def complexity(tree: DataFrame, strict: bool = True) -> DataFrame:
-    """doc_id, name, line_no, complexity of every function, inner functions counted in the outer ones too.
+    """doc_id, name, line_no, end_line, complexity of every function, inner functions counted in the outer ones too.
 
     strict counts break, continue and except clauses as well.
     """
@@ -151,9 +151,9 @@ def complexity(tree: DataFrame, strict: bool = True) -> DataFrame:
     points = F.when(kind.isin("If", "While", "For", "AsyncFor"), 1).when(kind == "BoolOp", F.col("size"))
     if strict:
         points = points.when(kind.isin("Break", "Continue"), 1).when(kind == "Try", F.col("size"))
-    inside = tree.select("doc_id", F.explode("functions").alias("function"), F.coalesce(points, F.lit(0)).alias("p"), F.when(F.col("node") == F.col("function"), F.struct("name", "line")).alias("head"))
+    inside = tree.select("doc_id", F.explode("functions").alias("function"), F.coalesce(points, F.lit(0)).alias("p"), F.when(F.col("node") == F.col("function"), F.struct("name", "line", "end_line")).alias("head"))
     got = inside.groupBy("doc_id", "function").agg((F.sum("p") + 1).alias("complexity"), F.first("head", ignorenulls=True).alias("head"))
-    return got.select("doc_id", "head.name", F.col("head.line").alias("line_no"), "complexity")
+    return got.select("doc_id", "head.name", F.col("head.line").alias("line_no"), F.col("head.end_line").alias("end_line"), "complexity")
 
 
 def complex_functions(tree: DataFrame, strict: bool = True) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talus.functions.text import lines, token_estimate, word_tokens
-from talus.operators import cache, chunking, corpus, graph, metrics, rules, scoring
+from talus.functions.text import lines, split_lines, token_estimate, word_tokens
+from talus.operators import cache, chunking, corpus, graph, metrics, rule_sets, rules, scoring
 from talus.streaming import metrics as streamed
 
 QUERIES: dict = {}
@@ -36,6 +36,9 @@ def _files(spark, sf_dir) -> DataFrame:
 
 _LINES = """l as (select doc_id, path, language, unnest(range(1, len(x) + 1)) as line_no, unnest(x) as line
   from (select doc_id, concat_ws('/', source, cast(doc_id as varchar)) as path, lang as language, string_split(coalesce(text, ''), chr(10)) as x from documents))"""
+_SPLIT_LINES = """l as (select doc_id, language, unnest(range(1, len(x) + 1)) as line_no, unnest(x) as line
+  from (select doc_id, language, case when x[-1] = '' then x[:-2] else x end as x
+  from (select doc_id, lang as language, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0B\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') as x from documents)))"""
 _sq = lambda s: "'" + s.replace("'", "''") + "'"
 _hit = lambda c, ps: "(" + " or ".join(f"regexp_matches({c}, {_sq(p)})" for p in ps) + ")"
 _first = lambda c, ps: "coalesce(" + ", ".join(f"nullif(regexp_extract({c}, {_sq(p)}, 0), '')" for p in ps) + ")"
@@ -98,13 +101,13 @@ def _scan_sql(names) -> str:
                 hit = r"(regexp_matches(line, 'pickle\.loads|jsonpickle') or regexp_matches(regexp_replace(line, '^.*Loader=yaml\.SafeLoader', ''), 'yaml\.load\('))"
             gate = "" if r.language is None else f" and language = {_sq(r.language)}"
             parts.append(f"select doc_id, cast(line_no as integer) as line_no, {_sq(r.name)} as rule, {_sq(r.severity)} as severity from g where {hit}{gate}")
-    return f"with {_LINES}, g as (select doc_id, line_no, line, case when language = 'en' then 'python' else language end as language from l) " + " union all ".join(parts)
+    return f"with {_SPLIT_LINES}, g as (select doc_id, line_no, line, case when language = 'en' then 'python' else language end as language from l) " + " union all ".join(parts)
 
 
 def _rule_scan(spark, sf_dir, some):
     """English documents stand in for Python files, so that rules of a language have lines to run on."""
     files = _files(spark, sf_dir).select("doc_id", F.when(F.col("language") == "en", "python").otherwise(F.col("language")).alias("language"), "text")
-    return rules.scan(corpus.explode_lines(files), some).select("doc_id", "line_no", "rule", "severity")
+    return rules.scan(corpus.explode_lines(files, cut=split_lines), some).select("doc_id", "line_no", "rule", "severity")
 
 
 @query(_scan_sql([r.name for r in rules.BUILT_IN]))
@@ -117,6 +120,29 @@ def ruleset_security_scan(spark, sf_dir):
     return _rule_scan(spark, sf_dir, rules.rules_of("Security"))
 
 
+_SAID = "case rule " + " ".join(f"when {_sq(n)} then {_sq(rule_sets.TEXTS[n][0])}" for n in rule_sets.TEXTS) + " end"
+
+
+def _rule_set(spark, sf_dir, name):
+    files = _files(spark, sf_dir).select("doc_id", F.when(F.col("language") == "en", "python").otherwise(F.col("language")).alias("language"), "text")
+    return rule_sets.evaluate(files, rule_sets.built_in().sets[name]).select("doc_id", "rule", "line_start", "line_end", "severity", "description")
+
+
+def _set_sql(names) -> str:
+    """No document holds a Python function, so the complexity rule finds nothing there."""
+    return f"select doc_id, rule, line_no as line_start, line_no as line_end, severity, {_SAID} as description from ({_scan_sql(names)})"
+
+
+@query(_set_sql(rule_sets.SETS["Default"]))
+def ruleset_default(spark, sf_dir):
+    return _rule_set(spark, sf_dir, "Default")
+
+
+@query(_set_sql(rule_sets.SETS["Code Quality"]))
+def ruleset_code_quality(spark, sf_dir):
+    return _rule_set(spark, sf_dir, "Code Quality")
+
+
 @query(f"with {_CREDENTIALS} select doc_id, cast(line_no as integer) as line_no, type, severity, confidence, message from cred")
 def credential_scan(spark, sf_dir):
     return rules.credential_findings(_files(spark, sf_dir))

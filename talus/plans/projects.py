@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators import graph, imports
+from talus.operators import blocks, chunking, graph, imports
 
 from .catalogue import query, table
 
@@ -71,6 +71,38 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.explode(both).alias("f")).select("f.*")
 
 
+def csharp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, text: a C# class for each supplier, with two methods whose content follows from its key and nation."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    name = F.concat(F.lit("S"), k.cast("string"))
+    path = F.concat(F.when(k % 4 == 3, "Services/").when(k % 4 == 2, "Tests/").otherwise("Web/"), name, F.when(k % 4 == 3, ".cs").otherwise("Controller.cs"))
+    check = F.when(n % 3 == 0, "        if (!ModelState.IsValid) { return null; }\n").otherwise("        if (id == null) { while (true) { break; } }\n")
+    handling = F.when(n % 5 == 0, "None").when(n % 5 == 1, "All").otherwise("Auto")
+    text = F.concat(
+        F.lit("namespace A {\n  public class "), name, F.lit(" {\n    [HttpGet]\n    public string Get(string id) {\n"), check,
+        F.lit("        return Find(id);\n    }\n\n    public object Load(int n)\n    {\n        var s = new Settings { TypeNameHandling = TypeNameHandling."), handling,
+        F.lit(" };\n        return Json.Deserialize(n, s);\n    }\n    public int One() { return 1; }\n  }\n}\n"),
+    )
+    return table(spark, sf_dir, "supplier").select(k.alias("doc_id"), path.alias("path"), text.alias("text"))
+
+
+@query("""with c as (select s_suppkey as doc_id, s_suppkey % 4 as kind, s_nationkey as n from supplier)
+  select doc_id, 4 as line_no, 'Missing Input Validation' as type, 'medium' as severity, case kind when 2 then 'low' else 'medium' end as confidence from c where kind <> 3 and n % 3 <> 0
+  union all select doc_id, 11, 'Insecure Deserialization', 'critical', 'high' from c where n % 5 <> 0""")
+def csharp_methods(spark, sf_dir):
+    return blocks.method_issues(csharp_files(spark, sf_dir))
+
+
+@query(f"""with {_AFTER}, o as (select x.path, x.p, coalesce(b.p is null, true) as none, 'import ' || y.d || '.p' || b.q as target, y.d as d, 'p' || b.q as that from x left join b on x.p = b.p left join x y on b.q = y.p and not y.script where not x.script),
+  cut as (select path, unnest(case when none then ['value = 1'] when p % 5 = 0 then ['import os, ' || d || '.' || that || ' as other'] when p % 5 = 1 then ['from ' || d || ' import ' || that || ', missing']
+    when p % 5 = 2 then ['def late():' || chr(10) || '    from ..' || d || ' import ' || that] when p % 5 = 3 then ['import sys', target || '.inner.name'] else [target || ', json' || chr(10) || 'value = (' || chr(10)] end) as content,
+    unnest(case when not none and p % 5 = 3 then [0, 1] else [0] end) as k, case when not none and p % 5 = 3 then 2 else 1 end as n from o)
+  select path, k::int as chunk_index, n::int as total_chunks, content from cut""")
+def chunk_structure(spark, sf_dir):
+    files = source_files(spark, sf_dir).where(F.col("path").endswith(".py"))
+    return chunking.structure_chunks(files).select("path", "chunk_index", "total_chunks", "content")
+
+
 def _edges(spark, sf_dir) -> DataFrame:
     return imports.import_edges(source_files(spark, sf_dir))
 
