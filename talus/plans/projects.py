@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators import blocks, chunking, graph, imports
+from talus.operators import blocks, chunking, graph, imports, reviews
+from talus.sources.files import EXCLUDED, glob_pattern
 
 from .catalogue import query, table
 
@@ -103,6 +104,80 @@ def chunk_structure(spark, sf_dir):
     return chunking.structure_chunks(files).select("path", "chunk_index", "total_chunks", "content")
 
 
+#: Codes of the linter lines that stand for line items, by line number.
+_CODES = ("E101 tabs", "E501 line too long", "E1 odd", "W291 blank", "F401 unused", "W bare", "E2 space")
+
+
+def linter_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, text: a linter's output for each order, a line for each of its line items; those of quantity 50 have three fields."""
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("l_linenumber") % len(_CODES) + 1).cast("int"))
+    line = F.when(F.col("l_quantity") == 50, F.concat(F.lit("note:"), F.col("l_partkey").cast("string"), F.lit(": no code"))).otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".py:"), F.col("l_linenumber").cast("string"), F.lit(":1: "), code))
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    return one.withColumnRenamed("l_orderkey", "o_orderkey")
+
+
+def _linter_sql(hit: str) -> str:
+    codes = "[" + ", ".join(f"'{c}'" for c in _CODES) + "]"
+    return f"""with l as (select l_orderkey as o_orderkey, l_quantity = 50 as short, {codes}[l_linenumber % {len(_CODES)} + 1] as code,
+  case when l_quantity = 50 then 'note:' || l_partkey || ': no code' else 'p' || l_partkey || '.py:' || l_linenumber || ':1: ' || {codes}[l_linenumber % {len(_CODES)} + 1] end as line from lineitem),
+  k as (select o_orderkey, line, short or not ({hit}) as kept from l)
+  select o_orderkey, case when bool_and(kept) then string_agg(line, chr(10) order by line collate "binary") when not bool_or(kept) then '  -> No significant flake8 issues found after filtering.' || chr(10)
+    else '  -> Filtered flake8 issues found:' || chr(10) || string_agg('    ' || line, chr(10) order by line collate "binary") filter (kept) || chr(10) end as filtered from k group by 1""".replace(' collate "binary"', "")
+
+
+@query(_linter_sql("code in ('E1 odd', 'E501 line too long', 'W bare', 'E2 space')"))
+def linter_filter(spark, sf_dir):
+    return linter_outputs(spark, sf_dir).select("o_orderkey", reviews.filtered_linter(F.col("text")).alias("filtered"))
+
+
+@query(_linter_sql("code not in ('F401 unused')"))
+def linter_filter_prefix(spark, sf_dir):
+    return linter_outputs(spark, sf_dir).select("o_orderkey", reviews.filtered_linter(F.col("text"), ("E", "W"), prefix=True).alias("filtered"))
+
+
+@query("""with l as (select doc_id, x, list_filter(range(1, len(x) + 1), lambda i: i % 7 = 0) as hit from (select doc_id, case when s[-1] = '' then s[:-2] else s end as x
+    from (select doc_id, string_split(coalesce(text, ''), chr(10)) as s from documents)))
+  select doc_id, len(hit)::bigint as lines_removed, len(hit)::bigint as lines_added, (len(x) - len(hit))::bigint as lines_same from l""")
+def diff_stats(spark, sf_dir):
+    """Each document against a version in which every seventh line is another."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("old"))
+    new = F.array_join(F.transform(F.split("old", "\n", -1), lambda x, i: F.when((i % 7 == 6) & ((x != "") | (i + 1 < F.size(F.split("old", "\n", -1)))), F.concat(F.lit("<changed "), i.cast("string"), F.lit(">"))).otherwise(x)), "\n")
+    return reviews.line_diffs(d.withColumn("new", new)).select("doc_id", "lines_removed", "lines_added", "lines_same")
+
+
+@query("""with m as (select conv_id, turn, case when turn % 3 = 0 then '# Head' || chr(10) || '## Summary of it' || chr(10) || coalesce(text, '') || chr(10) || '# Next' || chr(10) || 'x' else coalesce(text, '') end as review, coalesce(text, '') as t from conversations)
+  select conv_id, turn, case when turn % 3 = 0 then '## Summary of it' || chr(10) || array_to_string(t_until, chr(10)) else array_to_string(s[:10], chr(10)) || chr(10) || '...' end as summary
+  from (select *, string_split(t, chr(10)) as s, string_split(t, chr(10)) as t_until from m)""")
+def review_summaries(spark, sf_dir):
+    """Turns stand for reviews; every third has a heading Summary before its text and another after it."""
+    c, text = table(spark, sf_dir, "conversations"), F.coalesce("text", F.lit(""))
+    review = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("# Head\n## Summary of it\n"), text, F.lit("\n# Next\nx"))).otherwise(text)
+    return c.select("conv_id", "turn", reviews.summary_section(review).alias("summary"))
+
+
+_ANSWER = """case event_type when 'click' then '{"issues": [{"line_start": 1, "line_end": ' || (event_id % 50) || ', "severity": "high", "description": "d' || user_id || '"}, {"severity": "low"}]}'
+  when 'view' then ' {"issues": []} ' when 'error' then '{"issues": [{"line_start": ' when 'signup' then '{"other": 1}' else 'text {"issues": []} around' end"""
+
+
+@query("""select event_id, event_type in ('click', 'view') as parsed, case event_type when 'click' then 2 when 'view' then 0 else -1 end as n_issues, case when event_type = 'click' then (event_id % 50)::int else -1 end as first_end,
+  case when event_type = 'click' then 'd' || user_id end as first_description from events""")
+def answer_issues(spark, sf_dir):
+    """Events stand for a model's answers: with issues, without, broken, of another kind, and with text around."""
+    e = table(spark, sf_dir, "events")
+    issues = reviews.parsed_issues(F.expr(_ANSWER))
+    got = e.select("event_id", issues.alias("i"))
+    return got.select("event_id", F.col("i").isNotNull().alias("parsed"), F.coalesce(F.size("i"), F.lit(-1)).alias("n_issues"), F.coalesce(F.get("i", F.lit(0))["line_end"], F.lit(-1)).alias("first_end"), F.get("i", F.lit(0))["description"].alias("first_description"))
+
+
+@query(f"select doc_id, source || '/sub/' || doc_id || '.py' as path from documents where doc_id % 40 >= {len(EXCLUDED)}")
+def default_excludes(spark, sf_dir):
+    """The first documents of each forty lie where one of the default patterns leaves them out, the others don't."""
+    hit = F.array(*(F.lit(g.replace("**/", "deep/").replace("*.", "x.") + ("in.py" if g.endswith("/") else "")) for g in EXCLUDED))
+    at = (F.col("doc_id") % 40).cast("int")
+    path = F.concat("source", F.lit("/"), F.coalesce(F.get(hit, at), F.concat(F.lit("sub/"), F.col("doc_id").cast("string"), F.lit(".py"))))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).where(~F.col("path").rlike("|".join(map(glob_pattern, EXCLUDED))))
+
+
 def _edges(spark, sf_dir) -> DataFrame:
     return imports.import_edges(source_files(spark, sf_dir))
 
