@@ -72,7 +72,7 @@ def _bit_of(key, log2_bits: int):
     return F.xxhash64(key).bitwiseAND(F.lit((1 << log2_bits) - 1))
 
 
-def components(edges: DataFrame, label: str = "cc", task_edges: int = 1 << 20, tasks: int | None = None) -> tuple[DataFrame, str]:
+def components(edges: DataFrame, label: str = "cc", task_edges: int = 1 << 20, tasks: int | None = None, native: bool = False) -> tuple[DataFrame, str]:
     """Connected components of undirected edges (src, dst), as (node, component).
 
     component is the smallest node of the component. Nodes without an edge to
@@ -83,16 +83,16 @@ def components(edges: DataFrame, label: str = "cc", task_edges: int = 1 << 20, t
     split, so a hub is no hot task. Every round is written to the shared folder;
     the older round is removed. Also returns the path of the result, to be
     discarded. tasks: those that write the edges first, where their number is
-    known to be small.
+    known to be small. native: DataFrame functions alone, so only the steps.
     """
     now = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now, path = stored(now.coalesce(tasks) if tasks else now, label)
     tasks = -(-now.count() // task_edges)
-    if tasks:
+    if tasks and not native:
         new, new_path_ = stored(now.coalesce(tasks).mapInArrow(_joined_up, now.schema), label)
         discard(path)
         now, path = new, new_path_
-    while tasks > 1 and not _stars(now):
+    while tasks > (0 if native else 1) and not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -64,8 +64,13 @@ def judged(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"rule": out[0], "rule_verdict": out[1]})
 
 
+def _let(value: Column, make) -> Column:
+    """make(value) with the value worked out once, however often make names it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def _absolute(url: Column, link: Column) -> Column:
-    """link as seen from url."""
+    """link as seen from url; both are columns or bound."""
     scheme, host = F.regexp_extract(url, r"^((?s:.*?)://)", 1), F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1)
     folder = F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*(/(?:[^?#]*/)?)?", 1)
     return (
@@ -73,7 +78,7 @@ def _absolute(url: Column, link: Column) -> Column:
         .when(link.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), link))
         .when((link == "") | link.rlike(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.lit(None))
         .when(link.startswith("/"), F.concat(scheme, host, link))
-        .otherwise(F.concat(scheme, host, F.when(folder == "", "/").otherwise(folder), link))
+        .otherwise(_let(folder, lambda f: F.concat(scheme, host, F.when(f == "", "/").otherwise(f), link)))
     )
 
 
@@ -82,41 +87,41 @@ def _unescaped(c: Column) -> Column:
     for name, sign in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("sol", "/"), ("colon", ":"), ("quest", "?"), ("equals", "="), ("period", "."), ("num", "#")):
         c = F.replace(c, F.lit(f"&{name};"), F.lit(sign))
     # each piece after '&#' starts with a number and a semicolon, or stays as it is
-    pieces = F.split(c, "&#", -1)
     code = lambda p: F.when(p.rlike("^[xX][0-9a-fA-F]{1,6};"), F.conv(F.regexp_extract(p, "^[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("int")).when(p.rlike("^[0-9]{1,7};"), F.regexp_extract(p, "^([0-9]+)", 1).cast("int"))
     # beyond ASCII a reference stays: the same sign in a page's own URL is written as it is or in percents
-    one = lambda p: F.when(code(p).between(1, 126), F.concat(F.char(code(p)), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
-    c = F.when(F.size(pieces) > 1, F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), ""))).otherwise(c)
+    sign = lambda p: _let(code(p), lambda k: F.when(k.between(1, 126), F.concat(F.char(k), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p)))
+    c = _let(F.split(c, "&#", -1), lambda x: F.concat(F.element_at(x, 1), F.array_join(F.transform(F.slice(x, 2, F.size(x)), sign), "")))
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
+def _stepped(path: Column) -> Column:
+    """A bound path with . and .. steps resolved; one that ends in such a step ends with a slash."""
+    fold = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.array_append(acc, x))
+    # the first step is the empty text before the first slash
+    folded = lambda s: F.aggregate(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.element_at(s, 1)), fold)
+    done = lambda s: F.array_join(F.concat(folded(s), F.when(F.element_at(s, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), _let(F.split(path, "/", -1), done)).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
     """url as a node: scheme and host in lower case (A-Z), . and .. steps of the path resolved, no fragment."""
-    bare = F.regexp_replace(url, "#(?s:.*)$", "")
-    start, rest = F.regexp_extract(bare, r"^((?s:.*?)://[^/?]*)", 1), F.regexp_replace(bare, r"^(?s:.*?)://[^/?]*", "")
-    path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_replace(rest, r"^[^?]*", "")
-    steps = F.split(path, "/", -1)
-    last = F.element_at(steps, -1)
-    fold = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.array_append(acc, x))
-    # the first step is the empty text before the first slash; a path that ends in a step of dots ends with a slash
-    done = F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array(F.element_at(steps, 1)), fold)
-    done = F.when(last.isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done)
-    path = F.when(path.rlike(r"/\.\.?(/|$)"), F.array_join(done, "/")).otherwise(path)
-    return F.when(bare.contains("://"), F.concat(F.translate(start, _LOW.upper(), _LOW), path, query)).otherwise(bare)
+    part = lambda b: F.struct(F.regexp_extract(b, r"^((?s:.*?)://[^/?]*)", 1).alias("start"), F.regexp_extract(b, r"^(?s:.*?)://[^/?]*([^?]*)", 1).alias("path"), F.regexp_extract(b, r"^(?s:.*?)://[^?]*((?s:.*))$", 1).alias("query"))
+    whole = lambda b: F.when(b.contains("://"), _let(part(b), lambda p: F.concat(F.translate(p["start"], _LOW.upper(), _LOW), _let(p["path"], _stepped), p["query"]))).otherwise(b)
+    return _let(F.regexp_replace(url, "#(?s:.*)$", ""), whole)
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of redirects and canonical links, as nodes."""
+    """(src, dst) of redirects and canonical links, as nodes. Each step is a column of its own, so that none is written into the next one many times."""
     tag = r"(?is)<(?:link|meta)\b(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     hidden = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|noscript)\b.*?(?:</\1\b[^>]*>|\z)"
-    value = lambda t, name: F.trim(F.regexp_replace(F.regexp_extract(t, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1), "^[\"']|[\"']$", ""))
+    bare = lambda c: F.trim(F.regexp_replace(c, "^[\"']|[\"']$", ""))
+    value = lambda name: bare(F.regexp_extract("t", rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1))
     some = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv"))
     tags = some.select("url", F.explode(F.regexp_extract_all(F.regexp_replace("html", hidden, " "), F.lit(tag), 0)).alias("t"))
-    rel, equiv = F.lower(value(F.col("t"), "rel")), F.lower(value(F.col("t"), "http-equiv"))
-    to = F.when(rel.rlike(r"(^|\s)canonical(\s|$)"), value(F.col("t"), "href")).when(
-        equiv == "refresh", F.trim(F.regexp_replace(F.regexp_extract(value(F.col("t"), "content"), r"(?is)url\s*=\s*(.*)$", 1), "^[\"']|[\"']$", ""))
-    )
-    return tags.select(node_of(F.col("url")).alias("src"), node_of(_absolute(F.col("url"), _unescaped(to))).alias("dst")).where("dst is not null and src <> dst").distinct()
+    tags = tags.withColumn("kind", F.when(F.lower(value("rel")).rlike(r"(^|\s)canonical(\s|$)"), "link").when(F.lower(value("http-equiv")) == "refresh", "refresh")).where("kind is not null")
+    tags = tags.select("url", F.when(F.col("kind") == "link", value("href")).otherwise(bare(F.regexp_extract(value("content"), r"(?is)url\s*=\s*(.*)$", 1))).alias("to"))
+    ends = tags.select("url", _let(_unescaped(F.col("to")), lambda x: _absolute(F.col("url"), x)).alias("dst")).where("dst is not null")
+    return ends.select(node_of(F.col("url")).alias("src"), node_of(F.col("dst")).alias("dst")).where("src <> dst").distinct()
 
 
 def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -134,7 +139,7 @@ def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -
     if found.isEmpty():  # no alias: the rules alone decide
         discard(path)
         return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
-    node, component_path = components(found, "url-cc")
+    node, component_path = components(found, "url-cc", native=True)
     every = node.unionByName(node.select(F.col("component").alias("node"), "component")).distinct()
     by = judged(every.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
     bad = by.where("rule_verdict = 'block'").select("component").distinct()
