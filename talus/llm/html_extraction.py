@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
+from .words import parts
 
 MIN_PAGES = 5
 LEAST_IMPORTANCE = 0.2
@@ -50,6 +51,8 @@ NOISE = frozenset(
     "gdpr header infobar masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup popover promo promoted promotion recommended related replies reply "
     "respond share sharing sidebar sidenav skip social sponsor sponsored subscribe subscription tags toolbar toc topbar warning widget widgets alert complementary contentinfo search signup login overlay".split()
 )
+#: What follows a word of NOISE in the name of a box; other words after it make another name, as in tags-explained.
+BOXES = frozenset("area bar block body bottom box button buttons card col column container content cookie first form group header head heading holder icon inner item items last left link links list menu message nav outer panel region right row section slot text title toggle top unit widget widgets wrap wrapper zone".split())
 #: With these, a name tells of the page around: no-sidebar, has-comments.
 ABSENT = frozenset("no non has with without".split())
 #: A start tag of the first kind ends an open element of the second.
@@ -69,13 +72,18 @@ def _attributes(raw: str) -> dict[str, str]:
 def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
     if tag in NEVER:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
     for token in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split():
         words = [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))]
-        if words and (words[0] in NOISE or words[-1] in NOISE) and not ABSENT & set(words):
+        if not words or ABSENT & set(words):
+            continue
+        if tag in ("article", "main"):  # names of the whole story may tell of its comments or tags; only a plain one says what it is
+            if len(words) == 1 and words[0] in NOISE:
+                return True
+        elif words[-1] in NOISE or (words[0] in NOISE and BOXES.issuperset(words[1:])):
             return True
     return False
 
@@ -130,7 +138,14 @@ def parse(page: str) -> Node:
         a = _attributes(m[3])
         name = tag + "".join(f"{s}{' '.join(sorted(a[k].split()))}" for k, s in (("class", "."), ("id", "#")) if a.get(k))
         up = stack[-1]
-        node = Node(tag, f"{up.place}>{re.sub('[0-9]+', '0', name)}" if len(stack) <= 24 else up.place, up.noise or _is_noise(tag, a))
+        noise = _is_noise(tag, a)
+        if tag == "header" and noise and any(x.tag in ("article", "main") for x in stack):
+            noise = _is_noise("div", a)  # the head of a story holds its title
+        if tag in ("article", "main", "h1"):
+            for x in stack:
+                if x.tag == "form":  # it wraps a page, and asks for nothing
+                    x.noise = False
+        node = Node(tag, f"{up.place}>{re.sub('[0-9]+', '0', name)}" if len(stack) <= 24 else up.place, noise)
         up.parts.append(node)
         up.children.append(name if tag not in INLINE else "")
         if tag in RAW:
@@ -226,9 +241,10 @@ def _choice_rows(batches):
     import xxhash
 
     digest = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
-    for b in batches:
+    for b in parts(batches, 100):
         out: list[tuple] = []
-        for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+        for h, page in zip(b.column("host"), b.column("html"), strict=True):
+            h, page = h.as_py(), page.as_py()
             if page:
                 of = digest(page)
                 found = {(place, kind, digest(c)) for place, kind, c in choices(parse(page))}
@@ -267,8 +283,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_I
     d = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(removed, "host", "left").select("page_id", "url", "html", "removed")
 
     def run(batches):
-        for b in batches:
-            texts = [main_text(parse(page), None if gone is None else frozenset(gone)) if page else "" for page, gone in zip(b.column("html").to_pylist(), b.column("removed").to_pylist(), strict=True)]
+        for b in parts(batches, 100):
+            texts = [main_text(parse(page.as_py()), frozenset(gone.as_py()) if gone.is_valid else None) if page.is_valid else "" for page, gone in zip(b.column("html"), b.column("removed"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return d.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
