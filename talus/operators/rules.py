@@ -69,6 +69,17 @@ def _contains(text: Column, words) -> Column:
     return F.lower(text).rlike("|".join(words))
 
 
+#: Severity and confidence of a comment that announces a weakness.
+COMMENT_LEVELS = "low", "medium"
+
+
+def credential_levels(path: Column, line: Column, match: Column) -> tuple[Column, Column]:
+    """Severity and confidence of a credential: both low in test code and examples, high where the match names a secret."""
+    weak = _contains(path, ("test",)) | _contains(line, TEST_WORDS)
+    strong = _contains(match, STRONG)
+    return F.when(weak, "low").when(strong, "high").otherwise("medium"), F.when(weak, "medium").when(strong, "high").otherwise("medium")
+
+
 def credential_findings(files: DataFrame) -> DataFrame:
     """doc_id, line_no, type, severity, confidence, message: at most one per line; comment and blank lines are skipped.
 
@@ -77,10 +88,7 @@ def credential_findings(files: DataFrame) -> DataFrame:
     lines = explode_lines(files.select("doc_id", "path", "text").where(any_of(F.col("text"), CREDENTIALS)))
     lines = lines.where((F.trim("line") != "") & ~F.col("line").rlike(COMMENT_MARKS) & any_of(F.col("line"), CREDENTIALS))
     got = lines.withColumn("m", first_match(F.col("line"), CREDENTIALS)).where("m is not null")
-    weak = _contains(F.col("path"), ("test",)) | _contains(F.col("line"), TEST_WORDS)
-    strong = _contains(F.col("m"), STRONG)
-    severity = F.when(weak, "low").when(strong, "high").otherwise("medium")
-    confidence = F.when(weak, "medium").when(strong, "high").otherwise("medium")
+    severity, confidence = credential_levels(F.col("path"), F.col("line"), F.col("m"))
     return got.select("doc_id", "line_no", F.lit("Hardcoded Credentials").alias("type"), severity.alias("severity"), confidence.alias("confidence"), F.concat(F.lit("Possible hardcoded credential found: "), "m").alias("message"))
 
 
@@ -92,4 +100,4 @@ def comment_of(line: Column) -> Column:
 def comment_findings(files: DataFrame) -> DataFrame:
     lines = explode_lines(files.select("doc_id", "text").where(any_of(F.col("text"), COMMENTS)))
     got = lines.withColumn("c", comment_of(F.col("line"))).where(any_of(F.col("c"), COMMENTS))
-    return got.select("doc_id", "line_no", F.lit("Insecure Comment").alias("type"), F.lit("low").alias("severity"), F.lit("medium").alias("confidence"), first_match(F.col("c"), COMMENTS).alias("message"))
+    return got.select("doc_id", "line_no", F.lit("Insecure Comment").alias("type"), F.lit(COMMENT_LEVELS[0]).alias("severity"), F.lit(COMMENT_LEVELS[1]).alias("confidence"), first_match(F.col("c"), COMMENTS).alias("message"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talus.functions.text import lines, split_lines, token_estimate, word_tokens
-from talus.operators import cache, chunking, corpus, graph, metrics, rule_sets, rules, scoring
+from talus.operators import cache, chunking, corpus, graph, metrics, reports, rule_sets, rules, scoring
 from talus.streaming import metrics as streamed
 
 QUERIES: dict = {}
@@ -159,8 +159,7 @@ _POINTS = "case severity when 'critical' then 10 when 'high' then 7 when 'medium
 @query(f"""with {_FINDINGS}, r as (select doc_id, count(*) as n, sum({_POINTS}) as p from f group by 1)
   select d.doc_id, cast(coalesce(n, 0) as bigint) as n_findings, cast(least(100, floor(coalesce(p, 0) / 100 * 100)) as integer) as risk from documents d left join r on d.doc_id = r.doc_id""")
 def risk_score(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    return scoring.risk_report(files, findings(files))
+    return scoring.file_risk(_files(spark, sf_dir))
 
 
 @query(f"with {_FINDINGS} select severity, count(*) as n, count(distinct doc_id) as n_docs from f group by 1")
@@ -317,6 +316,53 @@ def dep_cycles(spark, sf_dir):
     return dep_closure(spark, sf_dir).where("src = dst").select(F.col("src").alias("node"))
 
 
+_TOTALS = f"""{_FINDINGS}, n as (select count(*) as n_files, cast(sum(case when x[-1] = '' then len(x) - 1 else len(x) end) as bigint) as n_lines
+  from (select regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0B\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as x from documents)),
+  tot as (select n_files, n_lines, (select count(*) from f) as n_issues, (select count(*) from f) / n_files as issues_per_file, n_lines / n_files as lines_per_file from n)"""
+_BY = """by1 as (select 'language' as kind, lang as name, count(*) as n from documents group by 2 union all select 'category', type, count(*) from f group by 2
+  union all select 'severity', s.name, count(f.severity) from (select unnest(['critical', 'high', 'medium', 'low', 'info']) as name) s left join f on f.severity = s.name group by 2)"""
+_STAGES = "st as (select event_type as stage, round(coalesce(sum(value), 0), 2) as total_time, count(*) as n_calls, round(coalesce(sum(value), 0) / count(*), 2) as avg_time from events group by 1)"
+
+
+@query(f"with {_TOTALS} select * from tot")
+def usage_totals(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return reports.usage_totals(files, findings(files))
+
+
+@query(f"with {_FINDINGS}, {_BY} select kind, name, n from by1")
+def usage_by(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return reports.usage_by(files, findings(files))
+
+
+@query(f"with {_STAGES} select * from st")
+def stage_times(spark, sf_dir):
+    """Event types stand for stages, their values for seconds."""
+    return reports.stage_times(table(spark, sf_dir, "events"), "event_type", "value").withColumns({c: F.round(c, 2) for c in ("total_time", "avg_time")})
+
+
+@query("""with c as (select event_type as type, case event_type when 'error' then 'api' when 'view' then 'ui' when 'click' then 'ui' else 'uncategorized' end as category from events)
+  select 'total' as what, '' as name, count(*) as n from c union all select 'category', category, count(*) from c group by 2 union all select 'type', type, count(*) from c group by 2""")
+def error_statistics(spark, sf_dir):
+    """Event types stand for types of errors."""
+    return reports.error_statistics(table(spark, sf_dir, "events"), {"error": "api", "view": "ui", "click": "ui"}, "event_type")
+
+
+@query(f"""with {_TOTALS}, {_BY}, {_STAGES}
+  select '# Code Review Tool Statistics Report' || chr(10) || chr(10) || '## Analysis Summary' || chr(10) || chr(10) || '- Files analyzed: ' || n_files || chr(10) || '- Lines of code analyzed: ' || n_lines || chr(10)
+    || '- Issues found: ' || n_issues || chr(10) || '- Average issues per file: ' || printf('%.2f', issues_per_file) || chr(10)
+    || (select chr(10) || '## Issues by Severity' || chr(10) || chr(10) || string_agg('- ' || name || ': ' || n || chr(10), '' order by list_position(['critical', 'high', 'medium', 'low', 'info'], name)) from by1 where kind = 'severity')
+    || coalesce((select chr(10) || '## Issues by Category' || chr(10) || chr(10) || string_agg('- ' || name || ': ' || n || chr(10), '' order by n desc, name) from by1 where kind = 'category'), '')
+    || (select chr(10) || '## Files by Language' || chr(10) || chr(10) || string_agg('- ' || name || ': ' || n || chr(10), '' order by n desc, name) from by1 where kind = 'language')
+    || (select chr(10) || '## Processing Stage Performance' || chr(10) || chr(10) || '| Stage | Total Time (s) | Calls | Avg Time (s) |' || chr(10) || '|-------|---------------|-------|-------------|' || chr(10)
+      || string_agg('| ' || stage || ' | ' || printf('%.2f', total_time) || ' | ' || n_calls || ' | ' || printf('%.2f', avg_time) || ' |' || chr(10), '' order by total_time desc, stage) from st) as report from tot""")
+def statistics_report(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    found = findings(files)
+    return reports.report(reports.usage_totals(files, found), reports.usage_by(files, found), stage_times(spark, sf_dir))
+
+
 @query("select event_type, count(*) as n_events, count(distinct user_id) as n_users, round(sum(value), 4) as total_value, round(avg(value), 6) as avg_value from events group by 1")
 def metrics_usage(spark, sf_dir):
     return metrics.usage(table(spark, sf_dir, "events"))
