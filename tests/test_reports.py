@@ -15,7 +15,7 @@ def _found(spark, *rows):
 
 def test_file_risk_equals_the_report_of_its_findings(spark):
     texts = ['password = "a"\n# password = "b"\nuser_id: "x"; token="y"', 'secret="z" # mock\nhttps://me:pw@host/', "x # TODO fix auth\n// bypass  validation", None, "", "\n".join('api_key = "k"' for _ in range(20)), "disable ssl", 'x = 1 # disable ssl password="q"']
-    files = _files(spark, *[("src/test_a.py" if i % 3 == 2 else None if i == 5 else "a.py", "python", t) for i, t in enumerate(texts)])
+    files = _files(spark, *[("src/test_a.py" if i % 3 == 1 else None if i == 6 else "a.py", "python", t) for i, t in enumerate(texts)])
     want = scoring.risk_report(files, rules.credential_findings(files).unionByName(rules.comment_findings(files)))
     rows = lambda df: sorted(map(tuple, df.collect()))
     got = rows(scoring.file_risk(files))
