@@ -55,8 +55,8 @@ def _findings(files: DataFrame, *parts: Column) -> DataFrame:
     return table.select("doc_id", F.inline(F.concat(*(p.cast(_HITS) for p in parts))))
 
 
-def _closed(opens, hit, closes=lambda x: _trim(x) == "}", keep: bool = False, first: bool = False) -> Column:
-    """Blocks that close, as (start, end, n, last): lines from 1, how many inner lines hit, and the last that did.
+def _closed(opens, hit, closes=lambda x: _trim(x) == "}", keep: bool = False, first: bool = False, over: int = -1) -> Column:
+    """Blocks that close, as (start, end, n, last): lines from 1, how many inner lines hit, and the last that did; only those with more than over, so that few are held.
 
     A block that opens within another replaces it; its count starts anew, or goes on (keep). With first the outer one stays.
     """
@@ -72,14 +72,14 @@ def _closed(opens, hit, closes=lambda x: _trim(x) == "}", keep: bool = False, fi
         n = F.when(closing | (opening & F.lit(not keep)), F.lit(0)).when(hits, a["n"] + 1).otherwise(a["n"])
         start = F.when(opening, a["at"]).when(closing, none).otherwise(a["start"])
         done = F.struct(a["start"].alias("start"), a["at"].alias("end"), a["n"].alias("n"), a["last"].alias("last")).cast(block)
-        out = F.when(closing, F.concat(a["out"], F.array(done))).otherwise(a["out"])
+        out = F.when(closing & (a["n"] > over), F.concat(a["out"], F.array(done))).otherwise(a["out"])
         return F.struct((a["at"] + 1).alias("at"), start.alias("start"), n.alias("n"), F.when(hits, a["at"]).otherwise(a["last"]).alias("last"), out.alias("out"))
 
     return F.aggregate("l", zero, step)["out"]
 
 
-def _blocks(blocks: Column, over: int, issue: str, severity: str, at: str = "start") -> Column:
-    return F.transform(F.filter(blocks, lambda b: b["n"] > over), lambda b: _finding(b[at], issue, severity))
+def _blocks(over: int, issue: str, severity: str, *found, at: str = "start", **how) -> Column:
+    return F.transform(_closed(*found, over=over, **how), lambda b: _finding(b[at], issue, severity))
 
 
 def javascript_issues(files: DataFrame) -> DataFrame:
@@ -112,35 +112,37 @@ def go_issues(files: DataFrame) -> DataFrame:
     comment = lambda x: _trim(x).startswith("//")
     quiet = F.col("path").contains("test") | F.col("path").contains("mock")
     ignored = F.when(quiet, F.array().cast(_HITS)).otherwise(_where(lambda x: ~comment(x) & x.rlike(GO_IGNORED), "Ignored Error", "medium"))
-    struct = _closed(lambda x: x.rlike(r"struct\s+\w+\s*\{|\bstruct\s*\{"), lambda x: (_trim(x) != "") & ~comment(x))
-    loop = _closed(lambda x: x.rlike(r"^\s*for\s+"), lambda x: x.rlike(r"^\s*defer\s+"), keep=True)
+    struct = lambda x: x.rlike(r"struct\s+\w+\s*\{|\bstruct\s*\{"), lambda x: (_trim(x) != "") & ~comment(x)
+    loop = lambda x: x.rlike(r"^\s*for\s+"), lambda x: x.rlike(r"^\s*defer\s+")
     result = lambda x: F.element_at(F.split(x, r"\)", -1), -2)
     named = lambda x: x.rlike(r"\bfunc\s+\w+[^{]*\)\s*\([^{]*\)\s*\{") & result(x).rlike(r"\([\w\s,]+\s+[\w\[\]\*\.]+")
-    returns = _closed(named, lambda x: _trim(x) == "return", keep=True)
     return _findings(
         files,
         ignored,
         _where(lambda x: x.rlike(GO_EMPTY), "Empty Interface", "low"),
-        _blocks(struct, MAX_FIELDS, "Large Struct", "medium"),
-        _blocks(loop, 0, "Defer in Loop", "high"),
-        _blocks(returns, 0, "Naked Return", "info"),
+        _blocks(MAX_FIELDS, "Large Struct", "medium", *struct),
+        _blocks(0, "Defer in Loop", "high", *loop, keep=True),
+        _blocks(0, "Naked Return", "info", named, lambda x: _trim(x) == "return", keep=True),
         _default_only(),
         _go_unused_imports(),
     )
 
 
 def _default_only() -> Column:
-    """Selects whose lines up to the first with a closing brace hold a default and no case but receives."""
+    """Selects whose lines up to the first with a closing brace hold a default and no case but receives.
 
-    def lonely(i):
-        rest = F.slice("l", i + 2, F.size("l"))
-        end = F.array_position(F.transform(rest, lambda x: x.contains("}")), True)
-        body = F.transform(F.slice(rest, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(rest)).cast("int")), _trim)
-        sends = F.exists(body, lambda x: x.startswith("case ") & ~x.startswith("case <-"))
-        return F.exists(body, lambda x: x.startswith("default:") & ~x.startswith("case ")) & ~sends
+    The lines are read from the last to the first, with what holds between a line and the next closing brace.
+    """
+    zero = F.struct(F.size("l").alias("at"), F.lit(False).alias("default"), F.lit(False).alias("sends"), F.array().cast("array<int>").alias("out"))
 
-    at = F.transform("l", lambda x, i: F.when(x.contains("select {"), F.when(lonely(i), _finding(i + 1, "Select With Only Default", "medium"))))
-    return F.filter(at, lambda x: x.isNotNull())
+    def step(a, x):
+        bare, ends = _trim(x), x.contains("}")
+        default = ~ends & (a["default"] | bare.startswith("default:"))
+        sends = ~ends & (a["sends"] | (bare.startswith("case ") & ~bare.startswith("case <-")))
+        lonely = x.contains("select {") & a["default"] & ~a["sends"]
+        return F.struct((a["at"] - 1).alias("at"), default.alias("default"), sends.alias("sends"), F.when(lonely, F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"]).alias("out"))
+
+    return F.transform(F.aggregate(F.reverse("l"), zero, step)["out"], lambda at: _finding(at, "Select With Only Default", "medium"))
 
 
 def _go_unused_imports() -> Column:
@@ -167,18 +169,25 @@ def rust_issues(files: DataFrame) -> DataFrame:
     comment = lambda x: _trim(x).startswith("//")
     tested = lambda x: x.contains("#[test]") | x.contains("mod test") | F.col("path").contains("tests")
     panics = (_where(lambda x, p=p: ~tested(x) & ~comment(x) & x.rlike(p), i, s) for i, s, p in RUST_PANICS)
-    mutex = _closed(lambda x: x.rlike(r"struct\s+(\w+)\s*\{"), lambda x: x.contains("Mutex<") | x.contains("std::sync::Mutex"))
-    enum = _closed(lambda x: x.rlike(r"enum\s+(\w+)\s*\{"), lambda x: ~comment(x) & x.contains(","))
+    mutex = lambda x: x.rlike(r"struct\s+(\w+)\s*\{"), lambda x: x.contains("Mutex<") | x.contains("std::sync::Mutex")
+    enum = lambda x: x.rlike(r"enum\s+(\w+)\s*\{"), lambda x: ~comment(x) & x.contains(",")
     names = lambda x: F.when(comment(x), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(x, F.lit(r"&mut\s+(\w+)"), F.lit(1)))
     borrows = F.flatten(F.transform("l", lambda x, i: F.transform(names(x), lambda n: F.struct(n.alias("name"), (i + 1).alias("at")))))
-    of = lambda n: F.filter(borrows, lambda b: b["name"] == n)
-    often = F.filter(F.array_distinct(F.transform(borrows, lambda b: b["name"])), lambda n: F.size(of(n)) > MAX_BORROWS)
+    # names side by side, each with its first line: one pass counts them
+    zero = F.struct(F.lit("").alias("name"), F.lit(0).alias("n"), F.lit(0).alias("first"), F.array().cast("array<int>").alias("out"))
+
+    def count(a, b):
+        same = a["name"] == b["name"]
+        n, first = F.when(same, a["n"] + 1).otherwise(1), F.when(same, a["first"]).otherwise(b["at"])
+        return F.struct(b["name"].alias("name"), n.alias("n"), first.alias("first"), F.when(n == MAX_BORROWS + 1, F.concat(a["out"], F.array(first))).otherwise(a["out"]).alias("out"))
+
+    often = F.aggregate(F.array_sort(borrows), zero, count)["out"]
     return _findings(
         files,
         *panics,
         _where(lambda x: ~comment(x) & x.rlike(RUST_CLONE), "Clone Usage", "info"),
         _where(lambda x: x.contains("unsafe {") | x.contains("unsafe fn"), "Unsafe Code", "high"),
-        _blocks(mutex, 0, "Mutex in Struct", "medium", at="last"),
-        _blocks(enum, MAX_VARIANTS, "Large Enum", "medium"),
-        F.transform(often, lambda n: _finding(F.element_at(of(n), 1)["at"], "Excessive Mutable Borrowing", "low")),
+        _blocks(0, "Mutex in Struct", "medium", *mutex, at="last"),
+        _blocks(MAX_VARIANTS, "Large Enum", "medium", *enum),
+        F.transform(often, lambda at: _finding(at, "Excessive Mutable Borrowing", "low")),
     )
