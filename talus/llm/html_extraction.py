@@ -18,8 +18,12 @@ host through a join.
 Defined cases: a null or empty html, or one without text, gives the empty
 string; unclosed and stray tags are closed as far as their parents end; a null
 URL belongs to a host without a name; hosts with fewer than MIN_PAGES distinct
-pages remove nothing by importance; repeated pages count once in the tree.
-Input columns other than page_id, url and html are left out.
+pages remove nothing by importance; repeated pages count once in the tree and
+each have their row; a place where contents are equally frequent is as important
+as its entropy says, whatever their order; a page of any length or depth is held
+whole by its task, places deeper than 24 levels counting as their ancestor's; a
+form around a title or a story is no form; an empty table gives no rows. Input
+columns other than page_id, url and html are left out, so none can clash.
 """
 
 from __future__ import annotations

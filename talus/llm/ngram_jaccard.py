@@ -21,7 +21,10 @@ never rule out a link; only sets of pairs that pass are moved and intersected.
 
 Defined cases: a null text or one without words has an empty set and links with
 nothing; fewer than five words are one shingle; repeated rows and equal texts
-are one component; a null doc_id has a component only through others' ids.
+are one component; a null doc_id has a component only through others' ids; a
+text of any length is cut whole, its set held by its task; sets at the threshold
+link; an empty table gives no rows. Only doc_id and text are read, so other
+columns never clash.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ no rule and is allowed; a null html has no links; of several links in a page
 all count, those in comments and scripts don't; repeated URLs share one node,
 as do those that differ in the case of scheme and host, in character references
 of a link, in . and .. steps, or in the fragment; links to the page itself, to
-fragments, scripts or mail addresses are no edges. Extra columns are ignored;
-an empty table gives no rows.
+fragments, scripts or mail addresses are no edges; rules of equal length that
+fit the same URL can't differ in name. A html of any length is searched whole.
+Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
