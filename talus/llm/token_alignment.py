@@ -9,7 +9,9 @@ for each id pair, one posting with the documents that hold it and how often.
 The postings are shuffled by the A id beside the pair's counts from all tasks,
 and Spark's sort, which spills, puts an id's counts before its postings; so a
 stream knows each count and the id's highest before the first posting comes,
-and adds up what its postings give to the documents of their batches. An id
+and adds up what its postings give to the documents of their batches. These sums
+travel as a row for each batch and stream, and meet in a stream sorted by batch;
+a document meets at most as many streams as it has A ids. An id
 with many postings is dealt to several streams, each with the id's counts: they
 are no more than the ids of the other tokenizer, whatever the table.
 
@@ -250,10 +252,15 @@ class _Held:
             np.add.at(have[1], docs[i:j], counts[i:j])
 
     def flush(self):
+        """A row for each batch: its documents that have sums, and these."""
+        rows = []
         for k, have in self.of.items():
             some = np.flatnonzero(have[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k), pa.int64()), pa.array(some, pa.int32()), pa.array(have[0][some], pa.int64()), pa.array(have[1][some], pa.int64())], names=["batch", "ordinal", "n_best", "count_sum"])
+            width = 4 if have[:, some].max(initial=0) < 1 << 32 else 8
+            rows.append((k, some.astype("<u2").tobytes(), *(x[some].astype(f"<u{width}").tobytes() for x in have)))
         self.of, self.rows = {}, 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["batch", "docs", "best", "sums"])
 
 
 def _streams(held_rows: int):
@@ -294,6 +301,28 @@ def _streams(held_rows: int):
     return run
 
 
+def _summed(batches):
+    """n_best and count_sum of each document, from a stream of flushed rows sorted by batch: one batch's sums are held."""
+    now, have = None, np.zeros((2, 1 << _ORDINAL_BITS), np.int64)
+
+    def told():
+        some = np.flatnonzero(have[1])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), now), pa.int64()), pa.array(some, pa.int32()), pa.array(have[0][some], pa.int64()), pa.array(have[1][some], pa.int64())], names=["batch", "ordinal", "n_best", "count_sum"])
+
+    for r in batches:
+        for k, docs, best, sums in zip(*(r.column(c) for c in ("batch", "docs", "best", "sums")), strict=True):
+            if k.as_py() != now:
+                if now is not None:
+                    yield told()
+                now = k.as_py()
+                have[:] = 0
+            at = np.frombuffer(docs.as_buffer(), "<u2")
+            for i, x in enumerate((best, sums)):
+                have[i][at] += np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // len(at)}").astype(np.int64)
+    if now is not None:
+        yield told()
+
+
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, batch_bytes: int = BATCH_BYTES, stream_entries: int = STREAM_ENTRIES, held_rows: int = HELD_ROWS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document."""
     a_path, b_path = a_path or tokenizer_path(A_TOKENIZER), b_path or tokenizer_path(B_TOKENIZER)
@@ -311,7 +340,8 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     known = salted(counts).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "b", "total", F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("entries"), none("binary", "docs"), none("binary", "times"))
     held = salted(postings).select("a", F.pmod(F.xxhash64("batch"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "b", F.lit(0).cast("long").alias("total"), "batch", "entries", "docs", "times")
     streams = known.unionByName(held).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
-    sums = streams.mapInArrow(_streams(held_rows), "batch long, ordinal int, n_best long, count_sum long").groupBy("batch", "ordinal").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = streams.mapInArrow(_streams(held_rows), "batch long, docs binary, best binary, sums binary")
+    sums = given.repartition("batch").sortWithinPartitions("batch").mapInArrow(_summed, "batch long, ordinal int, n_best long, count_sum long")
     sums, sums_path = stored(sums, "alignment-sums")
     discard(counts_path, salts_path)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
