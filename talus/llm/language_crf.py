@@ -8,7 +8,7 @@ the features, and learned transition weights join the labels of neighbours, so
 a word in doubt follows its surroundings and a switch costs evidence.
 Forward-backward gives each word's probabilities; a text's are their means.
 
-The field is fitted in one task on a bounded sample of texts: at most
+The field is fitted in one task on a bounded sample of texts: about
 SAMPLE_ROWS rows of the MAX_LABELS most frequent labels, an even share of each,
 and of each text at most RUNS runs of RUN words spread over all of it. Every
 other run of the fit is spliced from two texts, so transitions see switches.
@@ -22,7 +22,7 @@ Defined cases: a null text and one without a letter are `und` with score 0; a
 text whose letters are in no training text still gets a label, by its n-grams;
 without labelled rows every text is `und`; equal scores go to the label first in
 order; a null doc_id is no part of held_out; repeated rows each get a row, and
-repeated rows of the sample count as often; an empty table gives no rows.
+count once in the sample; an empty table gives no rows.
 doc_id may be of any type; input columns pass through, those named as a result
 are replaced.
 """
@@ -369,11 +369,12 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     names = sorted(r.lang for r in counts)
     if not names:
         return Field([], *(np.zeros(s, np.float32) for s in ((1 << FEATURE_BITS, 0), 0, 0, (0, 0))))
-    # rows below a bound on a hash of the id: an even share of each label, without a sort or shuffle of texts
+    # rows below a bound on a hash: an even share of each label, give or take the root of it, without a sort of texts
     share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, sample_rows / len(names) / r["count"]))))
-    dice = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+    dice = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     number = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))
-    picked = known.where(dice < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select(F.element_at(number, F.col("lang")).alias("_y"), "text").limit(2 * sample_rows)
+    # a row that is repeated without end counts once
+    picked = known.where(dice < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", F.element_at(number, F.col("lang")).alias("_y"), "text").dropDuplicates()
     runs = picked.mapInArrow(_sample_rows, "y int, cell array<int>, value array<float>, first array<int>")
     got = runs.groupBy().applyInArrow(_fit_table(names), "weights array<float>, bias array<float>, start array<float>, moves array<float>").first()
     k = len(names)
