@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.operators import blocks, chunking, graph, imports, reviews
+from talus.operators import blocks, chunking, graph, imports, reviews, syntax_tree
 from talus.sources.files import EXCLUDED, glob_pattern
 
 from .catalogue import query, table
@@ -72,6 +72,58 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.explode(both).alias("f")).select("f.*")
 
 
+#: A customer's orders as statements of a function, by the first sign of their priority.
+_STATEMENTS = {
+    "1": "    if a and b:\n        eval(a)",
+    "2": "    cur.execute(f'select {a}')",
+    "3": "    for i in a:\n        pass",
+    "4": "    x = hashlib.md5(a)",
+    "5": "    try:\n        pass\n    except:\n        pass",
+}
+_CODE = f"""w as (select o_custkey as doc_id, o_orderkey, left(o_orderpriority, 1) as pr, case left(o_orderpriority, 1) {" ".join(f"when '{k}' then {s.count(chr(10)) + 1}" for k, s in _STATEMENTS.items())} end as n from orders),
+  z as (select *, (2 + sum(n) over (partition by doc_id order by o_orderkey) - n)::int as line from w),
+  c as (select doc_id, 1 + sum(n) as lines, 1 + sum(case pr when '1' then 2 when '3' then 1 when '5' then 1 else 0 end) as complexity, any_value(c_nationkey) % 2 = 0 as wide from w join customer on c_custkey = doc_id group by 1)"""
+
+
+def customer_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a Python function for each customer, with a statement for each of its orders."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.substring("o_orderpriority", 1, 1).alias("k"))
+    said = F.create_map(*(F.lit(x) for kv in _STATEMENTS.items() for x in kv))
+    body = o.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "k"))), lambda x: F.element_at(said, x["k"])), "\n").alias("body"))
+    head = F.concat(F.lit("def c"), F.col("doc_id").cast("string"), F.when(F.col("c_nationkey") % 2 == 0, "(a, b, c, d, e, f):\n").otherwise("(a):\n"))
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_nationkey")
+    return body.join(who, "doc_id").select("doc_id", F.concat(head, "body", F.lit("\n")).alias("text"))
+
+
+@query(f"with {_CODE} select doc_id, 1 as line_no, 'Function Complexity' as issue, 'medium' as severity from c where complexity > 10")
+def code_complexity(spark, sf_dir):
+    return syntax_tree.complex_functions(syntax_tree.nodes(customer_code(spark, sf_dir)))
+
+
+@query(f"""with {_CODE} select doc_id, line + 2 as line_no, 'Bare Except' as issue, 'medium' as severity from z where pr = '5'
+  union all select doc_id, 1, 'Long Parameter List', 'medium' from c where wide union all select doc_id, 1, 'Long Function/Method', 'low' from c where lines > 50""")
+def code_sizes(spark, sf_dir):
+    return syntax_tree.sizes(syntax_tree.nodes(customer_code(spark, sf_dir)))
+
+
+@query(f"""with {_CODE} select doc_id, line + 1 as line_no, 'Use of eval' as issue, 'high' as severity from z where pr = '1'
+  union all select doc_id, line, 'SQL Injection', 'critical' from z where pr = '2' union all select doc_id, line, 'Weak Hashing Algorithm', 'medium' from z where pr = '4'""")
+def code_calls(spark, sf_dir):
+    return syntax_tree.dangerous_calls(syntax_tree.nodes(customer_code(spark, sf_dir)))
+
+
+@query(f"with {_CODE} select doc_id, line as line_no, 'Unused Variable' as issue, 'info' as severity from z where pr = '4'")
+def code_unused(spark, sf_dir):
+    return syntax_tree.unused(syntax_tree.nodes(customer_code(spark, sf_dir)))
+
+
+@query(f"with {_AFTER} select x.path as doc_id, 1 as line_no, 'Syntax Error' as issue, 'error' as severity from x join b on x.p = b.p where not x.script and x.p % 5 = 4")
+def code_syntax_errors(spark, sf_dir):
+    files = source_files(spark, sf_dir).where(F.col("path").endswith(".py"))
+    got = syntax_tree.syntax_errors(syntax_tree.nodes(files.select(F.col("path").alias("doc_id"), "text")))
+    return got.withColumn("line_no", F.lit(1))  # where a parser sees the error depends on its version
+
+
 def csharp_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path, text: a C# class for each supplier, with two methods whose content follows from its key and nation."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
