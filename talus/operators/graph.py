@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from talus.sources.scratch import discard, stored
 
+#: Pairs of twice the distance are made while their paths are at most so many times the edges, or so few.
+MOST_PATHS, FEW_PATHS = 2, 1 << 16
+
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """Distinct links from a page's URL to its href targets."""
@@ -50,30 +53,66 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _most_paths(edges: DataFrame) -> int:
+    return max(FEW_PATHS, MOST_PATHS * edges.count())
+
+
+def _twice(step: DataFrame, most: int, label: str) -> tuple[DataFrame, str] | None:
+    """The pairs (src, dst) twice as many edges apart as those of step; None if more than most paths lead to them."""
+    into, out = step.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i")), step.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"))
+    if (into.join(out, "node").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0) > most:
+        return None
+    a, b = step.toDF("src", "_at"), step.toDF("_at", "dst")
+    return stored(a.join(b, "_at").select("src", "dst").distinct(), label)
+
+
 def reach(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
     """root, node, depth: what each root reaches, itself at depth 0, by the fewest edges.
 
-    roots has a column root. A round joins the newest pairs alone with the
+    roots has a column root. Rounds double the depth while the pairs of nodes
+    that lie a whole step apart stay about as many as the edges, as on chains,
+    trees and rings: there rounds grow with the logarithm of the greatest depth.
+    Where paths branch more, a round joins the newest pairs alone with the
     edges and keeps those not seen before, so rows made are bounded by the
-    edges that leave reached nodes. Rounds are as many as the greatest depth.
+    edges that leave reached nodes.
     Null roots and edges with a null end are left out; repeated ones add nothing.
     """
-    spark, edges = edges.sparkSession, _clean(edges)
-    edges, edges_path = stored(edges, "reach-edges")
+    spark = edges.sparkSession
+    edges, edges_path = stored(_clean(edges), "reach-edges")
     first = roots.select("root").where("root is not null").distinct()
-    new, path = stored(first.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "reach")
-    paths, depth = [path], 0
-    seen = new
+    seen, path = stored(first.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "reach")
+    most, n = _most_paths(edges), seen.count()
+    # seen are the pairs fewer than span edges apart, step the nodes exactly span apart
+    span, step, step_path = 1, edges, edges_path
+    while most_depth is None or span <= most_depth:
+        far = seen.join(step, seen.node == step.src).select("root", F.col("dst").alias("node"), (F.col("depth") + span).alias("depth"))
+        if most_depth is not None:
+            far = far.where(F.col("depth") <= most_depth)
+        new, new_path = stored(seen.unionByName(far).groupBy("root", "node").agg(F.min("depth").alias("depth")), "reach")
+        discard(spark, path)
+        seen, path, m = new, new_path, new.count()
+        span *= 2
+        if m == n:
+            discard(spark, *{step_path, edges_path})
+            return seen
+        n, twice = m, _twice(step, most, "reach-step")
+        if twice is None:
+            break
+        if step_path != edges_path:
+            discard(spark, step_path)
+        step, step_path = twice
+    depth, paths = span - 1, [path]
+    new = seen.where(F.col("depth") == depth)
     while most_depth is None or depth < most_depth:
         depth += 1
-        step = new.join(edges, new.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        new, path = stored(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        ahead = new.join(edges, new.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
+        new, path = stored(ahead.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if new.isEmpty():
             discard(spark, path)
             break
         paths.append(path)
         seen = spark.read.schema(seen.schema).parquet(*paths)
-    discard(spark, edges_path)
+    discard(spark, *{step_path, edges_path})
     return seen
 
 
@@ -98,18 +137,32 @@ def impact(edges: DataFrame, changed: DataFrame, n_nodes: int) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame, label: str) -> tuple[DataFrame, str, int]:
-    """edges without those at nodes that none or no other edge leaves or enters, while a round removes a twentieth of them or more."""
+    """edges without those at nodes that none or no other edge leaves or enters.
+
+    Rounds ask for paths of twice the length while those stay few; then for one
+    more edge, while a round removes a twentieth of the edges or more.
+    """
+    spark = edges.sparkSession
     now, path = stored(edges, label)
-    n = now.count()
+    step, most, n = now, _most_paths(now), now.count()
+    held, double = [], True
     while n:
-        into, out = now.select(F.col("dst").alias("_n")).distinct(), now.select(F.col("src").alias("_n")).distinct()
-        kept = now.join(into, F.col("src") == F.col("_n"), "left_semi").join(out, F.col("dst") == F.col("_n"), "left_semi")
-        new, new_path = stored(kept, label)
-        discard(edges.sparkSession, path)
-        now, path, m = new, new_path, new.count()
-        if n - m < max(n // 20, 1):
-            return now, path, m
-        n = m
+        core = step.select(F.col("dst").alias("_n")).intersect(step.select(F.col("src").alias("_n")))
+        inner = lambda e, core=core: e.join(core, F.col("src") == F.col("_n"), "left_semi").join(core, F.col("dst") == F.col("_n"), "left_semi")
+        new, new_path = stored(inner(now), label)
+        m = new.count()
+        done = m == n if double else n - m < max(n // 20, 1)
+        if double and m and not done:
+            some, some_path = (new, new_path) if step is now else stored(inner(step), "trim-inner")
+            twice = _twice(some, most, "trim-step")
+            discard(spark, *held, *({some_path} - {new_path}))
+            double, held = twice is not None, [twice[1]] if twice else []
+        step = twice[0] if double and m and not done else new
+        discard(spark, path)
+        now, path, n = new, new_path, m
+        if done:
+            break
+    discard(spark, *held)
     return now, path, n
 
 
@@ -133,7 +186,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         colour, colour_path = _least_before(now)
         ends = now.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").where("c = d").select("src", "dst", "c")
         ends, ends_path = stored(ends, "scc-inside")
-        met, met_path = _walk_back(ends)
+        # a colour's own node that an edge enters inside the colour lies on a cycle with all that lead to it
+        own = ends.where("dst = c").select(F.col("c").alias("root"))
+        met, met_path = stored(dependents(ends, own).select("node", F.col("root").alias("component")), "scc-found")
         found_paths.append(met_path)
         rest = ends.join(met.select(F.col("node").alias("src")), "src", "left_anti").join(met.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
         new, new_path, m = _trimmed(rest, "scc-edges")
@@ -145,40 +200,35 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def _least_before(edges: DataFrame) -> tuple[DataFrame, str]:
-    """(node, colour): the least node from which a node is reached. Each round also asks the colour's own node for its colour, so that paths shorten."""
+    """(node, colour): the least node from which a node is reached.
+
+    A round looks twice as many edges back as the one before while such pairs
+    stay few, and asks the colour's own node for its colour, so that paths shorten.
+    """
+    spark = edges.sparkSession
+    step, held, most = edges, [], _most_paths(edges)
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     now, path = stored(ends.withColumn("colour", F.col("node")), "scc-colour")
+    double = True
     while True:
-        over = edges.join(now, edges.src == now.node).select(F.col("dst").alias("node"), "colour")
+        over = step.join(now, step.src == now.node).select(F.col("dst").alias("node"), "colour")
         least = over.groupBy("node").agg(F.min("colour").alias("new"))
-        step = now.join(least, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("new", "colour")).alias("colour"))
+        moved = now.join(least, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", F.coalesce("new", "colour")).alias("colour"))
         # what reaches the node of my colour reaches me
-        jump = step.select(F.col("node").alias("_c"), F.col("colour").alias("further"))
-        moved = step.join(jump, F.col("colour") == F.col("_c"), "left").select("node", "old", F.least("colour", F.coalesce("further", "colour")).alias("colour"))
+        jump = moved.select(F.col("node").alias("_c"), F.col("colour").alias("further"))
+        moved = moved.join(jump, F.col("colour") == F.col("_c"), "left").select("node", "old", F.least("colour", F.coalesce("further", "colour")).alias("colour"))
         new, new_path = stored(moved, "scc-colour")
         changed = not new.where("colour <> old").isEmpty()
-        discard(edges.sparkSession, path)
+        discard(spark, path)
         now, path = new.select("node", "colour"), new_path
         if not changed:
+            discard(spark, *held)
             return now, path
-
-
-def _walk_back(inside: DataFrame) -> tuple[DataFrame, str]:
-    """(node, component) of the nodes that lead to their colour's own node along edges of the colour (src, dst, c), where that node lies on a cycle."""
-    spark = inside.sparkSession
-    back = inside.select(F.col("dst").alias("at"), F.col("src").alias("node"), "c")
-    new, path = stored(back.where("at = c").select("node", F.col("c").alias("component")).distinct(), "scc-met")
-    paths, seen = [path], new
-    while True:
-        step = new.join(back, (new.node == back["at"]) & (new.component == back.c)).select(back.node, F.col("c").alias("component")).distinct()
-        new, path = stored(step.join(seen.select("node"), "node", "left_anti"), "scc-met")
-        paths.append(path)
-        if new.isEmpty():
-            break
-        seen = spark.read.schema(seen.schema).parquet(*paths)
-    out, out_path = stored(seen, "scc-found")
-    discard(spark, *paths)
-    return out, out_path
+        if double and (twice := _twice(step, most, "scc-step")):
+            discard(spark, *held)
+            step, held = twice[0], [twice[1]]
+        else:
+            double = False
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -188,35 +238,20 @@ def cycles(edges: DataFrame) -> DataFrame:
     is the one whose last node is the smallest, then the one before, and so on.
     """
     spark = edges.sparkSession
-    part, part_path = stored(strong_components(edges), "cycle-parts")
-    both = _clean(edges).join(part.toDF("src", "component"), "src").join(part.toDF("dst", "_d"), "dst").where("component = _d").select("component", "src", "dst")
+    whole, whole_path = stored(_clean(edges), "cycle-graph")
+    part, part_path = stored(strong_components(whole), "cycle-parts")
+    both = whole.join(part.toDF("src", "component"), "src").join(part.toDF("dst", "_d"), "dst").where("component = _d").select("component", "src", "dst")
     inside, inside_path = stored(both, "cycle-edges")
-    # forward from the smallest nodes, each in its own component, until each is met again
-    new, path = stored(inside.where("src = component").select("component", F.col("dst").alias("node"), F.lit(1).alias("depth")), "cycle-depths")
-    paths, depth = [path], 1
-    while True:
-        seen = spark.read.schema(new.schema).parquet(*paths)
-        closed = seen.where("node = component").select("component")
-        depth += 1
-        ahead = new.join(closed, "component", "left_anti").join(inside.withColumnRenamed("src", "node"), ["component", "node"]).select("component", F.col("dst").alias("node")).distinct()
-        new, path = stored(ahead.join(seen, ["component", "node"], "left_anti").withColumn("depth", F.lit(depth)), "cycle-depths")
-        paths.append(path)
-        if new.isEmpty():
-            break
-    # backward, one node a round: the smallest one before that is a step nearer to the start
-    at, path = stored(seen.where("node = component").select("component", "node", F.col("depth").alias("position")), "cycle-back")
-    back = [path]
-    rows = at
-    while True:
-        before = inside.join(at.withColumnRenamed("node", "dst"), ["component", "dst"]).join(seen.withColumnRenamed("node", "src"), ["component", "src"]).where("depth = position - 1")
-        at, path = stored(before.groupBy("component", F.col("depth").alias("position")).agg(F.min("src").alias("node")).select("component", "node", "position"), "cycle-back")
-        back.append(path)
-        if at.isEmpty():
-            break
-        rows = spark.read.schema(rows.schema).parquet(*back)
-    first = F.col("node") == F.col("component")  # met again at the end: that row stands for the start
-    out, _ = stored(rows.select("component", F.when(first, 0).otherwise(F.col("position")).cast("int").alias("position"), "node"), "cycles")
-    discard(spark, part_path, inside_path, *paths, *back)
+    # forward from the smallest nodes, each in its own component
+    ahead, ahead_path = stored(reach(inside, inside.select(F.col("component").alias("root"))).select("node", "depth"), "cycle-depths")
+    ends = inside.where("dst = component").join(ahead.toDF("src", "depth"), "src")
+    last = ends.groupBy("component").agg(F.min(F.struct("depth", "src")).alias("last")).select("component", F.col("last.src").alias("root"))
+    # backward: before each node comes the smallest one that is a step nearer to the start
+    near = inside.join(ahead.toDF("src", "depth"), "src").join(ahead.toDF("dst", "_depth"), "dst").where("depth = _depth - 1")
+    before = near.groupBy("dst").agg(F.min("src").alias("src")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = reach(before, last).select("root", "node").join(last, "root").join(ahead, "node")
+    out, _ = stored(back.select("component", F.col("depth").alias("position"), "node"), "cycles")
+    discard(spark, whole_path, part_path, inside_path, ahead_path)
     return out
 
 

@@ -98,3 +98,41 @@ def test_no_cycles(spark):
     for edges in ([], [(1, 2), (2, 3), (1, 3)]):
         assert graph.strong_components(_frame(spark, edges)).count() == 0
         assert graph.cycles(_frame(spark, edges)).count() == 0
+
+
+def _writes(monkeypatch):
+    made, plain = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label: made.append(label) or plain(df, label))
+    return made
+
+
+def test_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
+    """A chain of 400 nodes into a ring of 300, and another ring: far fewer tables are written than there are steps."""
+    edges = [(i, i + 1) for i in range(700)] + [(700, 401)] + [(1_300 - i, 1_299 - i) for i in range(300)] + [(1_000, 1_300)]
+    df, made = _frame(spark, edges), _writes(monkeypatch)
+    got = {(r.root, r.node): r.depth for r in graph.reach(df, _roots(spark, [0, 1_100])).collect()}
+    assert got == {(r, n): d for r in (0, 1_100) for n, d in _depths(edges, r).items()}
+    assert len(made) < 30
+    parts = {r.node: r.component for r in graph.strong_components(df).collect()}
+    assert parts == {n: 401 for n in range(401, 701)} | {n: 1_000 for n in range(1_000, 1_301)}
+    made.clear()
+    path = {(r.component, r.position): r.node for r in graph.cycles(df).collect()}
+    assert path == {(401, i): 401 + i for i in range(300)} | {(1_000, i): (1_000, *range(1_300, 1_000, -1))[i] for i in range(301)}
+    assert len(made) < 120
+
+
+def test_graphs_with_too_many_paths_to_double(spark, monkeypatch):
+    """With no room for pairs of twice the distance the plain rounds give the same rows, from any round on."""
+    rng = random.Random(7)
+    edges = [(100 * g + rng.randrange(12), 100 * g + rng.randrange(12)) for g in range(40) for _ in range(24)] + [(9_000 + i, 9_000 + (i + 1) % 9) for i in range(9)]
+    want, roots = _plain_cycles(edges), [0, 101, 9_003]
+    df = _frame(spark, edges).cache()
+    monkeypatch.setattr(graph, "FEW_PATHS", 1)
+    monkeypatch.setattr(graph, "MOST_PATHS", 1)
+    for depth in (None, 3):
+        got = {(r.root, r.node): r.depth for r in graph.reach(df, _roots(spark, roots), depth).collect()}
+        assert got == {(r, n): d for r in roots for n, d in _depths(edges, r).items() if depth is None or d <= depth}
+    got = defaultdict(dict)
+    for r in graph.cycles(df).collect():
+        got[r.component][r.position] = r.node
+    assert {n: [p[k] for k in sorted(p)] for n, p in got.items()} == {n: c for n, (_, c) in want.items()}
