@@ -1,6 +1,7 @@
 """Checks of Python files on their syntax trees, as queries over a table of tree nodes.
 
 nodes() parses each file in its task and gives a row per node; every check is then a filter, join or aggregation of that table.
+A query of one check names it, and gets only the kinds of nodes and the columns that this check reads.
 A null text counts as empty. A file that doesn't parse gives one row of kind SyntaxError and takes no part in other checks.
 Repeated doc_ids would mix their trees: give each file its own id.
 """
@@ -10,9 +11,9 @@ from __future__ import annotations
 import ast
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 MAX_COMPLEXITY, MAX_METHODS, MAX_CLASS_LINES, MAX_FUNCTION_LINES, MAX_PARAMETERS, LOOP_DEPTH = 10, 15, 300, 50, 5, 3
 #: Numbers that need no name, and parts of names of calls in the order in which the first that fits counts.
@@ -29,6 +30,15 @@ CALLS = (
 SOURCES = ("input", "raw_input", "request.get", "request.post", "request.args.get", "request.form.get", "getattr", "eval", "exec", "open", "urllib.request.urlopen", "requests.get", "requests.post", "socket.recv", "subprocess.check_output", "json.loads")
 
 _NODE = "node int, parent int, parent_kind string, kind string, name string, line int, end_line int, size int, value double, loops int, functions array<int>, shape string, names array<string>, flags array<string>"
+#: What each check reads: kinds of nodes, and columns beside doc_id and kind.
+NEEDS = {
+    "complexity": (("FunctionDef", "AsyncFunctionDef", "If", "While", "For", "AsyncFor", "BoolOp", "Break", "Continue", "Try"), ("node", "name", "line", "end_line", "size", "functions")),
+    "syntax_errors": (("SyntaxError",), ("line",)),
+    "unused": (("Name", "alias", "Assign"), ("name", "line", "shape", "names")),
+    "sizes": (("For", "While", "AsyncFor", "ClassDef", "FunctionDef", "AsyncFunctionDef", "ExceptHandler", "Constant"), ("parent_kind", "name", "line", "end_line", "size", "value", "loops", "shape")),
+    "calls": (("Call", "Assign"), ("node", "name", "line", "shape", "names", "flags")),
+    "imports": (("alias", "ImportFrom"), ("node", "parent", "parent_kind", "name", "size", "shape")),
+}
 _LOOPS = (ast.For, ast.While, ast.AsyncFor)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -91,44 +101,79 @@ def _facts(n) -> dict:
     return {}
 
 
-def tree_rows(text: str | None):
-    """Rows of one file's nodes, parents before children; the depth is held in a list, not in the call stack."""
+def tree_rows(text: str | None, kinds=None):
+    """Rows of one file's nodes, or of those of some kinds, parents before children; the depth is held in a list, not in the call stack."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        yield {"node": 0, "kind": "SyntaxError", "line": getattr(e, "lineno", None) or 1}
+        line = getattr(e, "lineno", None) or 1
+        if kinds is None or "SyntaxError" in kinds:
+            yield {"node": 0, "kind": "SyntaxError", "line": line}
+        return
+    if kinds is not None and set(kinds) == {"SyntaxError"}:
         return
     at, stack = 0, [(tree, None, None, 0, (), 1)]
     while stack:
         n, parent, parent_kind, loops, functions, line = stack.pop()
+        kind = type(n).__name__
         line = getattr(n, "lineno", line)
-        loops += isinstance(n, _LOOPS)
-        functions = (*functions, at) if isinstance(n, _FUNCTIONS) else functions
-        row = {"node": at, "parent": parent, "parent_kind": parent_kind, "kind": type(n).__name__, "line": line, "end_line": getattr(n, "end_lineno", line), "loops": loops, "functions": list(functions)}
-        yield row | _facts(n)
-        stack += [(c, at, row["kind"], loops, functions, line) for c in ast.iter_child_nodes(n)]
+        if isinstance(n, _LOOPS):
+            loops += 1
+        elif isinstance(n, _FUNCTIONS):
+            functions = (*functions, at)
+        if kinds is None or kind in kinds:
+            yield {"node": at, "parent": parent, "parent_kind": parent_kind, "kind": kind, "line": line, "end_line": getattr(n, "end_lineno", line), "loops": loops, "functions": functions} | _facts(n)
+        for f in n._fields:
+            c = getattr(n, f, None)
+            if isinstance(c, ast.AST):
+                stack.append((c, at, kind, loops, functions, line))
+            elif isinstance(c, list):
+                stack += [(x, at, kind, loops, functions, line) for x in c if isinstance(x, ast.AST)]
         at += 1
 
 
-def nodes(files: DataFrame, batch_rows: int = 20_000) -> DataFrame:
-    """doc_id and a row per node of the files' trees; batches of bounded size, so a long file doesn't fill a task."""
+def nodes(files: DataFrame, need: str | None = None, batch_rows: int = 20_000) -> DataFrame:
+    """doc_id and a row per node of the files' trees; batches of bounded size, so a long file doesn't fill a task.
+
+    need names a check of NEEDS: then only its kinds of nodes and its columns are made; names that a file loads again, and constants that are no numbers, are left out.
+    """
     kept = files.select("doc_id", "text")
-    schema = StructType.fromDDL(f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, {_NODE}")
+    kinds, columns = NEEDS[need] if need else (None, None)
+    fields = [f for f in StructType.fromDDL(_NODE).fields if columns is None or f.name in columns or f.name == "kind"]
+    schema = StructType([StructField("doc_id", kept.schema["doc_id"].dataType), *fields])
+    names = [f.name for f in fields]
+
+    def rows(text):
+        loaded = set()
+        for row in tree_rows(text, kinds):
+            if need == "unused" and row["kind"] == "Name":
+                if row["shape"] != "Load" or row["name"] in loaded:
+                    continue
+                loaded.add(row["name"])
+            if need == "sizes" and row["kind"] == "Constant" and "value" not in row:
+                continue
+            yield tuple(map(row.get, names))
 
     def parse(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        held = []
+
+        def full(ids, held):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, *zip(*held, strict=True)), arrow.types, strict=True)], schema=arrow)
+
+        ids, held = [], []
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1)):
-                for row in tree_rows(text.as_py()):
-                    held.append({"doc_id": i.as_py()} | row)
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                key = i.as_py()
+                for row in rows(text.as_py()):
+                    ids.append(key)
+                    held.append(row)
                     if len(held) >= batch_rows:
-                        yield pa.RecordBatch.from_pylist(held, arrow)
-                        held = []
+                        yield full(ids, held)
+                        ids, held = [], []
         if held:
-            yield pa.RecordBatch.from_pylist(held, arrow)
+            yield full(ids, held)
 
     return kept.mapInArrow(parse, schema)
 
@@ -168,11 +213,16 @@ def syntax_errors(tree: DataFrame) -> DataFrame:
 
 def unused(tree: DataFrame) -> DataFrame:
     """Imports and variables that are loaded nowhere in their file; variables aside that are self, cls or begin with an underscore."""
-    used = _of(tree, "Name").where("shape = 'Load'").select("doc_id", "name").distinct()
-    imports = _of(tree, "alias").where("name <> '*'").select("doc_id", "line", "name", F.lit("Unused Import").alias("issue"))
-    bound = _of(tree, "Assign").select("doc_id", "line", F.explode("names").alias("name"), F.lit("Unused Variable").alias("issue"))
-    bound = bound.where(~F.col("name").isin("self", "cls") & ~F.col("name").startswith("_"))
-    return _issue(imports.unionByName(bound).join(used, ["doc_id", "name"], "left_anti"), F.col("issue"), "info")
+    kind, none = F.col("kind"), F.array().cast("array<struct<name:string,line:int,issue:string>>")
+    row = lambda name, line, issue: F.struct(name.alias("name"), line.cast("int").alias("line"), issue.cast("string").alias("issue"))
+    bound = F.filter("names", lambda n: ~n.isin("self", "cls") & ~n.startswith("_"))
+    rows = F.when((kind == "Name") & (F.col("shape") == "Load"), F.array(row(F.col("name"), F.lit(None), F.lit(None))))
+    rows = rows.when((kind == "alias") & (F.col("name") != "*"), F.array(row(F.col("name"), F.col("line"), F.lit("Unused Import"))))
+    rows = rows.when(kind == "Assign", F.transform(bound, lambda n: row(n, F.col("line"), F.lit("Unused Variable")))).otherwise(none)
+    # one pass over the tree: a name's loads meet its bindings in its file
+    named = _of(tree, "Name", "alias", "Assign").select("doc_id", F.inline(rows)).groupBy("doc_id", "name")
+    lost = named.agg(F.max(F.col("issue").isNull()).alias("used"), F.collect_list(F.when(F.col("issue").isNotNull(), F.struct("line", "issue"))).alias("at")).where("not used")
+    return _issue(lost.select("doc_id", F.inline("at")), F.col("issue"), "info")
 
 
 def sizes(tree: DataFrame) -> DataFrame:
@@ -199,19 +249,17 @@ def dangerous_calls(tree: DataFrame) -> DataFrame:
 
     Tainted are names that the file assigns directly from a call to one of SOURCES.
     """
-    call = _of(tree, "Call").where("name is not null")
     low, shape, flag = F.lower("name"), F.col("shape"), lambda x: F.array_contains("flags", x)
     fits = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
     group = None
     for g, words in CALLS:
         group = (F if group is None else group).when(fits(low, words), g)
     group = group.when(F.col("name").isin("eval", "exec"), "code")
-    tainted = _of(tree, "Assign").where(F.col("shape").isNotNull() & fits(F.col("shape"), SOURCES))
-    tainted = tainted.select("doc_id", F.explode("flags").alias("_name")).distinct()
-    call = call.withColumn("group", group).where("group is not null")
-    # a call's first argument holds few names, so this join has about as many rows as there are calls
-    held = call.where("group in ('file', 'code')").select("doc_id", "node", F.explode("names").alias("_name")).join(tainted, ["doc_id", "_name"]).select("doc_id", "node").distinct().withColumn("_t", F.lit(True))
-    call = call.join(held, ["doc_id", "node"], "left")
+    # one pass over the tree: a file's calls meet the names that it taints
+    source = (F.col("kind") == "Assign") & F.col("shape").isNotNull() & fits(F.col("shape"), SOURCES)
+    rows = _of(tree, "Call", "Assign").withColumn("group", F.when((F.col("kind") == "Call") & F.col("name").isNotNull(), group)).where(F.col("group").isNotNull() | source)
+    tainted = F.flatten(F.collect_set(F.when(source, F.col("flags"))).over(Window.partitionBy("doc_id")))
+    call = rows.withColumn("_tainted", tainted).where("group is not null").withColumn("_t", F.arrays_overlap("names", "_tainted"))
     g, bad = F.col("group"), F.coalesce(F.col("_t"), F.lit(False))
     checks = (
         ((g == "sql") & shape.isin("fstring", "add", "mod", "format"), F.lit("SQL Injection"), "critical"),

@@ -78,35 +78,35 @@ def connection_strings(spark, sf_dir):
     return language_rules.connection_strings(_files(spark, sf_dir))
 
 
-def _tree(spark, sf_dir):
-    return syntax_tree.nodes(table(spark, sf_dir, "documents"))
+def _tree(spark, sf_dir, need):
+    return syntax_tree.nodes(table(spark, sf_dir, "documents"), need)
 
 
 @query()
 def python_syntax_errors(spark, sf_dir):
-    return syntax_tree.syntax_errors(_tree(spark, sf_dir))
+    return syntax_tree.syntax_errors(_tree(spark, sf_dir, "syntax_errors"))
 
 
 @query()
 def python_sizes(spark, sf_dir):
-    return syntax_tree.sizes(_tree(spark, sf_dir))
+    return syntax_tree.sizes(_tree(spark, sf_dir, "sizes"))
 
 
 @query()
 def python_complexity(spark, sf_dir):
-    return syntax_tree.complex_functions(_tree(spark, sf_dir))
+    return syntax_tree.complex_functions(_tree(spark, sf_dir, "complexity"))
 
 
 @query()
 def python_unused(spark, sf_dir):
-    return syntax_tree.unused(_tree(spark, sf_dir))
+    return syntax_tree.unused(_tree(spark, sf_dir, "unused"))
 
 
 @query()
 def python_calls(spark, sf_dir):
-    return syntax_tree.dangerous_calls(_tree(spark, sf_dir))
+    return syntax_tree.dangerous_calls(_tree(spark, sf_dir, "calls"))
 
 
 @query()
 def python_imports(spark, sf_dir):
-    return syntax_tree.imports(_tree(spark, sf_dir))
+    return syntax_tree.imports(_tree(spark, sf_dir, "imports"))

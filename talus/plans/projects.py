@@ -97,30 +97,30 @@ def customer_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_CODE} select doc_id, 1 as line_no, 'Function Complexity' as issue, 'medium' as severity from c where complexity > 10")
 def code_complexity(spark, sf_dir):
-    return syntax_tree.complex_functions(syntax_tree.nodes(customer_code(spark, sf_dir)))
+    return syntax_tree.complex_functions(syntax_tree.nodes(customer_code(spark, sf_dir), "complexity"))
 
 
 @query(f"""with {_CODE} select doc_id, line + 2 as line_no, 'Bare Except' as issue, 'medium' as severity from z where pr = '5'
   union all select doc_id, 1, 'Long Parameter List', 'medium' from c where wide union all select doc_id, 1, 'Long Function/Method', 'low' from c where lines > 50""")
 def code_sizes(spark, sf_dir):
-    return syntax_tree.sizes(syntax_tree.nodes(customer_code(spark, sf_dir)))
+    return syntax_tree.sizes(syntax_tree.nodes(customer_code(spark, sf_dir), "sizes"))
 
 
 @query(f"""with {_CODE} select doc_id, line + 1 as line_no, 'Use of eval' as issue, 'high' as severity from z where pr = '1'
   union all select doc_id, line, 'SQL Injection', 'critical' from z where pr = '2' union all select doc_id, line, 'Weak Hashing Algorithm', 'medium' from z where pr = '4'""")
 def code_calls(spark, sf_dir):
-    return syntax_tree.dangerous_calls(syntax_tree.nodes(customer_code(spark, sf_dir)))
+    return syntax_tree.dangerous_calls(syntax_tree.nodes(customer_code(spark, sf_dir), "calls"))
 
 
 @query(f"with {_CODE} select doc_id, line as line_no, 'Unused Variable' as issue, 'info' as severity from z where pr = '4'")
 def code_unused(spark, sf_dir):
-    return syntax_tree.unused(syntax_tree.nodes(customer_code(spark, sf_dir)))
+    return syntax_tree.unused(syntax_tree.nodes(customer_code(spark, sf_dir), "unused"))
 
 
 @query(f"with {_AFTER} select x.path as doc_id, 1 as line_no, 'Syntax Error' as issue, 'error' as severity from x join b on x.p = b.p where not x.script and x.p % 5 = 4")
 def code_syntax_errors(spark, sf_dir):
     files = source_files(spark, sf_dir).where(F.col("path").endswith(".py"))
-    got = syntax_tree.syntax_errors(syntax_tree.nodes(files.select(F.col("path").alias("doc_id"), "text")))
+    got = syntax_tree.syntax_errors(syntax_tree.nodes(files.select(F.col("path").alias("doc_id"), "text"), "syntax_errors"))
     return got.withColumn("line_no", F.lit(1))  # where a parser sees the error depends on its version
 
 

@@ -56,3 +56,23 @@ def test_imports(spark):
     t = _tree(spark, "import a.b, c\nfrom .d import e, f\nfrom . import g\nimport c\n")
     assert {(r.module, r.level) for r in syntax_tree.imports(t).collect()} == {("a.b", 0), ("c", 0), ("d", 1), ("g", 1)}
     assert syntax_tree.imports(t).count() == 4
+
+
+def test_each_check_reads_few_rows_and_finds_the_same(spark):
+    code = "import os, sys\nclass C:\n  pass\ndef f(a, b, c, d, e, g):\n" + "  if a and b:\n    eval(a)\n" * 6 + "  for i in a:\n    x = hashlib.md5(a, 7)\n  try:\n    cur.execute(f'{a}')\n  except:\n    pass\np = input()\nopen(p)\nfrom . import h\n"
+    files = spark.createDataFrame([(0, code), (1, "x = ("), (2, None), (3, "")], "doc_id long, text string")
+    checks = {"complexity": syntax_tree.complex_functions, "syntax_errors": syntax_tree.syntax_errors, "unused": syntax_tree.unused, "sizes": syntax_tree.sizes, "calls": syntax_tree.dangerous_calls, "imports": syntax_tree.imports}
+    assert set(checks) == set(syntax_tree.NEEDS)
+    whole = syntax_tree.nodes(files).cache()
+    for need, check in checks.items():
+        some = syntax_tree.nodes(files, need)
+        assert sorted(map(str, check(some).collect())) == sorted(map(str, check(whole).collect())) != []
+        assert some.count() < whole.count() / 4 and len(some.columns) < len(whole.columns)
+    assert syntax_tree.nodes(files, "unused").where("kind = 'Name' and name = 'a'").count() == 1
+
+
+def test_unused_and_calls_parse_each_file_once(spark):
+    files = spark.createDataFrame([(0, "p = input()\nopen(p)\nx = 1\n")], "doc_id long, text string")
+    for check, need in ((syntax_tree.unused, "unused"), (syntax_tree.dangerous_calls, "calls")):
+        plan = check(syntax_tree.nodes(files, need))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
