@@ -7,6 +7,9 @@ Every fold runs inside a row, over that file's lines; nothing is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,12 @@ def _findings(files: DataFrame, *parts: Column) -> DataFrame:
     return table.select("doc_id", F.inline(F.concat(*(p.cast(_HITS) for p in parts))))
 
 
+def _holding(files: DataFrame, *words: tuple[str, ...]) -> DataFrame:
+    """Files whose text holds all words of a tuple: those without the words of any check have no finding."""
+    tests = (reduce(and_, (F.col("text").contains(w) for w in some)) for some in words)
+    return files.where(reduce(or_, tests))
+
+
 def _closed(opens, hit, closes=lambda x: _trim(x) == "}", keep: bool = False, first: bool = False, over: int = -1) -> Column:
     """Blocks that close, as (start, end, n, last): lines from 1, how many inner lines hit, and the last that did; only those with more than over, so that few are held.
 
@@ -117,7 +126,7 @@ def go_issues(files: DataFrame) -> DataFrame:
     result = lambda x: F.element_at(F.split(x, r"\)", -1), -2)
     named = lambda x: x.rlike(r"\bfunc\s+\w+[^{]*\)\s*\([^{]*\)\s*\{") & result(x).rlike(r"\([\w\s,]+\s+[\w\[\]\*\.]+")
     return _findings(
-        files,
+        _holding(files, ("_", ":=", "("), ("type", "interface"), ("struct", "{"), ("for", "defer"), ("func", "return"), ("select {", "default:"), ("import", '"')),
         ignored,
         _where(lambda x: x.rlike(GO_EMPTY), "Empty Interface", "low"),
         _blocks(MAX_FIELDS, "Large Struct", "medium", *struct),
@@ -183,7 +192,7 @@ def rust_issues(files: DataFrame) -> DataFrame:
 
     often = F.aggregate(F.array_sort(borrows), zero, count)["out"]
     return _findings(
-        files,
+        _holding(files, ("unwrap", "()"), ("expect", "("), ("clone", "()"), ("unsafe ",), ("struct", "Mutex"), ("enum", "{"), ("&mut",)),
         *panics,
         _where(lambda x: ~comment(x) & x.rlike(RUST_CLONE), "Clone Usage", "info"),
         _where(lambda x: x.contains("unsafe {") | x.contains("unsafe fn"), "Unsafe Code", "high"),
