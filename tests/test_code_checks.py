@@ -116,3 +116,21 @@ def test_rust(spark):
     want = [(1, "Unwrap Usage"), (2, "Expect Usage"), (4, "Clone Usage"), (5, "Unsafe Code"), (8, "Mutex in Struct"), (10, "Large Enum"), (35, "Excessive Mutable Borrowing")]
     assert _issues(code_checks.rust_issues(_files(spark, text, None))) == want
     assert _issues(code_checks.rust_issues(_files(spark, "a.unwrap()", path="tests/a.rs"))) == []
+
+
+def test_files_without_words_are_passed_over(spark):
+    """Most texts hold no word that a pattern needs: neither the patterns nor the folds see them; every pattern has such words."""
+    import re
+
+    from talus.functions.security_patterns import BY_LANGUAGE
+    from talus.operators import code_checks, language_rules
+
+    assert all(language_rules._needed(re._parser.parse(p)) for found in BY_LANGUAGE.values() for _, _, p in found)
+    t = spark.createDataFrame([("plain words",), ("X = NEW  Random ( )",), ("x\nMATH.random()",), (None,), ("",)], "text string")
+    assert [bool(r[0]) for r in t.select(language_rules.may_hit(t.text, "java")).collect()] == [False, True, True, False, False]
+    some = spark.createDataFrame([("type A interface {}",), ("a := b",), ("select {\ndefault:\n}",), ('import "os"',), ("for x\ndefer y",), (None,)], "text string")
+    kept = code_checks._holding(some, ("type", "interface"), ("import", '"')).collect()
+    assert [r.text for r in kept] == ["type A interface {}", 'import "os"']
+    files = some.selectExpr("monotonically_increasing_id() as doc_id", "'a.go' as path", "text")
+    plan = code_checks.go_issues(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(text" in plan
