@@ -25,16 +25,22 @@ ISSUES = "struct<issues:array<struct<line_start:int,line_end:int,severity:string
 _FIELDS = r"^([^:]*):([^:]*):([^:]*):([\s\S]*)$"
 
 
+_BLANK = r"[\s\u001c-\u001f\u0085 ]"
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s\u001c-\u001f\u0085 ]+|[\s\u001c-\u001f\u0085 ]+$", "")
+    return F.regexp_replace(c, rf"^{_BLANK}+|{_BLANK}+$", "")
 
 
 def _ignored(line: Column, codes, prefix: bool) -> Column:
-    said = _strip(F.regexp_extract(line, _FIELDS, 4))
-    hit = F.lit(False)
-    for c in codes:
-        hit = hit | said.startswith(c if prefix else f"{c} ")
-    return line.rlike(_FIELDS) & hit
+    """Whether the fourth field, stripped, begins with a code: one pattern, tried once a line."""
+    some = "|".join(rf"\Q{c}\E" + ("" if prefix else rf" [\s\S]*(?!{_BLANK})[\s\S]") for c in codes)
+    return line.rlike(rf"^[^:]*:[^:]*:[^:]*:{_BLANK}*+(?:{some})") if codes else F.lit(False)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def filtered_linter(text: Column, codes=IGNORED, prefix: bool = False) -> Column:
@@ -43,10 +49,11 @@ def filtered_linter(text: Column, codes=IGNORED, prefix: bool = False) -> Column
     A line has four fields, cut at colons; others are kept. A code is ignored if
     it is one of codes, or begins with one where prefix is set.
     """
-    lines = F.split(_strip(text), "\n", -1)
-    kept = F.filter(lines, lambda x: ~_ignored(x, codes, prefix))
-    out = F.when(F.size(kept) == 0, NONE_LEFT).when(F.size(kept) == F.size(lines), text).otherwise(F.concat(F.lit(SOME_LEFT), F.array_join(F.transform(kept, lambda x: F.concat(F.lit("    "), x)), "\n"), F.lit("\n")))
-    return F.when(text.isNull() | (text == "") | (_strip(text) == NO_ISSUES), "").otherwise(out)
+    some = lambda kept: F.concat(F.lit(SOME_LEFT + "    "), F.array_join(kept, "\n    "), F.lit("\n"))
+    out = lambda lines, kept: F.when(F.size(kept) == 0, NONE_LEFT).when(F.size(kept) == F.size(lines), text).otherwise(some(kept))
+    cut = lambda bare: _let(F.split(bare, "\n", -1), lambda lines: _let(F.filter(lines, lambda x: ~_ignored(x, codes, prefix)), lambda kept: out(lines, kept)))
+    found = _let(_strip(text), lambda bare: F.when(bare == NO_ISSUES, "").otherwise(cut(bare)))
+    return F.when(text.isNull() | (text == ""), "").otherwise(found)
 
 
 def linter_rows(table: DataFrame, text: str = "text") -> DataFrame:

@@ -78,3 +78,18 @@ def test_edit_counts_equal_the_longest_common_subsequence():
 def test_line_diffs(spark):
     df = spark.createDataFrame([(1, "a\nb\nc\n", "a\r\nx\nc"), (2, None, "a"), (3, "a", ""), (4, None, None)], "k long, old string, new string")
     assert {tuple(r) for r in reviews.line_diffs(df).collect()} == {(1, 1, 1, 2), (2, 0, 1, 0), (3, 1, 0, 0), (4, 0, 0, 0)}
+
+
+def test_linter_lines_are_matched_by_one_pattern(spark):
+    """Blanks around a code and at the end of a line count as before; fields are not extracted."""
+    from pyspark.sql import functions as F
+
+    from talus.operators import reviews
+
+    texts = ["a:1:2: E1 x\nb:1:1:E1 \nc:1:1:  E501  \ny", "a:1:2: W bare", "a:1:2: W291 bare", "a:1:2:E2\u0085 x\nz", None, " ", " (No issues found by flake8) "]
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = [r[0] for r in t.select(reviews.filtered_linter(F.col("text"))).collect()]
+    some = lambda *x: reviews.SOME_LEFT + "\n".join("    " + y for y in x) + "\n"
+    assert got == [some("b:1:1:E1 ", "c:1:1:  E501  ", "y"), reviews.NONE_LEFT, texts[2], texts[3], "", " ", ""]
+    plan = t.select(reviews.filtered_linter(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan
