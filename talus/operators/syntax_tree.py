@@ -9,6 +9,8 @@ Repeated doc_ids would mix their trees: give each file its own id.
 from __future__ import annotations
 
 import ast
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +39,15 @@ NEEDS = {
     "unused": (("Name", "alias", "Assign"), ("name", "line", "shape", "names")),
     "sizes": (("For", "While", "AsyncFor", "ClassDef", "FunctionDef", "AsyncFunctionDef", "ExceptHandler", "Constant"), ("parent_kind", "name", "line", "end_line", "size", "value", "loops", "shape")),
     "calls": (("Call", "Assign"), ("node", "name", "line", "shape", "names", "flags")),
-    "imports": (("alias", "ImportFrom"), ("node", "parent", "parent_kind", "name", "size", "shape")),
+    "imports": (("Import", "ImportFrom"), ("name", "size", "names")),
+}
+#: A file that holds none of a check's keywords, signs and digits has no finding of it, and isn't parsed. Python takes these in ASCII only; a name may be written in other letters, so none is here.
+HINTS = {
+    "complexity": ("def",),
+    "unused": ("=", "import"),
+    "sizes": (*"0123456789", "for", "while", "class", "def", "except"),
+    "calls": ("(",),
+    "imports": ("import",),
 }
 _LOOPS = (ast.For, ast.While, ast.AsyncFor)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -80,8 +90,10 @@ def _facts(n) -> dict:
         return {"name": n.id, "shape": type(n.ctx).__name__}
     if isinstance(n, ast.alias):
         return {"name": n.asname or n.name.split(".")[0], "shape": n.name}
+    if isinstance(n, ast.Import):
+        return {"names": [a.name for a in n.names]}
     if isinstance(n, ast.ImportFrom):
-        return {"name": n.module, "size": n.level}
+        return {"name": n.module, "size": n.level, "names": [a.name for a in n.names]}
     if isinstance(n, ast.BoolOp):
         return {"size": len(n.values) - 1}
     if isinstance(n, ast.Try):
@@ -132,12 +144,21 @@ def tree_rows(text: str | None, kinds=None):
         at += 1
 
 
+def _holds(text: Column, hint: str) -> Column:
+    """Whether a text holds a sign, or a keyword as a whole word; the plain search goes first, as few texts need the slow one."""
+    plain = text.contains(hint)
+    return plain & text.rlike(f"(?<![A-Za-z0-9_]){hint}(?![A-Za-z0-9_])") if hint.isalpha() else plain
+
+
 def nodes(files: DataFrame, need: str | None = None, batch_rows: int = 20_000) -> DataFrame:
     """doc_id and a row per node of the files' trees; batches of bounded size, so a long file doesn't fill a task.
 
-    need names a check of NEEDS: then only its kinds of nodes and its columns are made; names that a file loads again, and constants that are no numbers, are left out.
+    need names a check of NEEDS: then only its kinds of nodes and its columns are made; names that a file loads again, and constants that are no numbers, are left out, and files without any of its HINTS aren't parsed.
+    The parser keeps every name that it meets as long as the Python worker lives; files passed over cost no memory there.
     """
     kept = files.select("doc_id", "text")
+    if need in HINTS:
+        kept = kept.where(reduce(or_, (_holds(F.col("text"), h) for h in HINTS[need])))
     kinds, columns = NEEDS[need] if need else (None, None)
     fields = [f for f in StructType.fromDDL(_NODE).fields if columns is None or f.name in columns or f.name == "kind"]
     schema = StructType([StructField("doc_id", kept.schema["doc_id"].dataType), *fields])
@@ -279,8 +300,6 @@ def dangerous_calls(tree: DataFrame) -> DataFrame:
 
 def imports(tree: DataFrame) -> DataFrame:
     """doc_id, module, level (leading dots) and distinct: what each file imports; 'from . import x' gives module x."""
-    alias = _of(tree, "alias").select("doc_id", F.col("parent").alias("node"), F.col("shape").alias("what"), "parent_kind")
-    origin = _of(tree, "ImportFrom").select("doc_id", "node", F.col("name").alias("module"), F.col("size").alias("level"))
-    plain = alias.where("parent_kind = 'Import'").select("doc_id", F.col("what").alias("module"), F.lit(0).alias("level"))
-    named = alias.where("parent_kind = 'ImportFrom'").join(origin, ["doc_id", "node"]).select("doc_id", F.coalesce("module", "what").alias("module"), "level")
-    return plain.unionByName(named).distinct()
+    # one pass over the tree: a statement's row holds all that it imports
+    each = F.transform("names", lambda n: F.struct(F.coalesce("name", n).alias("module"), F.coalesce("size", F.lit(0)).alias("level")))
+    return _of(tree, "Import", "ImportFrom").select("doc_id", F.inline(each)).distinct()

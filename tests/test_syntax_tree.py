@@ -76,3 +76,32 @@ def test_unused_and_calls_parse_each_file_once(spark):
     for check, need in ((syntax_tree.unused, "unused"), (syntax_tree.dangerous_calls, "calls")):
         plan = check(syntax_tree.nodes(files, need))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1
+
+
+def test_imports_parse_each_file_once_and_keep_null_ids(spark):
+    files = spark.createDataFrame([(None, "import a\nfrom b import c, d\nfrom .. import e, f\nfrom . import *\n")], "doc_id long, text string")
+    got = syntax_tree.imports(syntax_tree.nodes(files, "imports"))
+    assert sorted((r.module, r.level) for r in got.collect()) == [("*", 1), ("a", 0), ("b", 0), ("e", 2), ("f", 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_files_that_cannot_hold_a_finding_are_not_parsed(spark):
+    prose = ["An important word defines it", "imports from_import importa _import import_ 9", "", None]
+    files = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    for need in ("imports", "complexity", "unused", "calls"):
+        parsed = syntax_tree.nodes(files, need)._jdf.queryExecution().analyzed().children().head()
+        assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, parsed).count() == 0
+
+
+def test_all_forms_of_statements_are_parsed(spark):
+    code = ["import\ta", "from .import b", "from c import(d)", "from e import*", "x=1;import f", "if 1:import g", "\fimport h", "from\\\n i\\\n import\\\n j"]
+    code += ["try:\n  pass\nexcept:import k", "'''\n'''\r\nimport l\r\n", "\u00e9=1;import m", "def\\\n n(): import o"]
+    code += ["def\tf(): pass\nif x: pass\n", "x: int\ny=z", "for a in b:\n for c in d:\n  while(e): pass", "class A:pass", "\uff45\uff56\uff41\uff4c(1)", "try:pass\nexcept:pass", "x=.7", "async def g():\n" + " if x and y: pass\n" * 9]
+    files = spark.createDataFrame(list(enumerate(code)), "doc_id long, text string")
+    checks = {"complexity": syntax_tree.complexity, "unused": syntax_tree.unused, "sizes": syntax_tree.sizes, "calls": syntax_tree.dangerous_calls, "imports": syntax_tree.imports}
+    assert set(checks) == set(syntax_tree.HINTS)
+    whole = syntax_tree.nodes(files).cache()
+    for need, check in checks.items():
+        assert sorted(map(str, check(syntax_tree.nodes(files, need)).collect())) == sorted(map(str, check(whole).collect())) != []
+    assert {r.doc_id for r in syntax_tree.imports(syntax_tree.nodes(files, "imports")).collect()} == set(range(12))
