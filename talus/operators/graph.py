@@ -6,13 +6,15 @@ joined with the edges; the driver sees counts only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.sources.scratch import discard, stored
+from talus.sources.scratch import discard, stored, tidied
 
 #: Pairs of twice the distance are made while their paths are at most so many times the edges, or so few.
 MOST_PATHS, FEW_PATHS = 2, 1 << 16
+#: Fixed value: walks are cut down to the nodes still asked for while that removes more than this share of them.
+LEAST_CUT = 0.1
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -57,13 +59,23 @@ def _most_paths(edges: DataFrame) -> int:
     return max(FEW_PATHS, MOST_PATHS * edges.count())
 
 
-def _twice(step: DataFrame, most: int, label: str) -> tuple[DataFrame, str] | None:
-    """The pairs (src, dst) twice as many edges apart as those of step; None if more than most paths lead to them."""
-    into, out = step.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i")), step.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"))
-    if (into.join(out, "node").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0) > most:
-        return None
+def _single(pairs: DataFrame) -> bool:
+    """Whether no node has two pairs as src, or none has two as dst: then pairs of any distance are no more than these, and each comes once."""
+    with tidied(pairs.sparkSession):
+        most = degrees(pairs).agg(F.max("n_out"), F.max("n_in")).first()
+    return min(most[0] or 0, most[1] or 0) <= 1
+
+
+def _twice(step: DataFrame, most: int, label: str, single: bool = False) -> tuple[DataFrame, str] | None:
+    """The pairs (src, dst) twice as many edges apart as those of step; None if more than most paths lead to them, which isn't asked of single ones."""
+    if not single:
+        with tidied(step.sparkSession):
+            paths = degrees(step).agg(F.sum("complexity")).first()[0] or 0
+        if paths > most:
+            return None
     a, b = step.toDF("src", "_at"), step.toDF("_at", "dst")
-    return stored(a.join(b, "_at").select("src", "dst").distinct(), label)
+    pairs = a.join(b, "_at").select("src", "dst")
+    return stored(pairs if single else pairs.distinct(), label)
 
 
 def reach(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
@@ -72,6 +84,8 @@ def reach(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) ->
     roots has a column root. Rounds double the depth while the pairs of nodes
     that lie a whole step apart stay about as many as the edges, as on chains,
     trees and rings: there rounds grow with the logarithm of the greatest depth.
+    A node that roots reach in a step or more ends such a pair itself, so pairs
+    from nodes neither reached nor at the end of one are dropped.
     Where paths branch more, a round joins the newest pairs alone with the
     edges and keeps those not seen before, so rows made are bounded by the
     edges that leave reached nodes.
@@ -83,8 +97,15 @@ def reach(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) ->
     seen, path = stored(first.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "reach")
     most, n = _most_paths(edges), seen.count()
     # seen are the pairs fewer than span edges apart, step the nodes exactly span apart
-    span, step, step_path = 1, edges, edges_path
+    span, step, step_path, cut, single = 1, edges, edges_path, True, False
     while most_depth is None or span <= most_depth:
+        if cut:
+            asked = seen.select("node").union(step.select("dst")).distinct()
+            some, some_path = stored(step.join(asked, step.src == asked.node, "left_semi"), "reach-asked")
+            cut = some.count() < (1 - LEAST_CUT) * step.count()
+            discard(spark, *{step_path} - {edges_path})
+            step, step_path = some, some_path
+            single = single or _single(step)
         far = seen.join(step, seen.node == step.src).select("root", F.col("dst").alias("node"), (F.col("depth") + span).alias("depth"))
         if most_depth is not None:
             far = far.where(F.col("depth") <= most_depth)
@@ -95,11 +116,10 @@ def reach(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) ->
         if m == n:
             discard(spark, *{step_path, edges_path})
             return seen
-        n, twice = m, _twice(step, most, "reach-step")
+        n, twice = m, _twice(step, most, "reach-step", single)
         if twice is None:
             break
-        if step_path != edges_path:
-            discard(spark, step_path)
+        discard(spark, *{step_path} - {edges_path})
         step, step_path = twice
     depth, paths = span - 1, [path]
     new = seen.where(F.col("depth") == depth)
@@ -121,6 +141,34 @@ def dependents(edges: DataFrame, roots: DataFrame, most_depth: int | None = None
     return reach(reversed_edges(edges), roots, most_depth)
 
 
+def _hash(node: Column) -> Column:
+    return F.xxhash64(node)
+
+
+def coded(edges: DataFrame, roots: DataFrame, deps: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """edges and roots (root, name) with a 64-bit number for each node of text; the nodes (id, node) and their path.
+
+    Searches shuffle nodes round after round, and numbers are a fraction of a
+    path's bytes. Numbers are hashes; if two nodes share one, or nodes are no
+    texts, nodes stand for themselves. deps: the nodes' sorted direct dependencies too.
+    """
+    spark, edges = edges.sparkSession, edges.select("src", "dst").where("src is not null and dst is not null")
+    code = _hash if dict(edges.dtypes)["src"] == "string" else lambda node: node
+    roots = roots.select("root").where("root is not null")
+    none = F.lit(None).cast(edges.schema["dst"].dataType)
+    end = lambda node, dep: F.struct(F.col(node).alias("node"), dep.alias("dep"))
+    ends = edges.select(F.explode(F.array(end("src", F.col("dst")), end("dst", none))).alias("e")).select("e.*").unionByName(roots.select(F.col("root").alias("node"), none.alias("dep")))
+    nodes = ends.groupBy("node").agg(F.sort_array(F.collect_set("dep")).alias("deps")) if deps else ends.select("node").distinct()
+    nodes, path = stored(nodes, "graph-nodes")
+    if code is _hash:
+        with tidied(spark):
+            shared = not nodes.groupBy(code(F.col("node")).alias("id")).count().where("count > 1").isEmpty()
+        if shared:
+            code = lambda node: node
+    nodes = nodes.select(code(F.col("node")).alias("id"), *nodes.columns)
+    return edges.select(code(F.col("src")).alias("src"), code(F.col("dst")).alias("dst")), roots.select(code(F.col("root")).alias("root"), F.col("root").alias("name")).distinct(), nodes, path
+
+
 def trees(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """root, node, deps: each node that a root reaches with its sorted direct dependencies, none for a leaf."""
     seen = reach(edges, roots).select("root", "node")
@@ -130,9 +178,11 @@ def trees(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def impact(edges: DataFrame, changed: DataFrame, n_nodes: int) -> DataFrame:
     """node, n_direct, n_transitive, impact: for each changed node (column root) the nodes that depend on it, itself aside, and their share of all nodes in per cent, half to even."""
-    hit = dependents(edges, changed).where("node <> root")
-    got = changed.select("root").where("root is not null").distinct().join(hit, "root", "left").groupBy(F.col("root").alias("node"))
-    got = got.agg(F.count(F.when(F.col("depth") == 1, 1)).alias("n_direct"), F.count("depth").alias("n_transitive"))
+    numbers, starts, _, path = coded(edges, changed)
+    discard(edges.sparkSession, path)
+    # a root's own row, at depth 0, is in its group
+    hit = dependents(numbers, starts).groupBy("root").agg(F.count(F.when(F.col("depth") == 1, 1)).alias("n_direct"), F.count(F.when(F.col("depth") > 0, 1)).alias("n_transitive"))
+    got = hit.join(starts, "root").select(F.col("name").alias("node"), "n_direct", "n_transitive")
     return got.withColumn("impact", F.bround(100 * F.col("n_transitive") / F.lit(max(n_nodes, 1)), 2))
 
 

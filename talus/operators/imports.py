@@ -6,6 +6,8 @@ keys with a priority, one join against the keys of all files and folders keeps
 those that exist, and the first of them wins. So a module that a third of all
 files import is looked up once, and only the last join holds its importers;
 its other side has one row a request, which Spark may split the importers for.
+Requests and what they name are read several times and so written first: a file
+is parsed once.
 
 Defined cases: a null path or text has no imports; a file of no known extension
 is a target only; a file that doesn't parse is read line by line; repeated paths
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.sources.scratch import discard, stored
+
 #: Modules that are never looked up, and script extensions in the order in which they are tried.
 STANDARD = ("os", "sys", "re", "json", "time", "datetime", "pathlib", "collections", "typing", "logging", "math", "random", "sqlite3", "io", "tempfile", "traceback", "unittest")
 SCRIPTS = ("", ".js", ".jsx", ".ts", ".tsx")
@@ -117,14 +121,17 @@ def script_requests(files: DataFrame) -> DataFrame:
 
 
 def targets(files: DataFrame) -> DataFrame:
-    """key, dst: f:path of files, d:folder of all folders, m:folder of those with a Python file, i:folder of those with an __init__.py."""
-    path, python = F.col("path"), F.col("path").endswith(".py")
-    parts = F.split(folder_of(path), "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    """key, dst: f:path of files, d:folder of all folders, m:folder of those with a Python file, i:folder of those with an __init__.py.
+
+    A folder above others comes once for each folder below it that holds files.
+    """
+    path, folder = F.col("path"), F.col("folder")
     row = lambda mark, dst: F.struct(F.concat(F.lit(mark), dst).alias("key"), dst.alias("dst"))
-    own = F.array(row("f:", path), F.when(python, row("m:", folder_of(path))), F.when(path.rlike(r"(^|/)__init__\.py$"), row("i:", folder_of(path))))
-    rows = files.where("path is not null").select(F.explode(F.concat(own, F.transform(folders, lambda d: row("d:", d)))).alias("t")).where("t is not null and t.dst <> ''")
-    return rows.select("t.*").distinct()
+    held = F.array(row("f:", path), row("d:", folder), F.when(path.endswith(".py"), row("m:", folder)), F.when(path.rlike(r"(^|/)__init__\.py$"), row("i:", folder)))
+    rows = files.where("path is not null").select("path", folder_of(path).alias("folder")).select(F.explode(held).alias("t")).where("t is not null and t.dst <> ''").select("t.*").distinct()
+    parts = F.split("dst", "/")
+    above_it = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: row("d:", F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return rows.select(F.explode(F.when(F.col("key").startswith("d:"), above_it).otherwise(F.array(F.struct("key", "dst")))).alias("t")).where("t.dst <> ''").select("t.*")
 
 
 def _candidates() -> Column:
@@ -149,9 +156,11 @@ def resolved(requests: DataFrame, files: DataFrame) -> DataFrame:
 def import_edges(files: DataFrame, scripts: bool = True, python: bool = True) -> DataFrame:
     """Distinct (src, dst): src imports the file or package folder dst."""
     some = [make(files) for make, wanted in ((python_requests, python), (script_requests, scripts)) if wanted]
-    requests = some[0] if len(some) == 1 else some[0].unionByName(some[1])
-    found = resolved(requests, files)
+    requests, requests_path = stored(some[0] if len(some) == 1 else some[0].unionByName(some[1]), "import-requests")
+    found, found_path = stored(resolved(requests, files), "import-targets")
     gates = found.where("kind = 'module'").select(F.col("what").alias("gate"), F.col("dst").alias("gate_dst"))
     edges = requests.join(found, ["kind", "what"]).join(gates, "gate", "left")
     open_ = F.col("gate").isNull() | (F.col("gate_dst") != F.col("src"))
-    return edges.where(open_ & (F.col("dst") != F.col("src"))).select("src", "dst").distinct()
+    out, _ = stored(edges.where(open_ & (F.col("dst") != F.col("src"))).select("src", "dst").distinct(), "import-edges")
+    discard(files.sparkSession, requests_path, found_path)
+    return out

@@ -11,10 +11,12 @@ any source, so that text, parsing, resolution and search are checked together.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talus.operators import blocks, chunking, graph, imports, reviews, syntax_tree
 from talus.sources.files import EXCLUDED, glob_pattern
+from talus.sources.scratch import discard, stored
 
 from .catalogue import query, table
 
@@ -31,11 +33,9 @@ _IMPORTS = f"""{_AFTER}, e as (select src, dst from s union select src, dst_dir
 
 def next_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p, q: for each part the other part that most often follows it in an order; ties to the next larger key, or else the smallest."""
-    line = F.struct("l_linenumber", "l_partkey")
-    # an order's lines lie in one row, so neighbours meet without a window
-    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["l_partkey"]).alias("x")).where(F.size("x") > 1)
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda i: F.struct(F.element_at("x", i).alias("p"), F.element_at("x", i + 1).alias("q"))))
-    counts = parts.select(pair.alias("e")).select("e.*").where("p <> q").groupBy("p", "q").count()
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), F.lead("l_partkey").over(order).alias("q"))
+    counts = pairs.where("p <> q").groupBy("p", "q").count()
     return counts.groupBy("p").agg(F.min_by("q", F.struct(-F.col("count"), F.col("q") < F.col("p"), F.col("q"))).alias("q"))
 
 
@@ -231,7 +231,10 @@ def default_excludes(spark, sf_dir):
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    return imports.import_edges(source_files(spark, sf_dir))
+    files, path = stored(source_files(spark, sf_dir), "source-files")  # requests, scripts and targets each read them
+    edges = imports.import_edges(files)
+    discard(spark, path)
+    return edges
 
 
 def _changed(spark, sf_dir) -> DataFrame:
@@ -240,7 +243,8 @@ def _changed(spark, sf_dir) -> DataFrame:
     last = o.agg(F.max("o_orderdate").alias("o_orderdate"))
     keys = o.join(F.broadcast(last), "o_orderdate").select(F.col("o_orderkey").alias("l_orderkey"))  # one row is broadcast
     some = table(spark, sf_dir, "lineitem").join(keys, "l_orderkey", "left_semi").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    return table(spark, sf_dir, "part").join(some, "p_partkey").select(F.explode(F.array(_path(False), _path(True))).alias("root"))
+    roots = table(spark, sf_dir, "part").join(some, "p_partkey").select(F.explode(F.array(_path(False), _path(True))).alias("root"))
+    return stored(roots, "changed")[0]
 
 
 _CHANGED = "c as (select distinct path as root from x join lineitem on l_partkey = x.p join orders on o_orderkey = l_orderkey where o_orderdate = (select max(o_orderdate) from orders))"

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,10 +29,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidied(spark: SparkSession):
+    """Queries run inside leave no shuffle files: Spark removes them at their end, not when the driver collects its garbage."""
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
+
+
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df and give it as read back, with its path: lineage ends here."""
+    """Write df and give it as read back, with its path: lineage and its shuffle files end here."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with tidied(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

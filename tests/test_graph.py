@@ -136,3 +136,24 @@ def test_graphs_with_too_many_paths_to_double(spark, monkeypatch):
     for r in graph.cycles(df).collect():
         got[r.component][r.position] = r.node
     assert {n: [p[k] for k in sorted(p)] for n, p in got.items()} == {n: c for n, (_, c) in want.items()}
+
+
+def test_walks_from_nodes_not_asked_for_are_dropped(spark, monkeypatch):
+    """A chain of 40 from the root, and 300 chains of 6 that no root reaches."""
+    edges = [(i, i + 1) for i in range(40)] + [(1_000 + 10 * g + i, 1_001 + 10 * g + i) for g in range(300) for i in range(6)]
+    rows, plain = [], graph.stored
+
+    def counted(df, label):
+        out = plain(df, label)
+        if label == "reach-step":
+            rows.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    assert graph.reach(_frame(spark, edges), _roots(spark, [0])).count() == 41
+    assert rows[0] < 300 * 4 + 40 and rows[1] < 300 and rows[2] < 40
+
+
+def test_single_pairs(spark):
+    for edges, single in (([(1, 2), (3, 2)], True), ([(1, 2), (1, 3)], True), ([(1, 2), (1, 3), (4, 2)], False), ([], True)):
+        assert graph._single(_frame(spark, edges)) is single

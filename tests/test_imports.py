@@ -96,3 +96,18 @@ def test_nothing_and_repeated_paths(spark):
 def test_many_importers_of_one_module(spark):
     files = spark.range(20_000).selectExpr("concat('m', id, '.py') as path", "if(id = 0, '', 'import m0') as text")
     assert imports.import_edges(files, scripts=False).where("dst = 'm0.py'").count() == 19_999
+
+
+def test_a_file_is_read_and_parsed_once(spark, tmp_path):
+    """Requests are read three times, but the files only for them and for the targets."""
+    log = str(tmp_path / "log")
+
+    def run(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.writelines(f"{p}\n" for p in b.column(0).to_pylist())
+            yield b
+
+    files = spark.createDataFrame([("a.py", "import b"), ("b.py", "")], "path string, text string").mapInArrow(run, "path string, text string")
+    assert [tuple(r) for r in imports.import_edges(files, scripts=False).collect()] == [("a.py", "b.py")]
+    assert open(log).read().split().count("a.py") == 2

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from talus.sources import files, snapshot
+from talus.sources import files, scratch, snapshot
 
 SAMPLES = {g: (g.replace("**/", "a/b/").replace("*.", "x.") + ("c/d.py" if g.endswith("/") else ""), g.replace("**/", "").replace("*.", "x.") + ("d.py" if g.endswith("/") else "")) for g in files.EXCLUDED}
 
@@ -95,3 +98,18 @@ def test_merge_replaces_keys_and_a_killed_write_counts_for_nothing(spark, tmp_pa
     assert tuple(t.stats("v", snapshot.F.lit(2), "ts").first()) == (4, 2, 8)
     t.remove(snapshot.F.col("ts") < 2)
     assert rows() == [("", "m", 2), ("a", "new", 2)]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    folder = Path(spark.conf.get("spark.local.dir", None) or spark.sparkContext.getConf().get("spark.local.dir"))
+    before = set(folder.rglob("shuffle_*.data"))
+    out, path = scratch.stored(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count(), "tidy")
+    assert out.count() == 7
+    for _ in range(100):  # Spark removes them beside the next query
+        left = set(folder.rglob("shuffle_*.data")) - before
+        if len(left) <= 1:  # that of the count above
+            break
+        time.sleep(0.1)
+    scratch.discard(spark, path)
+    assert len(left) <= 1
+    assert spark.conf.get(scratch._TIDY, "false") == "false"
