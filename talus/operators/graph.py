@@ -171,9 +171,9 @@ def coded(edges: DataFrame, roots: DataFrame, deps: bool = False) -> tuple[DataF
 
 def trees(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """root, node, deps: each node that a root reaches with its sorted direct dependencies, none for a leaf."""
-    seen = reach(edges, roots).select("root", "node")
-    out = seen.join(_clean(edges), F.col("node") == F.col("src"), "left")
-    return out.groupBy("root", "node").agg(F.sort_array(F.collect_list("dst")).alias("deps"))
+    numbers, starts, nodes, _ = coded(edges, roots, deps=True)
+    seen = reach(numbers, starts).select("root", F.col("node").alias("id"))
+    return seen.join(starts, "root").join(nodes, "id").select(F.col("name").alias("root"), "node", "deps")
 
 
 def impact(edges: DataFrame, changed: DataFrame, n_nodes: int) -> DataFrame:

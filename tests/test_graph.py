@@ -5,7 +5,12 @@ from __future__ import annotations
 import random
 from collections import defaultdict, deque
 
+from pyspark.sql import functions as F
+
 from talus.operators import graph
+from talus.plans import projects
+
+from .conftest import SMALL
 
 
 def _frame(spark, edges):
@@ -138,6 +143,21 @@ def test_graphs_with_too_many_paths_to_double(spark, monkeypatch):
     assert {n: [p[k] for k in sorted(p)] for n, p in got.items()} == {n: c for n, (_, c) in want.items()}
 
 
+def test_text_nodes_are_numbers_in_searches(spark, monkeypatch):
+    """The same rows whether hashes stand for the nodes or, where two share one, the nodes themselves."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "cc"), ("b", "a"), ("b", "a"), ("dd", "b"), (None, "a"), ("a", None)], "src string, dst string")
+    roots = spark.createDataFrame([("a",), ("cc",), ("a",), ("none",), (None,)], "root string")
+    kinds, plain = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda e, r, d=None: kinds.append(dict(e.dtypes)["src"]) or plain(e, r, d))
+    for code, kind in ((graph._hash, "bigint"), (F.length, "string")):
+        monkeypatch.setattr(graph, "_hash", code)
+        got = sorted((r.root, r.node, r.deps) for r in graph.trees(edges, roots).collect())
+        assert got == [("a", "a", ["b"]), ("a", "b", ["a", "cc"]), ("a", "cc", []), ("cc", "cc", []), ("none", "none", [])]
+        hit = {r.node: (r.n_direct, r.n_transitive, r.impact) for r in graph.impact(edges, roots, 4).collect()}
+        assert hit == {"a": (1, 2, 50.0), "cc": (1, 3, 75.0), "none": (0, 0, 0.0)}
+        assert kinds[-2:] == [kind, kind]
+
+
 def test_walks_from_nodes_not_asked_for_are_dropped(spark, monkeypatch):
     """A chain of 40 from the root, and 300 chains of 6 that no root reaches."""
     edges = [(i, i + 1) for i in range(40)] + [(1_000 + 10 * g + i, 1_001 + 10 * g + i) for g in range(300) for i in range(6)]
@@ -157,3 +177,8 @@ def test_walks_from_nodes_not_asked_for_are_dropped(spark, monkeypatch):
 def test_single_pairs(spark):
     for edges, single in (([(1, 2), (3, 2)], True), ([(1, 2), (1, 3)], True), ([(1, 2), (1, 3), (4, 2)], False), ([], True)):
         assert graph._single(_frame(spark, edges)) is single
+
+
+def test_import_trees_make_the_edges_once(spark):
+    """What is left to do reads the search's own tables: the edges aren't derived from the orders again."""
+    assert not [f for f in projects.import_trees(spark, SMALL).inputFiles() if SMALL in f]
