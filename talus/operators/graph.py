@@ -85,7 +85,7 @@ def reach(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) ->
     that lie a whole step apart stay about as many as the edges, as on chains,
     trees and rings: there rounds grow with the logarithm of the greatest depth.
     A node that roots reach in a step or more ends such a pair itself, so pairs
-    from nodes neither reached nor at the end of one are dropped.
+    from nodes neither reached nor at the end of one are dropped, if edges are many.
     Where paths branch more, a round joins the newest pairs alone with the
     edges and keeps those not seen before, so rows made are bounded by the
     edges that leave reached nodes.
@@ -97,7 +97,7 @@ def reach(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) ->
     seen, path = stored(first.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "reach")
     most, n = _most_paths(edges), seen.count()
     # seen are the pairs fewer than span edges apart, step the nodes exactly span apart
-    span, step, step_path, cut, single = 1, edges, edges_path, True, False
+    span, step, step_path, cut, single = 1, edges, edges_path, most > FEW_PATHS, False
     while most_depth is None or span <= most_depth:
         if cut:
             asked = seen.select("node").union(step.select("dst")).distinct()
